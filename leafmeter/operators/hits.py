@@ -35,11 +35,8 @@ def bot_pattern_hits(views: DataFrame) -> DataFrame:
     The patterns are tried once per distinct user agent, not once per view.
     """
     per_ua = views.filter("ua is not null").groupBy("ua").agg(F.count("*").alias("n"))
-    hit = F.array_compact(
-        F.array(*[F.when(F.col("ua").rlike("(?i)" + p), F.lit(p)) for p in BOT_PATTERNS])
-    )
     matched = (
-        per_ua.select("n", F.explode(hit).alias("pattern"))
+        per_ua.select("n", F.explode(C.bot_patterns_found(F.col("ua"))).alias("pattern"))
         .groupBy("pattern")
         .agg(F.sum("n").alias("views"), F.count("*").alias("uas"))
     )

@@ -437,6 +437,11 @@ def f5_ledger_after_run(f):
 # ---- streams, over the same rows as their batch jobs
 
 
+def _staged_stream(f: Fixtures, name: str, files_per_batch: int | None = None) -> DataFrame:
+    schema = getattr(f, name).schema
+    return jobs.read_files(f.spark, f.staged_path(name), schema, files_per_batch)
+
+
 def _as_stream(f: Fixtures, df: DataFrame, name: str, files_per_batch: int | None = None) -> DataFrame:
     path = scratch(f.spark, name)
     df.write.parquet(path)
@@ -450,7 +455,7 @@ def _folders(f: Fixtures, name: str) -> tuple[str, str]:
 @query
 def s1_stream_enrich(f):
     out, checkpoint = _folders(f, "s1")
-    views = jobs.stream_enrich(_as_stream(f, f.hits, "hits", 2), f.shares, SALT)
+    views = jobs.stream_enrich(_staged_stream(f, "hits", 4), f.shares, SALT)
     tables.append_views_stream(views, out, checkpoint).awaitTermination()
     return f.spark.read.parquet(out).withColumn("day", F.col("day").cast("bigint"))
 
@@ -458,7 +463,7 @@ def s1_stream_enrich(f):
 @query
 def s2_stream_daily_views(f):
     out, checkpoint = _folders(f, "s2")
-    days = jobs.stream_daily_views(_as_stream(f, f.views, "views"), "1 day")
+    days = jobs.stream_daily_views(_staged_stream(f, "views"), "1 day")
     jobs.append_rows(days, out, checkpoint).awaitTermination()
     return f.spark.read.schema(days.schema).parquet(out)
 
@@ -466,14 +471,14 @@ def s2_stream_daily_views(f):
 @query
 def s3_stream_counters(f):
     out, checkpoint = _folders(f, "s3")
-    jobs.stream_counters(_as_stream(f, f.views, "views", 2), out, checkpoint).awaitTermination()
+    jobs.stream_counters(_staged_stream(f, "views", 4), out, checkpoint).awaitTermination()
     return jobs.read_counters(f.spark, out)
 
 
 @query
 def s4_stream_unique_viewers(f):
     out, checkpoint = _folders(f, "s4")
-    jobs.stream_unique_viewers(_as_stream(f, f.views, "views", 2), out, checkpoint).awaitTermination()
+    jobs.stream_unique_viewers(_staged_stream(f, "views", 4), out, checkpoint).awaitTermination()
     return jobs.read_unique_viewers(f.spark, out)
 
 

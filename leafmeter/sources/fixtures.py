@@ -10,7 +10,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leafmeter.functions import columns as C
-from leafmeter.limits import DAY, LIMITS
+from leafmeter.limits import DAY
+from leafmeter.session import scratch
 
 NOW = 1_706_659_199  # 2024-01-30T23:59:59Z
 SALT = "test-salt"
@@ -59,7 +60,14 @@ def _salted(prefix: str, number: Column) -> Column:
     return C.sha256_hex(F.concat(F.lit(f"{SALT}:{prefix}"), number.cast("string")))
 
 
+# Derived tables already stored by this application: (application, folder, table) -> path.
+_STAGED: dict[tuple[str, str, str], str] = {}
+
+
 class Fixtures:
+    """Derived tables.  Those that stand for stored tables are written once per application, so jobs
+    read files as they would in service; the rest are derived in place."""
+
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
@@ -67,6 +75,17 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def staged_path(self, name: str) -> str:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STAGED:
+            path = scratch(self.spark, name)
+            getattr(self, f"_derive_{name}")().write.parquet(path)
+            _STAGED[key] = path
+        return _STAGED[key]
+
+    def _staged(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.staged_path(name))
+
     @cached_property
     def n(self) -> int:
         """Number of pages, from the parquet footers."""
@@ -78,15 +97,32 @@ class Fixtures:
 
     @cached_property
     def events(self) -> DataFrame:
-        """Events with ``i``, ``u`` and whole seconds ``at``."""
-        return self.table("events").select(
+        """Events with ``i``, ``u`` and whole seconds ``at``; a small file is spread over all cores."""
+        events = self.table("events").select(
             F.col("event_id").alias("i"),
             F.col("user_id").alias("u"),
             F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"),
         )
+        cores = self.spark.sparkContext.defaultParallelism
+        return events if events.rdd.getNumPartitions() >= cores else events.repartition(cores, "i")
 
     @cached_property
     def shares(self) -> DataFrame:
+        return self._staged("shares")
+
+    @cached_property
+    def views(self) -> DataFrame:
+        return self._staged("views")
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        return self._staged("hits")
+
+    @cached_property
+    def objects(self) -> DataFrame:
+        return self._staged("objects")
+
+    def _derive_shares(self) -> DataFrame:
         return self.shares_by_page.drop("page_id", "html")
 
     @cached_property
@@ -143,8 +179,7 @@ class Fixtures:
             )
         )
 
-    @cached_property
-    def views(self) -> DataFrame:
+    def _derive_views(self) -> DataFrame:
         i = F.col("i")
         return self._hits_base().select(
             i.alias("id"),
@@ -158,8 +193,7 @@ class Fixtures:
             "city",
         )
 
-    @cached_property
-    def hits(self) -> DataFrame:
+    def _derive_hits(self) -> DataFrame:
         i = F.col("i")
         return self._hits_base().select(
             i.alias("hit_id"),
@@ -173,8 +207,7 @@ class Fixtures:
             "city",
         )
 
-    @cached_property
-    def objects(self) -> DataFrame:
+    def _derive_objects(self) -> DataFrame:
         p = F.col("page_id")
         stored = self.shares_by_page.filter("status <> 'pending'").drop("html")
         versions = (
@@ -463,5 +496,3 @@ class Fixtures:
             .select("request_id", "slug", "ts")
         )
 
-
-__all__ = ["Fixtures", "NOW", "SALT", "HOST", "LIMITS"]

@@ -76,21 +76,25 @@ def with_day(views: DataFrame) -> DataFrame:
     return views.withColumn("day", day_of(F.col("viewed_at")))
 
 
-def append_views(views: DataFrame, path: str) -> None:
-    """Append to the day-partitioned log; rows lie by slug within a file for row-group pruning.
+def _by_day(views: DataFrame) -> DataFrame:
+    """Cut the log by ranges of (day, slug) for writing.
 
-    Cut by ranges: a task writes few days, and a hot day or a hot slug spreads over several tasks.
+    A task writes few days, a hot day or a hot slug spreads over several tasks, and rows lie by slug
+    within a file, for row-group pruning.
     """
-    (
+    parts = int(views.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
         with_day(views)
-        .repartitionByRange("day", "slug", "id")
+        .repartitionByRange(parts, "day", "slug", "id")
         .sortWithinPartitions("day", "slug")
-        .write.mode("append")
-        .partitionBy("day")
-        .parquet(path)
     )
 
 
+def append_views(views: DataFrame, path: str) -> None:
+    """Append to the day-partitioned log."""
+    _by_day(views).write.mode("append").partitionBy("day").parquet(path)
+
+
 def append_views_stream(views: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Streaming form of ``append_views``; the file sink commits each batch once."""
     return (
@@ -108,9 +112,7 @@ def append_views_stream(views: DataFrame, path: str, checkpoint: str) -> Streami
 def replace_days(views: DataFrame, path: str) -> None:
     """Overwrite only the days present in ``views``."""
     (
-        with_day(views)
-        .repartitionByRange("day", "slug", "id")
-        .sortWithinPartitions("day", "slug")
+        _by_day(views)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("day")
