@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from leafmeter.functions import columns as C
 from leafmeter.limits import DAY, LIMITS, SYNC_KEY_BEARER, Limits
+from leafmeter.session import settled
 
 
 def _upload_fault(limits: Limits) -> Column:
@@ -24,7 +25,7 @@ def _upload_fault(limits: Limits) -> Column:
 
 
 def _accepted_seconds(candidates: DataFrame, gap: int) -> DataFrame:
-    """Seconds at which a sender's upload is accepted: ``(ip_hash, ts)``.
+    """Uploads accepted of the first valid ones per second: ``(ip_hash, ts, first_id)``.
 
     An upload is accepted if none was accepted in the ``gap`` seconds before, which depends on the
     acceptances before it.  The only state carried from one day to the next is how many seconds the
@@ -33,22 +34,29 @@ def _accepted_seconds(candidates: DataFrame, gap: int) -> DataFrame:
     carry-in.  A (sender, day) holds at most 86,400 distinct seconds, however many attempts there were.
     """
     by_day = (
-        candidates.select("ip_hash", C.day_of(F.col("ts")).alias("day"), (F.col("ts") % DAY).cast("int").alias("sec"))
+        candidates.select(
+            "ip_hash",
+            C.day_of(F.col("ts")).alias("day"),
+            (F.col("ts") % DAY).cast("int").alias("sec"),
+            "first_id",
+        )
         .groupBy("ip_hash", "day")
-        .agg(F.array_sort(F.collect_list("sec")).alias("secs"))
+        .agg(F.array_sort(F.collect_list(F.struct("sec", "first_id"))).alias("secs"))
     )
 
     def block_until(free: Column) -> Column:
         """First second of the next day an upload may be accepted again, after starting at ``free``."""
         end = F.aggregate(
-            "secs", free.cast("int"), lambda a, s: F.when(s >= a, s + gap).otherwise(a)
+            "secs",
+            free.cast("int"),
+            lambda a, s: F.when(s["sec"] >= a, s["sec"] + gap).otherwise(a),
         )
         return F.greatest(end - DAY, F.lit(0))
 
     # A carry-in that ends before the first attempt changes nothing.
     leads = F.transform(
         F.sequence(F.lit(0), F.lit(gap - 1)),
-        lambda r: F.when(r <= F.col("secs")[0], F.lit(-1)).otherwise(block_until(r)),
+        lambda r: F.when(r <= F.col("secs")[0]["sec"], F.lit(-1)).otherwise(block_until(r)),
     )
     days = by_day.select(
         "ip_hash", "day", block_until(F.lit(0)).alias("free_lead"), leads.alias("leads")
@@ -80,18 +88,21 @@ def _accepted_seconds(candidates: DataFrame, gap: int) -> DataFrame:
         "secs",
         F.struct(
             F.coalesce("carry", F.lit(0)).cast("int").alias("free"),
-            F.array().cast("array<int>").alias("taken"),
+            F.array().cast("array<struct<sec:int,first_id:bigint>>").alias("taken"),
         ),
         lambda acc, s: F.when(
-            s >= acc["free"],
-            F.struct((s + gap).cast("int").alias("free"), F.concat(acc["taken"], F.array(s)).alias("taken")),
+            s["sec"] >= acc["free"],
+            F.struct(
+                (s["sec"] + gap).cast("int").alias("free"),
+                F.concat(acc["taken"], F.array(s)).alias("taken"),
+            ),
         ).otherwise(acc),
         lambda acc: acc["taken"],
     )
     return (
         by_day.join(entries, ["ip_hash", "day"], "left")
-        .select("ip_hash", "day", F.explode(replay).alias("sec"))
-        .select("ip_hash", (F.col("day") * DAY + F.col("sec")).alias("ts"))
+        .select("ip_hash", "day", F.inline(replay))
+        .select("ip_hash", (F.col("day") * DAY + F.col("sec")).alias("ts"), "first_id")
     )
 
 
@@ -119,17 +130,16 @@ def admit_uploads(
         # An earlier run's acceptance also blocks attempts that arrive late.
         checked = checked.join(prior.select("ip_hash", "last_ts"), "ip_hash", "left")
         held = F.coalesce(F.col("last_ts") > F.col("ts") - gap, F.lit(False))
-    checked = checked.withColumn("held", held)
+    # Read the pages once: what follows needs only these few columns, twice.
+    checked = settled(checked.withColumn("held", held))
     # Within a second only the first valid attempt can be accepted.
     candidates = (
         checked.filter("fault is null and not held")
         .groupBy("ip_hash", "ts")
         .agg(F.min("attempt_id").alias("first_id"))
     )
-    taken = (
-        _accepted_seconds(candidates, gap)
-        .join(candidates, ["ip_hash", "ts"])
-        .select("ip_hash", F.struct(F.col("ts").alias("at"), "first_id").alias("hit"))
+    taken = _accepted_seconds(candidates, gap).select(
+        "ip_hash", F.struct(F.col("ts").alias("at"), "first_id").alias("hit")
     )
     # An acceptance blocks attempts of its own slot of ``gap`` seconds and of the next one only.
     blockers = (

@@ -75,21 +75,38 @@ def _top(grouped: DataFrame, order: list[Column], keep: int) -> DataFrame:
     return grouped.withColumn("place", rank).filter(F.col("place") <= keep)
 
 
-def _with_tail(folded: DataFrame, grouped: DataFrame, label: str, extra: dict[str, Column]) -> DataFrame:
-    """Add what the cut left out to the label 'other', so the rows sum to the window total."""
-    totals = grouped.groupBy("slug").agg(F.sum("n").alias("total"))
-    kept = folded.groupBy("slug").agg(F.sum("views").alias("kept"))
-    tail = (
-        totals.join(kept, "slug", "left")
-        .select("slug", F.lit("other").alias(label), (F.col("total") - F.coalesce("kept", F.lit(0))).alias("views"))
-        .filter("views > 0")
+def _fold(kept: DataFrame, grouped: DataFrame, label: Column, name: str, keep: list[Column]) -> DataFrame:
+    """Sum the kept groups by label and put the rest of the window under 'other'.
+
+    The window total counts for 'other' first, and every kept group moves its views from there to its
+    label, so the rows sum to the total.  ``keep`` are columns taken from the best placed group of a
+    label.
+    """
+
+    def row(to: Column, n: Column, place: Column, values: list[Column]) -> list[Column]:
+        extra = [v.cast("string").alias(f"_{i}") for i, v in enumerate(values)]
+        return [to.alias(name), n.alias("n"), place.cast("int").alias("place"), *extra]
+
+    other, nothing = F.lit("other"), F.lit(None)
+    blank = [nothing] * len(keep)
+    totals = grouped.groupBy("slug").agg(F.sum("n").alias("n"))
+    moves = F.array(
+        F.struct(*row(other, -F.col("n"), nothing, blank)),
+        F.struct(*row(label, F.col("n"), F.col("place"), keep)),
     )
-    both = folded.unionByName(tail.withColumns(extra) if extra else tail)
-    # A label 'other' the cut kept goes before the tail row, so its own columns survive.
-    merged = both.groupBy("slug", label).agg(
-        F.sum("views").cast("bigint").alias("views"), *[F.min_by(c, "place").alias(c) for c in extra if c != "place"]
+    merged = (
+        totals.select("slug", *row(other, F.col("n"), nothing, blank))
+        .unionByName(kept.select("slug", F.inline(moves)))
+        # A slug has a handful of rows by now; one shuffle serves the sums and the ranks.
+        .repartition("slug")
+        .groupBy("slug", name)
+        .agg(
+            F.sum("n").alias("views"),
+            *[F.min_by(f"_{i}", "place").alias(f"_{i}") for i in range(len(keep))],
+        )
+        .filter("views > 0")
     )
-    rank = F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("views"), F.asc(label)))
+    rank = F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("views"), F.asc(name)))
     return merged.withColumn("rank", rank.cast("bigint"))
 
 
@@ -102,12 +119,10 @@ def referrer_breakdown(
     cut go to the smaller value, NULL first.
     """
     grouped = human_window(views, now).groupBy("slug", "referrer").agg(F.count("*").alias("n"))
-    folded = (
-        _top(grouped, [F.asc_nulls_first("referrer")], top)
-        .groupBy("slug", C.referrer_label(F.col("referrer")).alias("source"))
-        .agg(F.sum("n").alias("views"))
+    kept = _top(grouped, [F.asc_nulls_first("referrer")], top)
+    return _fold(kept, grouped, C.referrer_label(F.col("referrer")), "source", []).select(
+        "slug", "source", "views", "rank"
     )
-    return _with_tail(folded, grouped, "source", {}).select("slug", "source", "views", "rank")
 
 
 def location_breakdown(
@@ -115,24 +130,11 @@ def location_breakdown(
 ) -> DataFrame:
     """Top places of human views: ``(slug, country, city, label, views, rank)``."""
     grouped = human_window(views, now).groupBy("slug", "country", "city").agg(F.count("*").alias("n"))
-    ranked = _top(grouped, [F.asc_nulls_first("country"), F.asc_nulls_first("city")], top)
+    kept = _top(grouped, [F.asc_nulls_first("country"), F.asc_nulls_first("city")], top)
     label = C.location_label(F.col("country"), F.col("city"))
-    first = F.min_by(
-        F.struct(
-            C.text_or_null(F.col("country")).alias("country"),
-            C.text_or_null(F.col("city")).alias("city"),
-        ),
-        "place",
-    )
-    folded = (
-        ranked.groupBy("slug", label.alias("label"))
-        .agg(F.sum("n").alias("views"), first.alias("at"), F.min("place").alias("place"))
-        .select("slug", "label", "views", "at.country", "at.city", "place")
-    )
-    blank = F.lit(None).cast("string")
-    extra = {"country": blank, "city": blank, "place": F.lit(top + 1)}
-    return _with_tail(folded, grouped, "label", extra).select(
-        "slug", "country", "city", "label", "views", "rank"
+    own = [C.text_or_null(F.col("country")), C.text_or_null(F.col("city"))]
+    return _fold(kept, grouped, label, "label", own).select(
+        "slug", F.col("_0").alias("country"), F.col("_1").alias("city"), "label", "views", "rank"
     )
 
 
