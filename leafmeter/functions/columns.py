@@ -50,6 +50,17 @@ def text_or_null(value: Column) -> Column:
     return F.when(value != "", value)
 
 
+# The characters counted as white space around a text.
+WHITE_SPACE = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
+
+def trimmed(value: Column) -> Column:
+    return F.btrim(value, F.lit(WHITE_SPACE))
+
+
 def sha256_hex(value: Column) -> Column:
     return F.sha2(value.cast("binary"), 256)
 
@@ -78,7 +89,7 @@ def utf8_bytes(value: Column) -> Column:
 
 def client_ip(cf_ip: Column, forwarded: Column) -> Column:
     """Only NULL falls through to the next source; an empty header is kept as it is."""
-    first_hop = F.regexp_replace(F.split_part(forwarded, F.lit(","), F.lit(1)), r"^\s+|\s+$", "")
+    first_hop = trimmed(F.split_part(forwarded, F.lit(","), F.lit(1)))
     return F.coalesce(cf_ip, first_hop, F.lit("0.0.0.0"))
 
 

@@ -232,11 +232,10 @@ def intake_reports(
     raw: DataFrame, shares: DataFrame, existing: DataFrame, limits: Limits = LIMITS
 ) -> DataFrame:
     """Verdict per report: ``(request_id, code, deduped)`` and the columns a stored one takes."""
-    trimmed = F.regexp_replace("reason", r"^\s+|\s+$", "")
     first = F.struct("ts", "request_id")
     known = shares.select("slug", F.lit(True).alias("known"))
     checked = (
-        raw.withColumn("reason_text", trimmed)
+        raw.withColumn("reason_text", C.trimmed(F.col("reason")))
         .join(known, "slug", "left")
         .withColumn(
             "fault",

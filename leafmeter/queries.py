@@ -501,7 +501,7 @@ def s6_stream_reports(f):
 def s7_stream_stale_uploads(f):
     out, checkpoint = _folders(f, "s7")
     clock = F.lit(NOW).cast("bigint")
-    no_slug = F.lit(None).cast("string").alias("slug")
+    no_slug = F.lit("").alias("slug")
     tick = f.spark.range(1)
     begins = f.shares.select("slug", "created_at").unionByName(tick.select(no_slug, clock.alias("created_at")))
     ends = (

@@ -14,7 +14,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
-from leafmeter.limits import LIMITS, Limits
+from leafmeter.functions import columns as col
+from leafmeter.limits import DAY, LIMITS, Limits
 from leafmeter.operators import hits as hit_ops
 from leafmeter.operators import intake
 
@@ -110,24 +111,36 @@ def stream_upload_limiter(
 ) -> StreamingQuery:
     """Upload verdicts per batch, given each sender's last acceptance in earlier batches.
 
-    A batch runs the batch job, so a sender with most of the uploads is spread over its days.
+    A batch runs the batch job, so a sender with most of the uploads is spread over its days.  The
+    state is kept by day of the acceptance, and a batch reads only the days that can block it.
     """
     verdicts, state = f"{path}/verdicts", f"{path}/state"
 
-    def last_accepted(spark: SparkSession, batch_id: int) -> DataFrame | None:
+    def last_accepted(batch: DataFrame, batch_id: int) -> DataFrame | None:
         try:
-            log = spark.read.parquet(state)
+            log = batch.sparkSession.read.parquet(state)
         except AnalysisException:
             return None
+        first = batch.agg(F.min("ts")).first()[0] - limits.upload_gap_seconds
         # A repeated batch must not see what its first try wrote.
-        return log.filter(F.col("batch") < batch_id).groupBy("ip_hash").agg(F.max("last_ts").alias("last_ts"))
+        known = log.filter((F.col("day") >= first // DAY) & (F.col("batch") < batch_id))
+        return known.groupBy("ip_hash").agg(F.max("last_ts").alias("last_ts"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        judged = intake.admit_uploads(batch, salt, limits, last_accepted(spark, batch_id))
+        if batch.isEmpty():
+            return
+        judged = intake.admit_uploads(batch, salt, limits, last_accepted(batch, batch_id))
         _batch_log(verdicts)(judged, batch_id)
-        done = spark.read.parquet(f"{verdicts}/batch={batch_id}").filter("code = 201")
-        _batch_log(state)(done.groupBy("ip_hash").agg(F.max("ts").alias("last_ts")), batch_id)
+        done = batch.sparkSession.read.parquet(f"{verdicts}/batch={batch_id}").filter("code = 201")
+        (
+            done.groupBy("ip_hash")
+            .agg(F.max("ts").alias("last_ts"))
+            .withColumns({"day": col.day_of(F.col("last_ts")), "batch": F.lit(batch_id)})
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("day", "batch")
+            .parquet(state)
+        )
 
     return _start(uploads, checkpoint, "append", each)
 
@@ -145,7 +158,7 @@ def stream_reports(
     per pair for ever.
     """
     pair = ["slug", "reporter_ip_hash"]
-    reason = F.regexp_replace("reason", r"^\s+|\s+$", "")
+    reason = col.trimmed(F.col("reason"))
     valid = (
         raw.filter((F.coalesce(reason, F.lit("")) != "") & (F.length("reason") <= LIMITS.reason_chars))
         .filter("email_is_text")
@@ -175,7 +188,8 @@ def stream_stale_uploads(begins: DataFrame, ends: DataFrame, age: int = LIMITS.p
     """Uploads without an end within ``age`` seconds: ``(slug, created_at)``.
 
     ``begins`` holds ``slug, created_at`` and ``ends`` holds ``slug, ended_at``, in seconds.  A row comes
-    out when both watermarks have passed its deadline, so an idle side needs clock rows (NULL slug).
+    out when both watermarks have passed its deadline, so an idle side needs clock rows, whose slug is
+    empty.
     """
     b = begins.select(F.col("slug").alias("slug"), "created_at", F.timestamp_seconds("created_at").alias("b_at")).withWatermark("b_at", "0 seconds")
     e = ends.select(F.col("slug").alias("e_slug"), F.timestamp_seconds("ended_at").alias("e_at")).withWatermark("e_at", "0 seconds")
@@ -184,9 +198,11 @@ def stream_stale_uploads(begins: DataFrame, ends: DataFrame, age: int = LIMITS.p
         & (F.col("e_at") >= F.col("b_at"))
         & (F.col("e_at") <= F.col("b_at") + F.expr(f"interval {age} seconds"))
     )
+    # Naming the event time keeps this filter above the watermark, which must see the clock rows.
+    no_clock = (F.col("slug") != "") | F.col("b_at").isNull()
     return (
         b.join(e, in_time, "left_outer")
-        .filter("e_at is null and slug is not null")
+        .filter(F.col("e_at").isNull() & no_clock)
         .select("slug", "created_at")
     )
 
