@@ -41,7 +41,7 @@ def _accepted_seconds(candidates: DataFrame, gap: int) -> DataFrame:
             "first_id",
         )
         .groupBy("ip_hash", "day")
-        .agg(F.array_sort(F.collect_list(F.struct("sec", "first_id"))).alias("secs"))
+        .agg(F.sort_array(F.collect_list(F.struct("sec", "first_id"))).alias("secs"))
     )
 
     def block_until(free: Column) -> Column:
@@ -53,16 +53,21 @@ def _accepted_seconds(candidates: DataFrame, gap: int) -> DataFrame:
         )
         return F.greatest(end - DAY, F.lit(0))
 
-    # A carry-in that ends before the first attempt changes nothing.
-    leads = F.transform(
-        F.sequence(F.lit(0), F.lit(gap - 1)),
-        lambda r: F.when(r <= F.col("secs")[0]["sec"], F.lit(-1)).otherwise(block_until(r)),
+    # A carry-in that ends before the first attempt changes nothing, and mostly none reaches it.
+    first_sec = F.col("secs")[0]["sec"]
+    leads = F.when(
+        first_sec < gap - 1,
+        F.transform(
+            F.sequence(F.lit(0), F.lit(gap - 1)),
+            lambda r: F.when(r > first_sec, block_until(r)),
+        ),
     )
+    # Other days neither hand on a block nor can be changed by one, so few days are chained.
     days = by_day.select(
         "ip_hash", "day", block_until(F.lit(0)).alias("free_lead"), leads.alias("leads")
-    )
+    ).filter("free_lead > 0 or leads is not null")
     chain = days.groupBy("ip_hash").agg(
-        F.array_sort(F.collect_list(F.struct("day", "free_lead", "leads"))).alias("days")
+        F.sort_array(F.collect_list(F.struct("day", "free_lead", "leads"))).alias("days")
     )
     start = F.struct(
         F.lit(None).cast("bigint").alias("at"),
@@ -72,11 +77,11 @@ def _accepted_seconds(candidates: DataFrame, gap: int) -> DataFrame:
 
     def step(acc: Column, d: Column) -> Column:
         carry = F.when(d["day"] == acc["at"] + 1, acc["carry"]).otherwise(F.lit(0))
-        lead = F.element_at(d["leads"], carry + 1)
+        lead = F.coalesce(F.element_at(d["leads"], carry + 1), d["free_lead"])
         entry = F.struct(d["day"].alias("day"), carry.alias("carry"))
         return F.struct(
             d["day"].alias("at"),
-            F.when(lead < 0, d["free_lead"]).otherwise(lead).alias("carry"),
+            lead.alias("carry"),
             F.when(carry > 0, F.concat(acc["out"], F.array(entry))).otherwise(acc["out"]).alias("out"),
         )
 
@@ -138,20 +143,29 @@ def admit_uploads(
         .groupBy("ip_hash", "ts")
         .agg(F.min("attempt_id").alias("first_id"))
     )
-    taken = _accepted_seconds(candidates, gap).select(
-        "ip_hash", F.struct(F.col("ts").alias("at"), "first_id").alias("hit")
-    )
-    # An acceptance blocks attempts of its own slot of ``gap`` seconds and of the next one only.
+    # At most one upload is accepted per slot of ``gap`` seconds, and it blocks attempts of its own
+    # slot and of the next one only.
+    own = F.col("slot") == C.whole_div(F.col("at"), gap)
     blockers = (
-        taken.withColumn("slot", F.explode(F.array(*[C.whole_div(F.col("hit")["at"], gap) + k for k in (0, 1)])))
+        _accepted_seconds(candidates, gap)
+        .select("ip_hash", F.col("ts").alias("at"), "first_id")
+        .withColumn("slot", F.explode(F.array(*[C.whole_div(F.col("at"), gap) + k for k in (0, 1)])))
         .groupBy("ip_hash", "slot")
-        .agg(F.collect_set("hit").alias("hits"))
+        .agg(
+            F.max(F.when(own, F.col("at"))).alias("own_at"),
+            F.max(F.when(own, F.col("first_id"))).alias("own_id"),
+            F.max(F.when(~own, F.col("at"))).alias("before_at"),
+        )
     )
-    mine = F.get(F.filter("hits", lambda h: (h["at"] <= F.col("ts")) & (h["at"] > F.col("ts") - gap)), F.lit(0))
     judged = checked.withColumn("slot", C.whole_div(F.col("ts"), gap)).join(
         blockers, ["ip_hash", "slot"], "left"
-    ).withColumn("hit", mine)
-    limited = (F.col("hit")["at"] < F.col("ts")) | (F.col("hit")["first_id"] < F.col("attempt_id"))
+    )
+    limited = F.coalesce(
+        (F.col("before_at") > F.col("ts") - gap)
+        | (F.col("own_at") < F.col("ts"))
+        | ((F.col("own_at") == F.col("ts")) & (F.col("own_id") < F.col("attempt_id"))),
+        F.lit(False),
+    )
     code = F.when(F.col("held") | limited, 429).otherwise(F.coalesce("fault", F.lit(201))).cast("bigint")
     stored = F.col("code") == 201
     return judged.withColumn("code", code).select(

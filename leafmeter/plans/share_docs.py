@@ -11,7 +11,7 @@ from leafmeter.operators import stats
 
 def _ranked_list(rows: DataFrame, name: str, fields: list[str]) -> DataFrame:
     """At most a handful of ranked rows per slug as one array in rank order."""
-    ordered = F.array_sort(F.collect_list(F.struct("rank", *fields)))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", *fields)))
     return rows.groupBy("slug").agg(
         F.transform(ordered, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name)
     )
@@ -31,7 +31,7 @@ def share_stats(shares: DataFrame, views: DataFrame, now: int, limits: Limits =
     days = (
         stats.daily_trend(shares, views, now, limits.trend_days)
         .groupBy("slug")
-        .agg(F.array_sort(F.collect_list(F.struct("date", "views"))).alias("dailyViews"))
+        .agg(F.sort_array(F.collect_list(F.struct("date", "views"))).alias("dailyViews"))
     )
     empty = F.array()
     return (

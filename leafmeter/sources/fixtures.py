@@ -268,7 +268,7 @@ class Fixtures:
                 .alias("token"),
             ).alias("entry"),
         )
-        tokens = F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["token"])
+        tokens = F.transform(F.sort_array(F.collect_list("entry")), lambda e: e["token"])
         rid = F.col("request_id")
         return (
             rows.groupBy("request_id")
