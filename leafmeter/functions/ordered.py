@@ -14,11 +14,12 @@ from leafmeter.session import settled
 
 
 def running_total(
-    df: DataFrame, keys: list[str], order: list[Column], value: str, out: str
+    df: DataFrame, keys: list[str], order: list[Column], totals: dict[str, str]
 ) -> DataFrame:
-    """Add ``out``: inclusive total of ``value`` per ``keys`` up to the row, in ``order``.
+    """Add inclusive totals per ``keys`` up to each row, in ``order``.
 
-    ``keys`` must be non-NULL and (keys, order) unique, or the totals of equal rows are arbitrary.
+    ``totals`` maps a column to sum to the name of its total.  ``keys`` must be non-NULL and
+    (keys, order) unique, or the totals of equal rows are arbitrary.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The range bounds come from sampling, so the cut must be computed exactly once.
@@ -28,19 +29,26 @@ def running_total(
         )
     )
     earlier = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(*keys, "_cut")
-        .agg(F.sum(value).alias("_sum"))
-        .select(*keys, "_cut", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    )
     within = (
         Window.partitionBy(*keys, "_cut")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        cut.withColumn("_local", F.sum(value).over(within))
-        .join(offsets, [*keys, "_cut"])
-        .withColumn(out, (F.col("_local") + F.col("_before")).cast("bigint"))
-        .drop("_cut", "_local", "_before")
+    offsets = (
+        cut.groupBy(*keys, "_cut")
+        .agg(*[F.sum(value).alias(f"_sum_{value}") for value in totals])
+        .select(
+            *keys,
+            "_cut",
+            *[
+                F.coalesce(F.sum(f"_sum_{value}").over(earlier), F.lit(0)).alias(f"_before_{value}")
+                for value in totals
+            ],
+        )
     )
+    rows = cut.join(offsets, [*keys, "_cut"])
+    sums = {
+        out: (F.sum(value).over(within) + F.col(f"_before_{value}")).cast("bigint")
+        for value, out in totals.items()
+    }
+    return rows.withColumns(sums).drop("_cut", *[f"_before_{value}" for value in totals])

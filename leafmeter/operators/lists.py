@@ -61,8 +61,7 @@ def _numbered(shares: DataFrame) -> DataFrame:
         _owned(shares).withColumn("_one", F.lit(1)),
         ["owner_key_hash"],
         [F.desc("created_at"), F.desc("slug")],
-        "_one",
-        "pos",
+        {"_one": "pos"},
     ).drop("_one")
 
 
@@ -115,8 +114,7 @@ def owner_seek(requests: DataFrame, shares: DataFrame) -> DataFrame:
         shared.unionByName(seeks),
         ["owner_key_hash"],
         [F.desc("created_at"), F.desc("slug"), F.desc("is_share"), F.asc("request_id")],
-        "is_share",
-        "place",
+        {"is_share": "place"},
     )
     numbered = placed.filter("is_share = 1").select("owner_key_hash", F.col("place").alias("pos"), "slug", "created_at")
     found = placed.filter("is_share = 0").select("request_id", "owner_key_hash", "limit", F.col("place").alias("start"))

@@ -224,15 +224,12 @@ def _chunk_chainer():
 def _accepted_conditionals(conditional: DataFrame) -> DataFrame:
     """Ids of the conditional restores that pass: ``(slug, op_id)``.
 
-    ``conditional`` holds ``slug, op_id, place, need``: the op passes if at least ``need`` conditional
-    ops of its slug passed before it.  A slug's ops are cut into chunks of bounded size; a chunk is
-    worked out without knowing what came before, and only slugs of several chunks are chained, over
-    distinct thresholds per chunk.
+    ``conditional`` holds ``slug, op_id, nth, need``: the nth conditional op of its slug passes if at
+    least ``need`` conditional ops passed before it.  A slug's ops are cut into chunks of bounded
+    size; a chunk is worked out without knowing what came before, and only slugs of several chunks
+    are chained, over distinct thresholds per chunk.
     """
-    numbered = running_total(
-        conditional.withColumn("_one", F.lit(1)), ["slug"], [F.asc("place")], "_one", "nth"
-    )
-    chunked = numbered.withColumn("chunk", C.whole_div(F.col("nth") - 1, CHUNK)).select(
+    chunked = conditional.withColumn("chunk", C.whole_div(F.col("nth") - 1, CHUNK)).select(
         "slug", "op_id", "chunk", "nth", "need"
     )
     found = settled(
@@ -253,18 +250,16 @@ def _accepted_conditionals(conditional: DataFrame) -> DataFrame:
     )
 
 
-def _free_before(strays: DataFrame, asked: DataFrame) -> DataFrame:
-    """Adds ``strays_upto`` to ``asked``: occupied numbers of its slug up to ``number``."""
+def _marked_numbers(strays: DataFrame, asked: DataFrame) -> DataFrame:
+    """Strays and asked-for numbers with ``strays_upto``, the occupied numbers of the slug up to them."""
     marks = strays.select(
-        "slug", F.col("version").alias("number"), F.lit(1).alias("is_stray"), F.lit(None).cast("bigint").alias("op_id")
+        "slug", "first_latest", F.col("version").alias("number"), F.lit(1).alias("is_stray"), F.lit(0).cast("bigint").alias("op_id")
     )
-    both = marks.unionByName(asked.select("slug", "number", F.lit(0).alias("is_stray"), "op_id"))
-    return (
-        running_total(
-            both, ["slug"], [F.asc("number"), F.desc("is_stray"), F.asc("op_id")], "is_stray", "strays_upto"
-        )
-        .filter("is_stray = 0")
-        .select("slug", "op_id", "strays_upto")
+    both = marks.unionByName(
+        asked.select("slug", "first_latest", F.col("arg").alias("number"), F.lit(0).alias("is_stray"), "op_id")
+    )
+    return running_total(
+        both, ["slug"], [F.asc("number"), F.desc("is_stray"), F.asc("op_id")], {"is_stray": "strays_upto"}
     )
 
 
@@ -282,7 +277,7 @@ def _number_of(strays: DataFrame, accepted: DataFrame) -> DataFrame:
     # Ops with the same count as a stray come before it.
     return (
         running_total(
-            both, ["slug"], [F.asc("nth"), F.asc("is_stray"), F.asc("op_id")], "is_stray", "shift"
+            both, ["slug"], [F.asc("nth"), F.asc("is_stray"), F.asc("op_id")], {"is_stray": "shift"}
         )
         .filter("is_stray = 0")
         .select("slug", "op_id", "shift")
@@ -312,9 +307,13 @@ def _op_outcomes(ops: DataFrame, shares: DataFrame, stored: DataFrame, limits: L
     # Occupied numbers above the first latest version, and the first run of them too long to step over.
     touched = log.filter("refused is null").select("slug", "first_latest").distinct()
     strays = stored.join(touched, "slug").filter("version > first_latest").select("slug", "version", "first_latest")
-    strays = running_total(
-        strays.withColumn("_one", F.lit(1)), ["slug"], [F.asc("version")], "_one", "stray_no"
-    ).drop("_one")
+    # Restores of versions above the first latest one depend on the writes before them.
+    ahead = log.filter("refused is null and op = 'restore' and arg > first_latest")
+    marked = _marked_numbers(strays, ahead)
+    strays = marked.filter("is_stray = 1").select(
+        "slug", "first_latest", F.col("number").alias("version"), F.col("strays_upto").alias("stray_no")
+    )
+    upto = marked.filter("is_stray = 0").select("slug", "op_id", "strays_upto")
     blocks = (
         strays.groupBy("slug", "first_latest", (F.col("version") - F.col("stray_no")).alias("run"))
         .agg(F.count("*").alias("length"))
@@ -323,10 +322,7 @@ def _op_outcomes(ops: DataFrame, shares: DataFrame, stored: DataFrame, limits: L
         .agg(F.min(F.col("run") - F.col("first_latest")).alias("max_writes"))
     )
 
-    # Restores of versions above the first latest one depend on the writes before them.
     live = log.filter("refused is null").join(blocks, "slug", "left")
-    ahead = live.filter("op = 'restore' and arg > first_latest")
-    upto = _free_before(strays, ahead.select("slug", F.col("arg").alias("number"), "op_id"))
     old = stored.select("slug", F.col("version").alias("arg"), F.lit(True).alias("found"))
     staged = (
         live.join(upto, ["slug", "op_id"], "left")
@@ -347,21 +343,19 @@ def _op_outcomes(ops: DataFrame, shares: DataFrame, stored: DataFrame, limits: L
     reachable = F.coalesce(need <= F.col("max_writes"), F.lit(True))
     staged = (
         staged.withColumn("need", need)
-        .withColumn("possible", present & reachable)
         .withColumn("sure", (F.col("kind") == "write").cast("int"))
+        .withColumn("open", (F.col("need").isNotNull() & present & reachable).cast("int"))
     )
-    placed = running_total(
-        staged, ["slug"], [F.asc("ts"), F.asc("op_id")], "sure", "sure_upto"
-    )
-    placed = settled(placed.withColumn("place", F.struct("ts", "op_id")))
-    conditional = placed.filter("need is not null and possible").select(
-        "slug", "op_id", "place", (F.col("need") - F.col("sure_upto")).alias("need")
+    in_order = [F.asc("ts"), F.asc("op_id")]
+    placed = running_total(staged, ["slug"], in_order, {"sure": "sure_upto", "open": "open_upto"})
+    conditional = placed.filter("open = 1").select(
+        "slug", "op_id", F.col("open_upto").alias("nth"), (F.col("need") - F.col("sure_upto")).alias("need")
     )
     passed = _accepted_conditionals(conditional).withColumn("passed", F.lit(1))
     judged = placed.join(passed, ["slug", "op_id"], "left").withColumn(
         "wrote", F.greatest(F.col("sure"), F.coalesce("passed", F.lit(0)))
     )
-    counted = settled(running_total(judged, ["slug"], [F.asc("place")], "wrote", "nth"))
+    counted = running_total(judged, ["slug"], in_order, {"wrote": "nth"})
     fits = (F.col("wrote") == 1) & F.coalesce(F.col("nth") <= F.col("max_writes"), F.lit(True))
     numbers = _number_of(strays, counted.filter(fits).select("slug", "nth", "op_id"))
     # Writes done when a restore was refused tell whether its version was the live one or none at all.

@@ -21,7 +21,7 @@ def test_running_total_equals_plain_sum(spark):
     rnd = random.Random(5)
     data = [("hot" if i % 3 else f"k{i % 5}", rnd.randrange(40), i, rnd.randrange(-3, 9)) for i in range(700)]
     df = spark.createDataFrame(data, "k string, a bigint, b bigint, v bigint")
-    got = {r.b: r.t for r in running_total(df, ["k"], [F.desc("a"), F.asc("b")], "v", "t").collect()}
+    got = {r.b: r.t for r in running_total(df, ["k"], [F.desc("a"), F.asc("b")], {"v": "t"}).collect()}
     want, sums = {}, {}
     for k, _, b, v in sorted(data, key=lambda x: (x[0], -x[1], x[2])):
         want[b] = sums[k] = sums.get(k, 0) + v
