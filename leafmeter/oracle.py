@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from leafmeter.limits import BOT_PATTERNS
+from leafmeter.limits import BOT_PATTERNS, BROWSER_WORDS, CLIENT_PREFIXES
 from leafmeter.operators.hits import REPORT_FOOTER
 from leafmeter.sources.fixtures import HOST, NOW, SALT, UPLOAD_AGENTS, USER_AGENTS, YEAR_2024
 
@@ -85,9 +85,9 @@ def label(stored: str) -> str:
 
 
 def channel(ua: str) -> str:
-    return f"""(CASE WHEN {ua} IS NULL OR {ua} = '' THEN 'other' WHEN starts_with({ua}, 'qhs-mcp/') THEN 'mcp'
-        WHEN starts_with({ua}, 'qhs-skill/') THEN 'skill' WHEN starts_with({ua}, 'curl/') THEN 'curl'
-        WHEN regexp_matches({ua}, '(?i)mozilla|chrome|safari|firefox|edge|webkit') THEN 'web' ELSE 'other' END)"""
+    prefixes = " ".join(f"WHEN starts_with({ua}, {text(p)}) THEN {text(c)}" for p, c in CLIENT_PREFIXES)
+    return f"""(CASE WHEN {ua} IS NULL OR {ua} = '' THEN 'other' {prefixes}
+        WHEN regexp_matches({ua}, {text(BROWSER_WORDS)}) THEN 'web' ELSE 'other' END)"""
 
 
 def cursor(created: str, s: str) -> str:
