@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmeter.llm import substring_dedup
+from leafmeter.llm import substring_dedup, suffix_dedup
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,7 +19,19 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_dedup.remove_strings(_documents(spark, folder))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + (r["end"] - r["begin"]))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup,)
+    f.__name__: f for f in (op1_substring_dedup, op6_suffix_array_dedup)
 }
 ORACLES: dict[str, str] = {}

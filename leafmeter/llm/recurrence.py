@@ -21,8 +21,8 @@ PHRASES = "fp long, doc_id long, text_key long, pos int, lo int, hi int"
 _ARROW = pa.schema(
     [("fp", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]
 )
-#: Phrases at more places than this are grouped window by window in Spark, not inside one task.
-HOT = 1000
+#: Phrases at more places than this are dealt over several groups, which Spark then compares.
+HOT = 4000
 _PLACE = 28
 
 
@@ -75,11 +75,17 @@ def marked_documents(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(marks, same_document(docs, marks)).select(docs["*"], "pos", "lo", "hi", "fp", "n")
 
 
-def split_hot(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Segments whose phrase one task can hold, dealt by phrase and sorted; and the others."""
+def dealt(segments: DataFrame) -> DataFrame:
+    """Segments dealt and sorted by ``bucket``: their phrase, or a part of its places if it is ``hot``."""
     parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = segments.filter(F.col("n") <= HOT).repartition(parts, "fp").sortWithinPartitions("fp")
-    return cold, segments.filter(F.col("n") > HOT)
+    hot = F.col("n") > HOT
+    part = F.pmod(F.xxhash64("doc_id", "text_key"), F.ceil(F.col("n") / HOT))
+    bucket = F.when(hot, F.xxhash64("fp", part)).otherwise(F.col("fp"))
+    return (
+        segments.withColumns({"bucket": bucket, "hot": hot})
+        .repartition(parts, "bucket")
+        .sortWithinPartitions("bucket")
+    )
 
 
 def listed(batch: pa.RecordBatch, name: str) -> np.ndarray:

@@ -20,7 +20,6 @@ SHARD_BYTES = 1 << 20
 
 _BYTE_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SPANS = "doc_id long, text_key long, begin int, end int"
-_SPAN_ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
 
 
 def _phrases(words: int):
@@ -60,28 +59,19 @@ def _segments(words: int):
     return work
 
 
-def _spans(table: pa.Table, row: list[int], begin: list[int], words: int) -> pa.RecordBatch:
-    """Uncovered window starts as merged word ranges of the rows' documents."""
-    at = np.array(row, np.int64)
-    start = np.array(begin, np.int64)
-    at, start, end = merged(at, start, start + words)
-    take = pa.array(at)
-    table = table.select(["doc_id", "text_key"]).take(take).combine_chunks()
-    columns = [c.chunk(0) if c.num_chunks else pa.array([], pa.int64()) for c in table.columns]
-    return pa.RecordBatch.from_arrays(
-        columns + [pa.array(start, pa.int32()), pa.array(end, pa.int32())], schema=_SPAN_ARROW
-    )
-
-
 def _search(words: int):
-    """Confirm the recurring windows of a shard, compile them, and stream its segments through the automaton."""
+    """Confirm the recurring windows of a shard, compile them, and stream its segments through the automaton.
+
+    Results are merged word ranges; for hot phrases also each distinct window's digest and first place.
+    """
 
     def shard(table: pa.Table) -> pa.RecordBatch:
         # In order of (document, place), so that the first sight of a window is its earliest place.
-        table = table.sort_by([("doc_id", "ascending"), ("begin", "ascending")], null_placement="at_start")
+        table = table.sort_by([("doc_id", "ascending"), ("begin", "ascending")], null_placement="at_start").combine_chunks()
         letters: dict[bytes, str] = {}
         texts = []
-        for segment in table.column("segment").to_pylist():
+        segments = table.column("segment").to_pylist()
+        for segment in segments:
             found = _BYTE_WORD.findall(segment)
             for word in found:
                 if word not in letters:
@@ -90,18 +80,18 @@ def _search(words: int):
             texts.append("".join([letters[word] for word in found]))
         begins = table.column("begin").to_pylist()
         ids = [(-1, 0) if d is None else (0, d) for d in table.column("doc_id").to_pylist()]
+        # A window's first place as one number; its complement once the window recurs.
         seen: dict[str, int] = {}
         recurring = ahocorasick.Automaton()
         for k, text in enumerate(texts):
             for i in range(len(text) - words + 1):
-                passage = text[i : i + words]
-                earliest = seen.setdefault(passage, k << 20 | i)
-                if earliest >= 0 and earliest != k << 20 | i:
+                passage, place = text[i : i + words], k << 20 | i
+                earliest = seen.setdefault(passage, place)
+                if earliest >= 0 and earliest != place:
                     k0, i0 = earliest >> 20, earliest & 0xFFFFF
                     recurring.add_word(passage, (ids[k0], begins[k0] + i0))
-                    seen[passage] = -1
-        rows: list[int] = []
-        places: list[int] = []
+                    seen[passage] = ~earliest
+        rows, places = [], []
         if len(recurring):
             recurring.make_automaton()
             for k, text in enumerate(texts):
@@ -110,32 +100,34 @@ def _search(words: int):
                     if (ids[k], place) > earliest:
                         rows.append(k)
                         places.append(place)
-        return _spans(table, rows, places, words)
-
-    def run(batches):
-        for table in gathered(batches, "fp", SHARD_BYTES, "segment"):
-            yield shard(table)
-
-    return run
-
+        start = np.array(places, np.int64)
+        row, begin, end = merged(np.array(rows, np.int64), start, start + words)
+        hot = table.column("hot").to_pylist()
+        lead_row, lead_begin, lead = [], [], []
+        if any(hot):
+            names = {letter: word for word, letter in letters.items()}
+            for passage, place in seen.items():
+                place = place if place >= 0 else ~place
+                if hot[place >> 20]:
+                    lead_row.append(place >> 20)
+                    lead_begin.append(begins[place >> 20] + (place & 0xFFFFF))
+                    lead.append(hashlib.blake2b(b" ".join([names[c] for c in passage]), digest_size=16).digest())
+        row = np.concatenate([row, np.array(lead_row, np.int64)])
+        begin = np.concatenate([begin, np.array(lead_begin, np.int64)])
+        end = np.concatenate([end, np.array(lead_begin, np.int64) + words])
+        keys = table.select(["doc_id", "text_key"]).take(pa.array(row)).combine_chunks()
+        columns = [c.chunk(0) if c.num_chunks else pa.array([], pa.int64()) for c in keys.columns]
+        window = pa.array([None] * (len(row) - len(lead)) + lead, pa.binary())
+        return pa.RecordBatch.from_arrays(
+            columns + [pa.array(begin, pa.int32()), pa.array(end, pa.int32()), window],
+            names=["doc_id", "text_key", "begin", "end", "window"],
+        )
 
-def _windows(words: int):
-    """Every window of the segments as a digest of its words."""
+    limit = SHARD_BYTES
 
     def run(batches):
-        for batch in batches:
-            row, place, digest = [], [], []
-            for k, (segment, begin) in enumerate(zip(batch.column("segment").to_pylist(), batch.column("begin").to_pylist())):
-                found = _BYTE_WORD.findall(segment)
-                for i in range(len(found) - words + 1):
-                    row.append(k)
-                    place.append(begin + i)
-                    digest.append(hashlib.blake2b(b" ".join(found[i : i + words]), digest_size=16).digest())
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digest, pa.binary()), batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(place, pa.int32())],
-                names=["window", "doc_id", "text_key", "begin"],
-            )
+        for table in gathered(batches, "bucket", limit, "segment"):
+            yield shard(table)
 
     return run
 
@@ -146,9 +138,9 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     Phrases (5-word grams chosen by content) are counted over all documents; the windows around
     recurring ones are routed by phrase, a shard of them at a time is confirmed, compiled into an
-    Aho-Corasick automaton whose letters are words, and all its segments are streamed through.  Phrases at
-    over ``recurrence.HOT`` places never meet in a task: their windows are grouped by Spark with map-side
-    combining and joined back, which AQE splits where one window is frequent.
+    Aho-Corasick automaton whose letters are words, and all its segments are streamed through.  A phrase at
+    over ``recurrence.HOT`` places is dealt over several shards; each then sends one row per distinct window,
+    and Spark finds the earliest of these.
 
     NULL doc_id sorts before all others.  Rows that share a doc_id are one place: equal windows at equal
     starts of these are not repeats of each other.
@@ -160,17 +152,13 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
         rec.map_slices(marked, _segments(words), "fp long, n long, doc_id long, text_key long, begin int, segment binary"),
         "segments",
     )
-    cold, hot = rec.split_hot(segments)
-    near = cold.mapInArrow(_search(words), _SPANS)
-    windows = hot.mapInArrow(_windows(words), "window binary, doc_id long, text_key long, begin int")
+    found = stored(rec.dealt(segments).mapInArrow(_search(words), _SPANS + ", window binary"), "passages")
     place = F.struct("doc_id", "begin")
-    earliest = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    far = (
-        windows.join(earliest, "window")
-        .filter(place > F.col("first"))
-        .select("doc_id", "text_key", "begin", (F.col("begin") + words).alias("end"))
-    )
-    return near.unionByName(far)
+    leads = found.filter("window IS NOT NULL")
+    earliest = leads.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = leads.join(earliest, "window").filter(place > F.col("first"))
+    columns = ["doc_id", "text_key", "begin", "end"]
+    return found.filter("window IS NULL").select(columns).unionByName(later.select(columns))
 
 
 def remove_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:

@@ -55,6 +55,7 @@ def test_equals_brute_force(spark):
 
 def test_frequent_phrases_take_the_other_path(spark, monkeypatch):
     monkeypatch.setattr(recurrence, "HOT", 4)
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 500)
     rows = corpus(2)
     assert run(spark, rows) == brute(rows)
 
