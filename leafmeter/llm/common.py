@@ -184,3 +184,30 @@ def gathered(batches: Iterator[pa.RecordBatch], key: str, limit: int, weight: st
         held, size = rest.to_batches(), 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def ragged(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``flat[offsets[i]:offsets[i + 1]]`` for every i of ``index`` end to end, and their sizes."""
+    size = offsets[index + 1] - offsets[index]
+    ends = np.cumsum(size)
+    shift = np.repeat(offsets[index] - (ends - size), size)
+    return flat[np.arange(len(shift)) + shift], size
+
+
+class Lists:
+    """A growing list of integer lists with a number for each key, such as the token ids of a word."""
+
+    def __init__(self, limit: int = 300_000):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict = {}
+        self.flat = np.zeros(0, np.int64)
+        self.offsets = np.zeros(1, np.int64)
+
+    def add(self, lists: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        values = np.fromiter((x for one in lists for x in one), np.int64, int(sizes.sum()))
+        self.flat = np.concatenate([self.flat, values])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])

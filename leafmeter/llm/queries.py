@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmeter.llm import substring_dedup, suffix_dedup
+from leafmeter.llm import exact_dedup, packing, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +20,36 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.token_pieces(_documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+    digests = pieces.select("doc_id", "text_key", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack(digests).drop("text_key")
+
+
+def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    # One half of the documents is the history, the other half arrives and is looked up.
+    old = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return exact_dedup.deduplicate(_documents(spark, folder), old)
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"), ~toxicity.held_out())
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    out = simhash.near_duplicates(_documents(spark, folder))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    out = quality_rules.judged(_documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.drop("lang")
+
+
 def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = suffix_dedup.remove_strings(_documents(spark, folder))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + (r["end"] - r["begin"]))
@@ -32,6 +63,22 @@ def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op6_suffix_array_dedup)
+    f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_exact_dedup, op4_toxicity, op5_simhash, op6_suffix_array_dedup, op9_quality_rules)
+}
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text FROM documents
+        ), n AS (
+            SELECT doc_id, length(text) AS size,
+                sha256(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS h
+            FROM t
+        ), r AS (
+            SELECT *,
+                first_value(doc_id) OVER (PARTITION BY h ORDER BY size DESC, doc_id) AS keep_id,
+                count(*) OVER (PARTITION BY h) AS group_size
+            FROM n
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM r
+    """,
 }
-ORACLES: dict[str, str] = {}
