@@ -18,15 +18,18 @@ SLICE_BYTES = 1 << 21
 _STEP = 0x9E3779B97F4A7C15
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` (NULL: empty) and ``text_key``; other columns are left out.
+def keyed(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """``doc_id``, ``text`` (NULL: empty) and ``text_key``; other columns are left out, or with ``carry`` kept in the
+    struct ``row``.
 
     (doc_id, text_key) names a row for joins, so rows that share a doc_id but not a text stay apart, and
     repeated rows get equal results.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    others = [docs[c] for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    row = [F.struct(*others, F.lit(True).alias("_")).alias("row")] if carry else []
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key")
+        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"), *row
     )
 
 
@@ -35,6 +38,13 @@ def same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])
 
 
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, text_key) is not among ``dropped``, with all their columns."""
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), key.alias("text_key"))
+    return rows.join(dropped, same_document(rows, dropped), "left_anti").select("row.*")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a step to the shared scratch folder and read it back, so that lost executors cost no earlier
     step, and let the driver drop the step's shuffle files."""

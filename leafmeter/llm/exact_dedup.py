@@ -17,12 +17,14 @@ _GROUPS = "digest binary, keep_id long, n_chars long, n long"
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """``doc_id``, code points of the text, and SHA-256 of the text without white space; NULL text is empty."""
+    """``doc_id``, code points of the text, SHA-256 of the text without white space, and the text's key; NULL text is
+    empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.length(text).cast("long").alias("n_chars"),
         F.unhex(F.sha2(F.translate(text, SPACES, "").cast("binary"), 256)).alias("digest"),
+        F.xxhash64(text).alias("text_key"),
     )
 
 
@@ -158,13 +160,14 @@ def duplicate_groups(history: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, is_history: Column) -> DataFrame:
-    """Every row of ``docs`` with ``keep_id, group_size, kept, text_sha256``.
+    """``doc_id, keep_id, group_size, kept, text_sha256, text_key`` of every row of ``docs``.
 
     Texts are equal when they are identical without white space.  Of equal texts the row with the most code
     points stays, then the smallest doc_id (NULL last).  Rows with ``is_history`` true are indexed, the others looked
     up; the result is the same for any choice.  Rows that share both doc_id and text stand or fall together.
     """
-    rows = stored(digests(docs).withColumn("_old", F.coalesce(is_history, F.lit(False))), "rows")
+    rows = digests(docs).withColumn("_old", F.coalesce(is_history, F.lit(False)))
+    rows = stored(rows, "rows")
     groups = duplicate_groups(rows.filter("_old").drop("_old"), rows.filter("NOT _old").drop("_old"))
     # A text without copies is its own group; only the others need the join.
     several = stored(groups.filter("n > 1"), "groups").withColumnRenamed("n_chars", "most")
@@ -176,4 +179,5 @@ def deduplicate(docs: DataFrame, is_history: Column) -> DataFrame:
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("most")))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "text_key",
     )

@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmeter.llm import exact_dedup, packing, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity
+from leafmeter.llm import (
+    exact_dedup,
+    hmm,
+    license_scan,
+    packing,
+    pieces,
+    quality_rules,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+)
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,15 +32,15 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = packing.token_pieces(_documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
-    digests = pieces.select("doc_id", "text_key", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    cut = packing.token_pieces(_documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+    digests = cut.select("doc_id", "text_key", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return packing.pack(digests).drop("text_key")
 
 
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     # One half of the documents is the history, the other half arrives and is looked up.
     old = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
-    return exact_dedup.deduplicate(_documents(spark, folder), old)
+    return exact_dedup.deduplicate(_documents(spark, folder), old).drop("text_key")
 
 
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,6 +56,14 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, folder)).drop("text_key")
+
+
+def op8_hidden_markov_model(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm.score_texts(_documents(spark, folder), hmm.held_out()).drop("text_key")
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     out = quality_rules.judged(_documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
     return out.drop("lang")
@@ -62,8 +81,33 @@ def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    out = pieces.decode(pieces.encode(_documents(spark, folder), model), model)
+    return out.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_pieces"),
+        "n_byte_pieces",
+        "score",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_exact_dedup, op4_toxicity, op5_simhash, op6_suffix_array_dedup, op9_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_packing,
+        op3_exact_dedup,
+        op4_toxicity,
+        op5_simhash,
+        op6_suffix_array_dedup,
+        op7_license_scan,
+        op8_hidden_markov_model,
+        op9_quality_rules,
+        op10_sentencepiece,
+    )
 }
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": r"""

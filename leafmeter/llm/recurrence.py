@@ -13,9 +13,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from leafmeter.llm.common import same_document, sliding_least, stored
+from leafmeter.llm.common import same_document, sliding_least, slices, stored
 
 PHRASES = "fp long, doc_id long, text_key long, pos int, lo int, hi int"
 _ARROW = pa.schema(
@@ -106,9 +106,8 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.join(per_doc, same_document(docs, per_doc), "left").select(docs["*"], "spans")
 
 
-def map_slices(docs: DataFrame, work: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+def map_slices(docs: DataFrame, work: Callable[..., pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
     """``work(rows, bytes, offsets)`` on bounded slices of the documents."""
-    from leafmeter.llm.common import slices
 
     def run(batches):
         for batch in batches:

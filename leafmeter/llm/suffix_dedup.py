@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from leafmeter.llm import recurrence as rec
 from leafmeter.llm.common import ByteHashes, counts_of, gathered, keyed, merged, mixed, pair_ids, stored
@@ -243,15 +243,16 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return found.filter("cell IS NULL").select(columns).unionByName(far.select(columns))
 
 
-def remove_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Documents without bytes of repeated strings: ``doc_id, text_key, n_bytes, removed, kept``.
+def remove_strings(docs: DataFrame, length: int = LENGTH, carry: bool = False) -> DataFrame:
+    """Documents without bytes of repeated strings: ``doc_id, text_key, n_bytes, removed, kept``, and with ``carry``
+    the other columns in the struct ``row``.
 
     ``removed`` lists the maximal (begin, end) byte ranges taken out, ``kept`` is the rest as binary (a
     cut may fall inside a character).  One row per input row, NULL text counting as empty; repeated rows are
     documents of their own, so texts of at least ``length`` bytes in them repeat each other.
     """
-    base = keyed(docs)
-    joined = rec.with_spans(base, repeated_strings(docs, length))
+    joined = rec.with_spans(keyed(docs, carry), repeated_strings(docs, length))
+    extra = ["row"] if carry else []
 
     def work(rows, data, offsets):
         row = rec.list_rows(rows, "spans")
@@ -273,10 +274,11 @@ def remove_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=["begin", "end"]),
         )
         return pa.RecordBatch.from_arrays(
-            [rows.column("doc_id"), rows.column("text_key"), pa.array(np.diff(offsets)), removed, pa.array(kept, pa.binary())],
-            names=["doc_id", "text_key", "n_bytes", "removed", "kept"],
+            [rows.column("doc_id"), rows.column("text_key"), pa.array(np.diff(offsets)), removed, pa.array(kept, pa.binary())]
+            + [rows.column(c) for c in extra],
+            names=["doc_id", "text_key", "n_bytes", "removed", "kept", *extra],
         )
 
-    return rec.map_slices(
-        joined, work, "doc_id long, text_key long, n_bytes long, removed array<struct<begin:int,end:int>>, kept binary"
-    )
+    schema = "doc_id long, text_key long, n_bytes long, removed array<struct<begin:int,end:int>>, kept binary"
+    fields = T.StructType([*T.StructType.fromDDL(schema).fields, *[joined.schema[c] for c in extra]])
+    return rec.map_slices(joined, work, fields)

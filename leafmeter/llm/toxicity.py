@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -252,6 +253,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return base.mapInArrow(run, f"doc_id long, score double, passages {_SEGMENTS}")
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score under one half, with all their columns."""
+
+    @F.pandas_udf("double")
+    def probability(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: model.probability(passages(t or "", model)[1]))
+
+    return docs.filter(probability(F.col("text").cast("string")) < 0.5)
+
+
 def held_out() -> Column:
     """True for one document in five, and for those without an id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))

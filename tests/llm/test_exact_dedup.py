@@ -29,7 +29,7 @@ def test_equals_brute_force(spark):
     rows += [(None, "ab"), (None, "null id"), (3, "ab"), (3, "ab")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'n' AS n", "1 AS digest", "2 AS keep_id")
     for history in (F.lit(False), F.lit(True), F.col("doc_id") % 2 == 0, F.col("doc_id") < 900):
-        got = sorted([tuple(x) for x in exact_dedup.deduplicate(docs, history).collect()], key=str)
+        got = sorted([tuple(x)[:5] for x in exact_dedup.deduplicate(docs, history).collect()], key=str)
         assert got == brute(rows)
 
 
@@ -42,7 +42,7 @@ def test_many_shards(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "SHARD_DIGESTS", 20)
     rows = [(i, f"t {i % 150}") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted([tuple(x) for x in exact_dedup.deduplicate(docs, F.col("doc_id") < 170).collect()], key=str)
+    got = sorted([tuple(x)[:5] for x in exact_dedup.deduplicate(docs, F.col("doc_id") < 170).collect()], key=str)
     assert got == brute(rows)
 
 
