@@ -12,6 +12,8 @@ def brute(text, templates):
     out = {}
     for name, template in templates.items():
         own = license_scan.words_of(template)[0]
+        if not own:
+            continue
         k = min(5, len(own))
         grams = [tuple(own[i : i + k]) for i in range(len(own) - k + 1)]
         mine = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
