@@ -16,7 +16,6 @@ class Limits:
     pending_age_seconds: int = 300
     keep_versions: int = 10
     write_attempts: int = 3
-    sweep_shares: int = 50
     pii_retention_seconds: int = 90 * DAY
     top_referrers: int = 5
     top_locations: int = 8
@@ -24,7 +23,6 @@ class Limits:
     page_default: int = 50
     page_max: int = 100
     claim_tokens: int = 50
-    anonymise_rows: int = 10_000
     rate_window_seconds: int = 60
     list_per_ip: int = 60
     list_per_key: int = 30
@@ -42,8 +40,9 @@ LIMITS = Limits()
 SHARE_STATUSES = ("pending", "committed", "deleted")
 REPORT_STATUSES = ("open", "actioned", "dismissed")
 SERVED_SLUG = r"^[a-z0-9]{8,16}$"
-SYNC_KEY_BEARER = r"^Bearer\s+qhsk_[A-Za-z0-9_-]{43}$"
-CLIENT_PREFIXES = (("qhs-mcp/", "mcp"), ("qhs-skill/", "skill"), ("curl/", "curl"))
+KEY_PREFIX = "key_"
+SYNC_KEY_BEARER = rf"^Bearer\s+{KEY_PREFIX}[A-Za-z0-9_-]{{43}}$"
+CLIENT_PREFIXES = (("share-mcp/", "mcp"), ("share-skill/", "skill"), ("curl/", "curl"))
 BROWSER_WORDS = r"(?i)mozilla|chrome|safari|firefox|edge|webkit"
 MAX_VERSION = 2**53 - 1
 

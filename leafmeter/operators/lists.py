@@ -123,21 +123,19 @@ def owner_seek(requests: DataFrame, shares: DataFrame) -> DataFrame:
     )
     wanted = (
         found.unionByName(fresh)
-        .withColumn("step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("limit") + 1)))
+        .withColumn("step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("limit"))))
         .withColumn("pos", F.col("start") + F.col("step"))
     )
-    rows = wanted.join(numbered, ["owner_key_hash", "pos"])
-    # The row after the page only tells whether there is a next one.
-    more = rows.filter("step = limit + 1").select("request_id", F.lit(True).alias("more"))
+    sizes = shared.groupBy("owner_key_hash").agg(F.count("*").alias("size"))
     page = (
-        rows.filter("step <= limit")
-        .join(more, "request_id", "left")
+        wanted.join(numbered, ["owner_key_hash", "pos"])
+        .join(sizes, "owner_key_hash")
         .select(
             "request_id",
             F.col("step").alias("pos"),
             "slug",
             F.when(
-                F.col("more") & (F.col("step") == F.col("limit")),
+                (F.col("step") == F.col("limit")) & (F.col("pos") < F.col("size")),
                 C.encode_cursor(F.col("created_at"), F.col("slug")),
             ).alias("next_cursor"),
         )

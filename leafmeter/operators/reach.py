@@ -22,11 +22,12 @@ def channel_reach(shares: DataFrame) -> DataFrame:
 
 def view_totals(views: DataFrame) -> DataFrame:
     """All views, crawlers included, with distinct slugs and viewers."""
-    return views.agg(
-        F.count("*").alias("total_views"),
-        F.countDistinct("slug").alias("shares_with_views"),
-        F.countDistinct("ip_hash").alias("unique_viewer_ips"),
+    pairs = views.groupBy("slug", "ip_hash").agg(F.count("*").alias("n"))
+    slugs = pairs.groupBy("slug").agg(F.sum("n").alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_views"), F.count("slug").alias("shares_with_views")
     )
+    viewers = pairs.select("ip_hash").distinct().agg(F.count("ip_hash").alias("unique_viewer_ips"))
+    return slugs.select("total_views", "shares_with_views", viewers.scalar().alias("unique_viewer_ips"))
 
 
 def human_days(views: DataFrame) -> DataFrame:

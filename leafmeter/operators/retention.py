@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from leafmeter.functions import columns as C
 from leafmeter.limits import LIMITS
-from leafmeter.sources.tables import RAW_VIEW_FIELDS, replace_days
+from leafmeter.session import settled
+from leafmeter.sources.tables import RAW_VIEW_FIELDS, read_log, replace_parts
 
 
 def _raw_fields_set() -> Column:
@@ -30,32 +31,20 @@ def _with_due(views: DataFrame, shares: DataFrame, now: int) -> DataFrame:
     )
 
 
-def anonymize_views(
-    views: DataFrame, shares: DataFrame, now: int, cap: int | None = None
-) -> DataFrame:
-    """All view rows with a flag ``changed``; the raw fields of changed rows are NULL.
+def anonymize_views(views: DataFrame, shares: DataFrame, now: int) -> DataFrame:
+    """All view rows with a flag ``changed``; the raw fields of changed rows are NULL."""
+    return _cleared(_with_due(views, shares, now), F.col("changed"))
 
-    ``cap`` limits one run to the first rows by id; the rest is left for the next run.
-    """
-    marked = _with_due(views, shares, now)
-    if cap is not None:
-        last = marked.filter("changed").select("id").orderBy("id").limit(cap).agg(F.max("id"))
-        # A run without candidates changes nothing.
-        within = F.coalesce(F.col("id") <= last.scalar(), F.lit(False))
-        marked = marked.withColumn("changed", F.col("changed") & within)
-    return _cleared(marked, F.col("changed"))
-
-
-def anonymize_log(views: DataFrame, shares: DataFrame, now: int, path: str) -> int:
-    """Rewrite only the days of the partitioned log at ``path`` that hold rows to clear."""
-    marked = _with_due(views, shares, now)
-    changed = marked.filter("changed")
-    rows = changed.count()
+
+def anonymize_log(shares: DataFrame, now: int, path: str) -> int:
+    """Rewrite only the parts of the view log at ``path`` that hold rows to clear; their number."""
+    marked = _with_due(read_log(shares.sparkSession, path), shares, now)
+    found = settled(marked.filter("changed").groupBy("day", "batch").agg(F.count("*").alias("n")))
+    rows = found.agg(F.sum("n")).first()[0] or 0
     if rows:
-        # Dynamic partition pruning keeps the scan to the days found.
-        days = changed.select("day").distinct()
-        part = marked.join(days, "day", "left_semi")
-        replace_days(_cleared(part, F.col("changed")).drop("changed"), path)
+        # Dynamic partition pruning keeps the scan to the parts found.
+        part = marked.join(found.select("day", "batch"), ["day", "batch"], "left_semi")
+        replace_parts(_cleared(part, F.col("changed")).drop("changed"), path)
     return rows
 
 

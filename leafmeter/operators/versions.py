@@ -84,21 +84,15 @@ def sweep_eligible(shares: DataFrame, now: int, limits: Limits = LIMITS) -> Data
     )
 
 
-def sweep_taken(shares: DataFrame, now: int, cap: int | None, limits: Limits = LIMITS) -> DataFrame:
-    """Eligible shares one run takes: all, or the first ``cap`` by slug."""
-    eligible = sweep_eligible(shares, now, limits)
-    return eligible if cap is None else eligible.orderBy("slug").limit(cap)
-
-
 def sweep_plan(
-    shares: DataFrame, objects: DataFrame, now: int, cap: int | None = None, limits: Limits = LIMITS
+    shares: DataFrame, objects: DataFrame, now: int, limits: Limits = LIMITS
 ) -> DataFrame:
     """Objects of the swept shares that go, with the reason, and young orphans held back.
 
     Version 1 lies outside the share's folder, so its key is named whether it exists or not;
     ``present`` tells.
     """
-    taken = sweep_taken(shares, now, cap, limits).select("slug", "latest_version", "keep_from")
+    taken = sweep_eligible(shares, now, limits).select("slug", "latest_version", "keep_from")
     stored = object_inventory(objects).select("slug", "version", "key", "uploaded")
     version = F.col("version")
     why = (
@@ -122,17 +116,16 @@ def sweep_plan(
 
 
 def sweep_counts(
-    shares: DataFrame, objects: DataFrame, now: int, cap: int | None = None, limits: Limits = LIMITS
+    shares: DataFrame, objects: DataFrame, now: int, limits: Limits = LIMITS
 ) -> DataFrame:
-    """One row ``(taken, skipped, pruned)``; skipped shares are left for the next run."""
-    taken = sweep_taken(shares, now, cap, limits).agg(F.count("*").alias("taken"))
-    eligible = sweep_eligible(shares, now, limits).agg(F.count("*").alias("eligible"))
-    pruned = sweep_plan(shares, objects, now, cap, limits).agg(
+    """One row ``(taken, skipped, pruned)``: every eligible share is taken, so none is skipped."""
+    taken = sweep_eligible(shares, now, limits).agg(F.count("*").alias("taken"))
+    pruned = sweep_plan(shares, objects, now, limits).agg(
         F.count_if(F.col("why") != "held_back").alias("pruned")
     )
     return taken.select(
         "taken",
-        (eligible.scalar() - F.col("taken")).alias("skipped"),
+        F.lit(0).cast("bigint").alias("skipped"),
         pruned.scalar().alias("pruned"),
     )
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from leafmeter.limits import BOT_PATTERNS, BROWSER_WORDS, CLIENT_PREFIXES
+from leafmeter.limits import BOT_PATTERNS, BROWSER_WORDS, CLIENT_PREFIXES, KEY_PREFIX
 from leafmeter.operators.hits import REPORT_FOOTER
 from leafmeter.sources.fixtures import HOST, NOW, SALT, UPLOAD_AGENTS, USER_AGENTS, YEAR_2024
 
@@ -29,7 +29,7 @@ def slug(page: str) -> str:
 
 
 def key_letter(index: str) -> str:
-    return f"('qhsk_' || repeat(chr((65 + ({index}) % 5)::INT), 43))"
+    return f"('{KEY_PREFIX}' || repeat(chr((65 + ({index}) % 5)::INT), 43))"
 
 
 def key_hash(index: str) -> str:
@@ -102,7 +102,7 @@ def day_text(day: str) -> str:
     return f"strftime(DATE '1970-01-01' + CAST({day} AS INTEGER), '%Y-%m-%d')"
 
 
-GOOD_BEARER = "'^Bearer\\s+qhsk_[A-Za-z0-9_-]{43}$'"
+GOOD_BEARER = f"'^Bearer\\s+{KEY_PREFIX}[A-Za-z0-9_-]{{43}}$'"
 C0 = f"({NOW} - ((page_id * 7919) % 200) * 86400 - (page_id % 86400))"
 
 CTE: dict[str, str] = {}
@@ -329,8 +329,7 @@ CTE["rep_new"] = """SELECT request_id AS id, slug, trimmed AS reason, reporter_i
 CTE["eligible"] = f"""SELECT *, CASE WHEN status = 'deleted' THEN latest_version + 1 ELSE latest_version - 9 END AS keep_from FROM fx_shares
     WHERE (status = 'committed' AND latest_version - versions_pruned_below >= 10) OR (status = 'deleted' AND versions_pruned_below <= latest_version)
        OR orphan_since < {NOW - 300}"""
-CTE["taken50"] = "SELECT * FROM eligible ORDER BY slug LIMIT 50"
-CTE["taken50_kept"] = f"SELECT * FROM eligible WHERE NOT (status = 'pending' AND created_at < {NOW - 300}) ORDER BY slug LIMIT 50"
+CTE["eligible_kept"] = f"SELECT * FROM eligible WHERE NOT (status = 'pending' AND created_at < {NOW - 300})"
 
 
 def plan_of(taken: str) -> str:
@@ -341,8 +340,7 @@ def plan_of(taken: str) -> str:
 
 
 CTE["plan"] = plan_of("eligible")
-CTE["plan50"] = plan_of("taken50")
-CTE["plan50_kept"] = plan_of("taken50_kept")
+CTE["plan_kept"] = plan_of("eligible_kept")
 CTE["markers"] = """SELECT slug,
     CASE WHEN failed THEN versions_pruned_below WHEN status = 'deleted' AND complete AND NOT held THEN latest_version + 1
          WHEN status <> 'deleted' AND complete THEN greatest(1, keep_from) ELSE versions_pruned_below END AS versions_pruned_below,
@@ -458,8 +456,7 @@ SQL: dict[str, str] = {
     "h3_versions_after": """SELECT s.slug, coalesce(l.v, s.latest_version) AS latest_version, coalesce(l.b, s.content_size) AS content_size FROM fx_shares s
         LEFT JOIN (SELECT slug, max(new_version) AS v, arg_max(content_size, new_version) AS b FROM replay WHERE new_version IS NOT NULL GROUP BY 1) l ON l.slug = s.slug""",
     "h4_sweep_plan": "SELECT * FROM plan",
-    "h4_sweep_plan_capped": "SELECT * FROM plan50",
-    "h4_sweep_counts": "SELECT (SELECT count(*) FROM taken50) AS taken, (SELECT count(*) FROM eligible) - (SELECT count(*) FROM taken50) AS skipped, (SELECT count(*) FROM plan50 WHERE why <> 'held_back') AS pruned",
+    "h4_sweep_counts": "SELECT (SELECT count(*) FROM eligible) AS taken, CAST(0 AS BIGINT) AS skipped, (SELECT count(*) FROM plan WHERE why <> 'held_back') AS pruned",
     "h5_sweep_markers": "SELECT * FROM markers",
     "f1_anonymize_views": """SELECT id, slug, viewed_at, ip_hash, is_bot, CASE WHEN NOT due THEN ua END AS ua, CASE WHEN NOT due THEN referrer END AS referrer,
         CASE WHEN NOT due THEN country END AS country, CASE WHEN NOT due THEN city END AS city, due AS changed FROM due""",
@@ -475,8 +472,8 @@ SQL: dict[str, str] = {
     "f3_deleted_keys": "SELECT slug, 'shares/' || slug || '.html' AS key FROM dels UNION ALL SELECT d.slug, o.key FROM dels d JOIN fx_objects o ON starts_with(o.key, 'shares/' || d.slug || '/')",
     "f4_maintenance_counters": f"""SELECT 'pending_cleaned' AS counter, count(*) AS n FROM stale
         UNION ALL SELECT 'anonymised', count(*) FROM due WHERE due AND slug NOT IN (SELECT slug FROM stale)
-        UNION ALL SELECT 'pruned', count(*) FROM plan50_kept WHERE why <> 'held_back' AND slug IN (SELECT slug FROM fx_flags WHERE delete_ok)
-        UNION ALL SELECT 'skipped', count(*) FROM eligible WHERE slug IN (SELECT slug FROM kept_shares) AND slug NOT IN (SELECT slug FROM taken50_kept)""",
+        UNION ALL SELECT 'pruned', count(*) FROM plan_kept WHERE why <> 'held_back' AND slug IN (SELECT slug FROM fx_flags WHERE delete_ok)
+        UNION ALL SELECT 'skipped', 0""",
     "f4_maintenance_shares": """SELECT s.* EXCLUDE (page_id, versions_pruned_below, orphan_since), coalesce(m.versions_pruned_below, s.versions_pruned_below) AS versions_pruned_below,
         CASE WHEN m.slug IS NOT NULL THEN m.orphan_since ELSE s.orphan_since END AS orphan_since FROM kept_shares s LEFT JOIN markers m ON m.slug = s.slug""",
     "f5_retention_ledger": f"""SELECT {day_text('viewed_at // 86400')} AS day, count(*) AS rows, count(*) FILTER (WHERE raw) AS raw, count(*) FILTER (WHERE raw AND viewed_at < {CUTOFF}) AS overdue,
@@ -484,7 +481,7 @@ SQL: dict[str, str] = {
         FROM (SELECT *, ua IS NOT NULL OR referrer IS NOT NULL OR country IS NOT NULL OR city IS NOT NULL AS raw FROM fx_views) GROUP BY 1""",
     "f5_ledger_after_run": f"""SELECT {day_text('viewed_at // 86400')} AS day, count(*) AS rows, count(*) FILTER (WHERE raw AND NOT due) AS raw, CAST(0 AS BIGINT) AS overdue, CAST(0 AS BIGINT) AS deleted_raw
         FROM (SELECT *, ua IS NOT NULL OR referrer IS NOT NULL OR country IS NOT NULL OR city IS NOT NULL AS raw FROM due WHERE slug NOT IN (SELECT slug FROM stale)) GROUP BY 1""",
-    "s2_stream_daily_views": f"SELECT * FROM ({DAILY}) WHERE epoch(CAST(date AS DATE)) + 86400 <= (SELECT max(viewed_at) FROM fx_views WHERE is_bot = 0) - 86400",
+    "s2_stream_daily_views": DAILY,
     "s3_stream_counters": "SELECT slug, count(*) FILTER (WHERE is_bot = 0) AS views, count(*) FILTER (WHERE is_bot = 1) AS bot_views, max(viewed_at) FILTER (WHERE is_bot = 0) AS last_viewed FROM fx_views GROUP BY 1",
     "s4_stream_unique_viewers": "SELECT slug, count(DISTINCT ip_hash) AS unique_viewers FROM fx_views WHERE is_bot = 0 GROUP BY 1",
     "s7_stream_stale_uploads": "SELECT * FROM stale",
@@ -534,9 +531,7 @@ for _name, _prefix in (("a2_contract_violations", "fx_bad_"), ("a2_contract_kept
         f"SELECT 'reports.unknown_slug', count(*) FROM {_prefix}reports WHERE slug NOT IN (SELECT slug FROM {_prefix}shares)",
     ]
     SQL[_name] = f"SELECT rule, n FROM ({' UNION ALL '.join(_parts)}) WHERE n > 0"
-_CAP = "due AND id <= (SELECT max(id) FROM (SELECT id FROM due WHERE due ORDER BY id LIMIT 10000))"
-SQL["f1_anonymize_views_capped"] = f"""SELECT id, slug, viewed_at, ip_hash, is_bot, CASE WHEN NOT hit THEN ua END AS ua, CASE WHEN NOT hit THEN referrer END AS referrer,
-    CASE WHEN NOT hit THEN country END AS country, CASE WHEN NOT hit THEN city END AS city, hit AS changed FROM (SELECT *, {_CAP} AS hit FROM due)"""
+SQL["f1_log_after_all_writers"] = SQL["f1_anonymize_log"]
 SQL["s1_stream_enrich"] = SQL["a4_append_views"]
 SQL["s5_stream_upload_limiter"] = SQL["g1_admit_uploads"]
 SQL["s6_stream_reports"] = SQL["g7_new_reports"]

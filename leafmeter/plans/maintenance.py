@@ -23,18 +23,16 @@ def maintenance_run(
     objects: DataFrame,
     flags: DataFrame,
     now: int,
-    sweep_cap: int | None = None,
-    anonymise_cap: int | None = None,
 ) -> MaintenanceResult:
     """Purge stale uploads, clear old viewer data, then sweep versions.
 
-    ``counters`` holds one row per counter.  ``skipped`` above zero says the sweep was cut by its cap
-    and is not complete.
+    ``counters`` holds one row per counter.  ``skipped``, the eligible shares that the sweep left, is 0 in a
+    complete run.
     """
     kept, kept_views, pending_keys = retention.purge_stale_pending(shares, views, now)
-    cleared = retention.anonymize_views(kept_views, kept, now, anonymise_cap)
-    taken = versions.sweep_taken(kept, now, sweep_cap)
-    plan = versions.sweep_plan(kept, objects, now, sweep_cap)
+    cleared = retention.anonymize_views(kept_views, kept, now)
+    taken = versions.sweep_eligible(kept, now)
+    plan = versions.sweep_plan(kept, objects, now)
     markers = versions.sweep_markers(taken, plan, flags).select(
         "slug",
         F.col("versions_pruned_below").alias("new_below"),

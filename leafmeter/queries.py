@@ -101,7 +101,7 @@ def a4_append_views(f):
     enriched = hits.enrich_hits(f.hits, f.shares, SALT)
     tables.append_views(enriched.filter("viewed_at < 1705000000"), path)
     tables.append_views(enriched.filter("viewed_at >= 1705000000"), path)
-    return f.spark.read.parquet(path).withColumn("day", F.col("day").cast("bigint"))
+    return tables.read_views(f.spark, path)
 
 
 @query
@@ -333,20 +333,15 @@ def h4_sweep_plan(f):
     return versions.sweep_plan(f.shares, f.objects, NOW)
 
 
-@query
-def h4_sweep_plan_capped(f):
-    return versions.sweep_plan(f.shares, f.objects, NOW, cap=versions.LIMITS.sweep_shares)
-
-
 @query
 def h4_sweep_counts(f):
-    return versions.sweep_counts(f.shares, f.objects, NOW, cap=versions.LIMITS.sweep_shares)
+    return versions.sweep_counts(f.shares, f.objects, NOW)
 
 
 @query
 def h5_sweep_markers(f):
     return versions.sweep_markers(
-        versions.sweep_taken(f.shares, NOW, None),
+        versions.sweep_eligible(f.shares, NOW),
         versions.sweep_plan(f.shares, f.objects, NOW),
         f.sweep_flags,
     )
@@ -360,18 +355,30 @@ def f1_anonymize_views(f):
     return retention.anonymize_views(f.views, f.shares, NOW)
 
 
-@query
-def f1_anonymize_views_capped(f):
-    return retention.anonymize_views(f.views, f.shares, NOW, cap=retention.LIMITS.anonymise_rows)
-
-
 @query
 def f1_anonymize_log(f):
     """The partitioned log after its overdue days were rewritten."""
     path = scratch(f.spark, "views")
     tables.append_views(f.views, path)
-    retention.anonymize_log(f.spark.read.parquet(path), f.shares, NOW, path)
-    return f.spark.read.parquet(path).withColumn("day", F.col("day").cast("bigint"))
+    retention.anonymize_log(f.shares, NOW, path)
+    return tables.read_views(f.spark, path)
+
+
+@query
+def f1_log_after_all_writers(f):
+    """The log after a stream, an append, a retention run, a second stream and a second run on one path."""
+    path = scratch(f.spark, "views")
+    late = F.pmod("id", F.lit(3))
+    views = f.views.drop("day")
+    for part in (0, 1):
+        stream = _as_stream(f, views.filter(late == part), f"views{part}")
+        tables.append_views_stream(stream, path, scratch(f.spark, "checkpoint"), f"stream{part}").awaitTermination()
+        if not part:
+            tables.append_views(views.filter(late == 2), path)
+        retention.anonymize_log(f.shares, NOW, path)
+    if retention.anonymize_log(f.shares, NOW, path):
+        raise RuntimeError("a second retention run found rows to clear")
+    return tables.read_views(f.spark, path)
 
 
 @query
@@ -409,13 +416,13 @@ def f3_deleted_keys(f):
     return _deletes(f)[2]
 
 
-def _maintenance(f: Fixtures, cap: int | None = None):
-    return maintenance.maintenance_run(f.shares, f.views, f.objects, f.sweep_flags, NOW, sweep_cap=cap)
+def _maintenance(f: Fixtures):
+    return maintenance.maintenance_run(f.shares, f.views, f.objects, f.sweep_flags, NOW)
 
 
 @query
 def f4_maintenance_counters(f):
-    return _maintenance(f, versions.LIMITS.sweep_shares).counters
+    return _maintenance(f).counters
 
 
 @query
@@ -448,6 +455,17 @@ def _as_stream(f: Fixtures, df: DataFrame, name: str, files_per_batch: int | Non
     return jobs.read_files(f.spark, path, df.schema, files_per_batch)
 
 
+def _in_order(f: Fixtures, df: DataFrame, name: str, at: str, batches: int = 4) -> DataFrame:
+    """A stream that gets the rows in ``batches`` batches by time, one file each."""
+    path = scratch(f.spark, name)
+    first, last = df.agg(F.min(at), F.max(at)).first()
+    step = ((last or 0) - (first or 0)) // batches + 1
+    for i in range(batches):
+        part = df.filter(F.col(at).between((first or 0) + i * step, (first or 0) + (i + 1) * step - 1))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return jobs.read_files(f.spark, path, df.schema, 1)
+
+
 def _folders(f: Fixtures, name: str) -> tuple[str, str]:
     return scratch(f.spark, name), scratch(f.spark, name + "-checkpoint")
 
@@ -457,15 +475,15 @@ def s1_stream_enrich(f):
     out, checkpoint = _folders(f, "s1")
     views = jobs.stream_enrich(_staged_stream(f, "hits", 4), f.shares, SALT)
     tables.append_views_stream(views, out, checkpoint).awaitTermination()
-    return f.spark.read.parquet(out).withColumn("day", F.col("day").cast("bigint"))
+    return tables.read_views(f.spark, out)
 
 
 @query
 def s2_stream_daily_views(f):
     out, checkpoint = _folders(f, "s2")
-    days = jobs.stream_daily_views(_staged_stream(f, "views"), "1 day")
-    jobs.append_rows(days, out, checkpoint).awaitTermination()
-    return f.spark.read.schema(days.schema).parquet(out)
+    views = _in_order(f, f.views, "views", "viewed_at")
+    jobs.stream_daily_views(views, "1 day", out, checkpoint).awaitTermination()
+    return jobs.read_daily_views(f.spark, out)
 
 
 @query
@@ -485,7 +503,7 @@ def s4_stream_unique_viewers(f):
 @query
 def s5_stream_upload_limiter(f):
     out, checkpoint = _folders(f, "s5")
-    jobs.stream_upload_limiter(_as_stream(f, f.uploads, "uploads"), SALT, out, checkpoint).awaitTermination()
+    jobs.stream_upload_limiter(_in_order(f, f.uploads, "uploads", "ts"), SALT, out, checkpoint).awaitTermination()
     return jobs.read_upload_verdicts(f.spark, out)
 
 
@@ -500,7 +518,8 @@ def s6_stream_reports(f):
 @query
 def s7_stream_stale_uploads(f):
     out, checkpoint = _folders(f, "s7")
-    clock = F.lit(NOW).cast("bigint")
+    delay = 3600
+    clock = F.lit(NOW + delay).cast("bigint")
     no_slug = F.lit("").alias("slug")
     tick = f.spark.range(1)
     begins = f.shares.select("slug", "created_at").unionByName(tick.select(no_slug, clock.alias("created_at")))
@@ -509,7 +528,9 @@ def s7_stream_stale_uploads(f):
         .select("slug", F.col("committed_at").alias("ended_at"))
         .unionByName(tick.select(no_slug, clock.alias("ended_at")))
     )
-    stale = jobs.stream_stale_uploads(_as_stream(f, begins, "begins"), _as_stream(f, ends, "ends"))
+    stale = jobs.stream_stale_uploads(
+        _in_order(f, begins, "begins", "created_at"), _in_order(f, ends, "ends", "ended_at"), f"{delay} seconds"
+    )
     jobs.append_rows(stale, out, checkpoint).awaitTermination()
     return f.spark.read.schema(stale.schema).parquet(out)
 
@@ -518,5 +539,5 @@ def s7_stream_stale_uploads(f):
 def s8_stream_write_limits(f):
     out, checkpoint = _folders(f, "s8")
     writes = f.api.filter("route = 'write'").select("ip_hash", "ts")
-    jobs.stream_write_limits(_as_stream(f, writes, "writes"), "10 minutes", out, checkpoint).awaitTermination()
+    jobs.stream_write_limits(_in_order(f, writes, "writes", "ts"), "10 minutes", out, checkpoint).awaitTermination()
     return jobs.read_write_limits(f.spark, out)

@@ -17,6 +17,8 @@ def build_session(master: str | None = None, app: str = "leafmeter", **conf: str
         # Split skewed join partitions even where that costs one more shuffle.
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # Checkpoints go once nothing refers to them.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -10,27 +11,58 @@ from pyspark.sql.streaming.query import StreamingQuery
 from leafmeter.functions.columns import day_of
 
 
-def _schema(required: str, optional: str = "") -> T.StructType:
-    fields = [(part, False) for part in required.split()] + [(p, True) for p in optional.split()]
-    kinds = {"s": T.StringType(), "l": T.LongType()}
-    return T.StructType(
-        [T.StructField(p.split(":")[0], kinds[p.split(":")[1]], null) for p, null in fields]
-    )
-
-
-SHARES = _schema(
-    "slug:s status:s edit_token_hash:s created_at:l sender_ip_hash:s content_size:l client:s"
-    " latest_version:l versions_pruned_below:l",
-    "committed_at:l deleted_at:l owner_key_hash:s owner_claimed_at:l vault_ciphertext:s"
-    " vault_updated_at:l orphan_since:l",
+# The columns of the stored tables.
+SHARES = T.StructType(
+    [
+        T.StructField("slug", T.StringType(), False),
+        T.StructField("status", T.StringType(), False),
+        T.StructField("edit_token_hash", T.StringType(), False),
+        T.StructField("created_at", T.LongType(), False),
+        T.StructField("sender_ip_hash", T.StringType(), False),
+        T.StructField("content_size", T.LongType(), False),
+        T.StructField("client", T.StringType(), False),
+        T.StructField("latest_version", T.LongType(), False),
+        T.StructField("versions_pruned_below", T.LongType(), False),
+        T.StructField("committed_at", T.LongType(), True),
+        T.StructField("deleted_at", T.LongType(), True),
+        T.StructField("owner_key_hash", T.StringType(), True),
+        T.StructField("owner_claimed_at", T.LongType(), True),
+        T.StructField("vault_ciphertext", T.StringType(), True),
+        T.StructField("vault_updated_at", T.LongType(), True),
+        T.StructField("orphan_since", T.LongType(), True),
+    ]
 )
-VIEWS = _schema(
-    "id:l slug:s viewed_at:l ip_hash:s is_bot:l", "ua:s referrer:s country:s city:s"
+VIEWS = T.StructType(
+    [
+        T.StructField("id", T.LongType(), False),
+        T.StructField("slug", T.StringType(), False),
+        T.StructField("viewed_at", T.LongType(), False),
+        T.StructField("ip_hash", T.StringType(), False),
+        T.StructField("is_bot", T.LongType(), False),
+        T.StructField("ua", T.StringType(), True),
+        T.StructField("referrer", T.StringType(), True),
+        T.StructField("country", T.StringType(), True),
+        T.StructField("city", T.StringType(), True),
+    ]
 )
-REPORTS = _schema(
-    "id:l slug:s reason:s reporter_ip_hash:s reported_at:l status:s", "reporter_email:s"
+REPORTS = T.StructType(
+    [
+        T.StructField("id", T.LongType(), False),
+        T.StructField("slug", T.StringType(), False),
+        T.StructField("reason", T.StringType(), False),
+        T.StructField("reporter_ip_hash", T.StringType(), False),
+        T.StructField("reported_at", T.LongType(), False),
+        T.StructField("status", T.StringType(), False),
+        T.StructField("reporter_email", T.StringType(), True),
+    ]
+)
+OBJECTS = T.StructType(
+    [
+        T.StructField("key", T.StringType(), False),
+        T.StructField("size", T.LongType(), False),
+        T.StructField("uploaded", T.LongType(), False),
+    ]
 )
-OBJECTS = _schema("key:s size:l uploaded:l")
 SCHEMAS = {"shares": SHARES, "views": VIEWS, "reports": REPORTS, "objects": OBJECTS}
 
 # Defaults the schema migrations gave to rows written before them.  A column without
@@ -53,7 +85,7 @@ class Tables:
 
 
 def load_tables(spark: SparkSession, folder: str) -> Tables:
-    """Read the four tables with their declared schemas; ``views`` is partitioned by UTC day."""
+    """Read the four tables with their declared schemas; ``views`` is partitioned by UTC day and batch."""
     return Tables(*[load_table(spark, folder, t) for t in ("shares", "views", "reports", "objects")])
 
 
@@ -66,58 +98,80 @@ def save_table(df: DataFrame, folder: str, table: str) -> None:
 
 
 def load_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    schema = SCHEMAS[table]
     if table == "views":
-        schema = T.StructType(schema.fields + [T.StructField("day", T.LongType())])
-    return spark.read.schema(schema).parquet(f"{folder}/{table}")
+        return read_views(spark, f"{folder}/views")
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The view log with its partition columns ``day`` and ``batch``."""
+    parts = [T.StructField("day", T.LongType()), T.StructField("batch", T.StringType())]
+    return spark.read.schema(T.StructType(VIEWS.fields + parts)).parquet(path)
+
+
+def read_views(spark: SparkSession, path: str) -> DataFrame:
+    return read_log(spark, path).drop("batch")
 
 
 def with_day(views: DataFrame) -> DataFrame:
     return views.withColumn("day", day_of(F.col("viewed_at")))
 
 
-def _by_day(views: DataFrame) -> DataFrame:
-    """Cut the log by ranges of (day, slug) for writing.
+def _write(views: DataFrame, path: str) -> None:
+    """Overwrite the (day, batch) parts present in ``views``; all others stay.
 
-    A task writes few days, a hot day or a hot slug spreads over several tasks, and rows lie by slug
-    within a file, for row-group pruning.
+    Rows are cut by ranges of (day, slug): a task writes few days, a hot day or slug spreads over several tasks, and
+    rows lie by slug within a file, for row-group pruning.  AQE sizes the ranges.
     """
-    parts = int(views.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        with_day(views)
-        .repartitionByRange(parts, "day", "slug", "id")
+    (
+        views.repartitionByRange("day", "slug", "id")
         .sortWithinPartitions("day", "slug")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day", "batch")
+        .parquet(path)
     )
 
 
-def append_views(views: DataFrame, path: str) -> None:
-    """Append to the day-partitioned log."""
-    _by_day(views).write.mode("append").partitionBy("day").parquet(path)
+def append_views(views: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append to the log as a batch of its own; a repeated batch of the same name replaces itself."""
+    _write(with_day(views).withColumn("batch", F.lit(batch or uuid.uuid4().hex)), path)
+
 
+def append_views_stream(views: DataFrame, path: str, checkpoint: str, name: str = "stream") -> StreamingQuery:
+    """Streaming form of ``append_views``: every micro-batch is the log's batch ``<name>-<number>``.
 
-def append_views_stream(views: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Streaming form of ``append_views``; the file sink commits each batch once."""
+    ``name`` must be one stream's own.
+    """
     return (
-        with_day(views)
-        .writeStream.format("parquet")
-        .partitionBy("day")
-        .option("path", path)
+        views.writeStream.foreachBatch(lambda rows, number: append_views(rows, path, f"{name}-{number}"))
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
 
 
-def replace_days(views: DataFrame, path: str) -> None:
-    """Overwrite only the days present in ``views``."""
-    (
-        _by_day(views)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day")
-        .parquet(path)
-    )
+def replace_parts(views: DataFrame, path: str) -> None:
+    """Replace the (day, batch) parts present in ``views``, which may be read from the log itself.
+
+    Appends meanwhile go to parts of their own and stay.  The new parts are complete beside the log before the
+    first old one goes; if a run breaks off then, ``finish_replacing`` writes them again.  One rewrite at a time.
+    """
+    staged = f"{path.rstrip('/')}.staged"
+    finish_replacing(views.sparkSession, path)
+    # Static mode, which marks a complete folder with _SUCCESS.
+    views.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day", "batch").parquet(staged)
+    finish_replacing(views.sparkSession, path)
+
+
+def finish_replacing(spark: SparkSession, path: str) -> None:
+    """Write the staged parts of a rewrite into the log, if there are complete ones, and drop them."""
+    staged = f"{path.rstrip('/')}.staged"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+        _write(read_log(spark, staged), path)
+    files.delete(folder, True)
 
 
 def evolve_schema(df: DataFrame, table: str) -> DataFrame:

@@ -42,13 +42,13 @@ def stream_enrich(hits: DataFrame, shares: DataFrame, salt: str) -> DataFrame:
     return hit_ops.enrich_hits(hits, shares, salt)
 
 
-def stream_daily_views(views: DataFrame, delay: str) -> DataFrame:
-    """Human views per slug and UTC day; a day comes out once the watermark has passed its end.
+def stream_daily_views(views: DataFrame, delay: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Human views per slug and UTC day, logged whenever a count changes, days still open included.
 
-    ``views`` needs ``viewed_at`` in seconds.  Rows later than ``delay`` are dropped and show in the
-    query's progress as ``numRowsDroppedByWatermark``.
+    ``views`` needs ``viewed_at`` in seconds.  A day takes rows until the watermark, ``delay`` behind the latest row, has
+    passed its end; later ones show in the query's progress as ``numRowsDroppedByWatermark``.
     """
-    return (
+    days = (
         views.filter("is_bot = 0")
         .withColumn("at", F.timestamp_seconds("viewed_at"))
         .withWatermark("at", delay)
@@ -56,6 +56,12 @@ def stream_daily_views(views: DataFrame, delay: str) -> DataFrame:
         .agg(F.count("*").alias("views"))
         .select("slug", F.date_format("window.start", "yyyy-MM-dd").alias("date"), "views")
     )
+    return _start(days, checkpoint, "update", _batch_log(path))
+
+
+def read_daily_views(spark: SparkSession, path: str) -> DataFrame:
+    """Counts only grow, so the largest logged one is the current one."""
+    return spark.read.parquet(path).groupBy("slug", "date").agg(F.max("views").alias("views"))
 
 
 def stream_counters(views: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -119,7 +125,9 @@ def stream_upload_limiter(
     def last_accepted(batch: DataFrame, batch_id: int) -> DataFrame | None:
         try:
             log = batch.sparkSession.read.parquet(state)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
         first = batch.agg(F.min("ts")).first()[0] - limits.upload_gap_seconds
         # A repeated batch must not see what its first try wrote.
@@ -184,15 +192,17 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def stream_stale_uploads(begins: DataFrame, ends: DataFrame, age: int = LIMITS.pending_age_seconds) -> DataFrame:
+def stream_stale_uploads(
+    begins: DataFrame, ends: DataFrame, delay: str = "1 hour", age: int = LIMITS.pending_age_seconds
+) -> DataFrame:
     """Uploads without an end within ``age`` seconds: ``(slug, created_at)``.
 
     ``begins`` holds ``slug, created_at`` and ``ends`` holds ``slug, ended_at``, in seconds.  A row comes
-    out when both watermarks have passed its deadline, so an idle side needs clock rows, whose slug is
-    empty.
+    out when both watermarks, ``delay`` behind the latest row, have passed its deadline, so rows may come that late,
+    and an idle side needs clock rows, whose slug is empty.
     """
-    b = begins.select(F.col("slug").alias("slug"), "created_at", F.timestamp_seconds("created_at").alias("b_at")).withWatermark("b_at", "0 seconds")
-    e = ends.select(F.col("slug").alias("e_slug"), F.timestamp_seconds("ended_at").alias("e_at")).withWatermark("e_at", "0 seconds")
+    b = begins.select(F.col("slug").alias("slug"), "created_at", F.timestamp_seconds("created_at").alias("b_at")).withWatermark("b_at", delay)
+    e = ends.select(F.col("slug").alias("e_slug"), F.timestamp_seconds("ended_at").alias("e_at")).withWatermark("e_at", delay)
     in_time = (
         (F.col("slug") == F.col("e_slug"))
         & (F.col("e_at") >= F.col("b_at"))

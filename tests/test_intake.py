@@ -8,7 +8,7 @@ from leafmeter.limits import DAY, LIMITS, Limits
 from leafmeter.operators import access, claims, intake
 
 UPLOADS = "attempt_id bigint, ip string, ts bigint, content_type string, bearer string, ua string, html string"
-GOOD_KEY = "Bearer qhsk_" + "A" * 43
+GOOD_KEY = "Bearer key_" + "A" * 43
 
 
 def sha(x):
@@ -234,7 +234,7 @@ def test_access_matrix(spark):
         ("edit", "free", None, "tok", None, 1_000_001, 413), ("edit", "gone", None, "tok", None, 5, 404),
         ("edit", "pend", None, "tok", None, 5, 409), ("edit", "free", None, "bad", None, 5, 403),
         ("edit", "free", "Bearer x", "tok", None, 5, 200), ("list", "x", None, "tok", None, None, 401),
-        ("list", "x", GOOD_KEY, None, None, None, 200), ("claim", "x", "Bearer qhsk_short", None, None, None, 401),
+        ("list", "x", GOOD_KEY, None, None, None, 200), ("claim", "x", "Bearer key_short", None, None, None, 401),
     ]
     df = spark.createDataFrame([(i, *c[:6]) for i, c in enumerate(cases)], ACCESS)
     got = {r.request_id: r.code for r in access.audit_access(df, s, o).collect()}

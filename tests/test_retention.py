@@ -29,29 +29,48 @@ def test_anonymise_edges_and_idempotence(spark):
     assert sorted(rows(stats.share_counts(s, v))) == sorted(rows(stats.share_counts(s, once)))
 
 
-def test_capped_runs_drain_the_backlog(spark):
-    s, v = log(spark)
-    first = retention.anonymize_views(v, s, NOW, cap=2)
-    assert sorted(rows(first.filter("changed"), "id")) == [(1,), (3,)]
-    second = retention.anonymize_views(first.drop("changed"), s, NOW, cap=2)
-    assert rows(second.filter("changed"), "id") == [(4,)]
-    third = retention.anonymize_views(second.drop("changed"), s, NOW, cap=2)
-    assert third.filter("changed").count() == 0 and third.count() == 6
-
-
 def test_rewriting_touches_only_overdue_days(spark, tmp_path):
     s, v = log(spark)
     path = str(tmp_path / "views")
     tables.append_views(v, path)
-    before = {p.name: sorted(x.name for x in p.iterdir()) for p in (tmp_path / "views").iterdir() if p.is_dir()}
-    assert retention.anonymize_log(spark.read.parquet(path), s, NOW, path) == 3
-    after = {p.name: sorted(x.name for x in p.iterdir()) for p in (tmp_path / "views").iterdir() if p.is_dir()}
+    before = {p.name: sorted(x.name for x in p.rglob("*")) for p in (tmp_path / "views").iterdir() if p.is_dir()}
+    assert retention.anonymize_log(s, NOW, path) == 3
+    after = {p.name: sorted(x.name for x in p.rglob("*")) for p in (tmp_path / "views").iterdir() if p.is_dir()}
     touched = {f"day={(OLD - 1) // 86400}", f"day={NOW // 86400}"}
     assert {d for d in before if before[d] != after[d]} == touched
     got = tables.load_table(spark, str(tmp_path), "views")
     want = retention.anonymize_views(v, s, NOW).drop("changed")
     assert sorted(map(str, rows(got.select(want.columns)))) == sorted(map(str, rows(want)))
-    assert retention.anonymize_log(got, s, NOW, path) == 0
+    assert retention.anonymize_log(s, NOW, path) == 0
+
+
+def test_log_with_stream_append_and_rewrite(spark, tmp_path):
+    s, v = log(spark)
+    path, source = str(tmp_path / "views"), str(tmp_path / "source")
+    v.filter("id < 3").write.parquet(source)
+    for run in range(2):  # a repeated first batch replaces itself
+        stream = spark.readStream.schema(v.schema).parquet(source)
+        tables.append_views_stream(stream, path, str(tmp_path / f"checkpoint{run}")).awaitTermination()
+    tables.append_views(v.filter("id >= 3"), path)
+    assert tables.read_views(spark, path).count() == v.count()
+    assert retention.anonymize_log(s, NOW, path) == 3 and retention.anonymize_log(s, NOW, path) == 0
+    want = retention.anonymize_views(v, s, NOW).drop("changed")
+    got = tables.read_views(spark, path).select(want.columns)
+    assert sorted(map(str, rows(got))) == sorted(map(str, rows(want)))
+
+
+def test_broken_rewrite_is_finished_later(spark, tmp_path):
+    _, v = log(spark)
+    path = str(tmp_path / "views")
+    tables.append_views(v, path, "one")
+    # Staged in full, then broken off: the log's own part is gone.
+    tables.read_log(spark, path).write.option("partitionOverwriteMode", "static").partitionBy("day", "batch").parquet(path + ".staged")
+    import shutil
+
+    day = sorted(p for p in (tmp_path / "views").iterdir() if p.name.startswith("day="))[0]
+    shutil.rmtree(day)
+    tables.finish_replacing(spark, path)
+    assert tables.read_views(spark, path).count() == v.count()
 
 
 def test_ledger_is_clean_after_a_run(spark):
@@ -97,13 +116,11 @@ def test_maintenance_converges(spark):
     _, v = log(spark)
     o = objects(spark, ["shares/a.html", "shares/a/v2.html", "shares/a/v3.html"])
     none = spark.createDataFrame([], "slug string, listing_complete boolean, delete_ok boolean")
-    run = maintenance.maintenance_run(s, v, o, none, NOW, sweep_cap=2)
-    assert dict(rows(run.counters)) == {"pending_cleaned": 1, "anonymised": 3, "pruned": 3, "skipped": 1}
+    run = maintenance.maintenance_run(s, v, o, none, NOW)
+    assert dict(rows(run.counters)) == {"pending_cleaned": 1, "anonymised": 3, "pruned": 4, "skipped": 0}
     left = o.join(run.doomed_keys, "key", "left_anti")
     second = maintenance.maintenance_run(run.shares, run.views, left, none, NOW)
-    assert dict(rows(second.counters)) == {"pending_cleaned": 0, "anonymised": 0, "pruned": 1, "skipped": 0}
-    third = maintenance.maintenance_run(second.shares, second.views, left, none, NOW)
-    assert all(n == 0 for n in dict(rows(third.counters)).values())
+    assert dict(rows(second.counters)) == {"pending_cleaned": 0, "anonymised": 0, "pruned": 0, "skipped": 0}
 
 
 def test_contract(spark):

@@ -30,7 +30,7 @@ def test_counters_and_viewers_over_batches(spark, tmp_path):
     assert sorted(rows(jobs.read_unique_viewers(spark, out["viewers"][0]))) == sorted(rows(want, "slug", "unique_viewers"))
 
 
-def test_daily_views_drop_late_rows(spark, tmp_path):
+def test_daily_views_keep_open_days_and_drop_late_rows(spark, tmp_path):
     days = [
         views(spark, {"viewed_at": 10 * DAY}, {"viewed_at": 10 * DAY + 5}),
         views(spark, {"viewed_at": 13 * DAY}),
@@ -38,15 +38,26 @@ def test_daily_views_drop_late_rows(spark, tmp_path):
         views(spark, {"viewed_at": 13 * DAY + 1}),
         views(spark, {"viewed_at": 10 * DAY + 9}, {"viewed_at": 16 * DAY}),
     ]
-    daily = jobs.stream_daily_views(files(spark, tmp_path, "v", *days), "1 day")
     out = str(tmp_path / "out")
-    query = jobs.append_rows(daily, out, str(tmp_path / "c"))
+    query = jobs.stream_daily_views(files(spark, tmp_path, "v", *days), "1 day", out, str(tmp_path / "c"))
     query.awaitTermination()
-    assert sorted(rows(spark.read.parquet(out), "date", "views")) == [("1970-01-11", 2), ("1970-01-14", 2)]
+    got = sorted(rows(jobs.read_daily_views(spark, out), "date", "views"))
+    assert got == [("1970-01-11", 2), ("1970-01-14", 2), ("1970-01-17", 1)]
     late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
     assert late == 1
 
 
+def test_stale_uploads_over_batches_with_late_rows(spark, tmp_path):
+    begin = lambda *r: spark.createDataFrame(list(r), "slug string, created_at bigint")
+    end = lambda *r: spark.createDataFrame(list(r), "slug string, ended_at bigint")
+    begins = [begin(("a", 1000)), begin(("late", 1399)), begin(("late2", 1390), ("done", 1395)), begin(("y", 2500)), begin(("", 9000))]
+    ends = [end(("x", 1000)), end(("x", 1500)), end(("x", 1600)), end(("done", 1500), ("x", 2500)), end(("", 9000))]
+    stale = jobs.stream_stale_uploads(files(spark, tmp_path, "b", *begins), files(spark, tmp_path, "e", *ends), "1200 seconds")
+    out = str(tmp_path / "out")
+    jobs.append_rows(stale, out, str(tmp_path / "c")).awaitTermination()
+    assert sorted(rows(spark.read.schema(stale.schema).parquet(out), "slug")) == [("a",), ("late",), ("late2",), ("y",)]
+
+
 def test_upload_limiter_carries_over_batches(spark, tmp_path):
     schema = "attempt_id bigint, ip string, ts bigint, content_type string, bearer string, ua string, html string"
 
@@ -78,7 +89,7 @@ def test_earlier_report_arriving_late_wins(spark, tmp_path):
 def test_stale_uploads(spark, tmp_path):
     begins = spark.createDataFrame([("a", 1000), ("b", 1000), ("c", 1000), ("d", 1699), ("e", 1700), ("", 2000)], "slug string, created_at bigint")
     ends = spark.createDataFrame([("a", 1300), ("b", 1301), ("", 2000)], "slug string, ended_at bigint")
-    stale = jobs.stream_stale_uploads(files(spark, tmp_path, "b", begins), files(spark, tmp_path, "e", ends))
+    stale = jobs.stream_stale_uploads(files(spark, tmp_path, "b", begins), files(spark, tmp_path, "e", ends), "0 seconds")
     out = str(tmp_path / "out")
     jobs.append_rows(stale, out, str(tmp_path / "c")).awaitTermination()
     assert sorted(rows(spark.read.schema(stale.schema).parquet(out))) == [("b", 1000), ("c", 1000), ("d", 1699)]

@@ -119,12 +119,12 @@ def test_storage_audit(spark):
     }
 
 
-def sweep(spark, share_rows, keys_, now=NOW, flags=(), cap=None):
+def sweep(spark, share_rows, keys_, now=NOW, flags=()):
     """One sweep: keys left, shares after, counts."""
     s, o = shares(spark, *share_rows), objects(spark, keys_)
     f = spark.createDataFrame(list(flags), "slug string, listing_complete boolean, delete_ok boolean")
-    plan = versions.sweep_plan(s, o, now, cap)
-    marks = {r.slug: r for r in versions.sweep_markers(versions.sweep_taken(s, now, cap), plan, f).collect()}
+    plan = versions.sweep_plan(s, o, now)
+    marks = {r.slug: r for r in versions.sweep_markers(versions.sweep_eligible(s, now), plan, f).collect()}
     failed = {x[0] for x in flags if not x[2]}
     doomed = {r.key for r in plan.filter("why <> 'held_back'").collect() if r.slug not in failed}
     left = [k for k in keys_ if (k[0] if isinstance(k, tuple) else k) not in doomed]
@@ -134,7 +134,7 @@ def sweep(spark, share_rows, keys_, now=NOW, flags=(), cap=None):
         else r
         for r in share_rows
     ]
-    return left, after, versions.sweep_counts(s, o, now, cap).first(), marks
+    return left, after, versions.sweep_counts(s, o, now).first(), marks
 
 
 def test_sweep_keeps_the_newest_and_converges(spark):
@@ -173,9 +173,3 @@ def test_incomplete_listing_and_failed_delete_keep_the_share(spark):
         _, after, _, marks = sweep(spark, [share], keys("a", [1, 2, 3]), flags=flags)
         assert marks["a"].versions_pruned_below == 1
         assert sweep(spark, after, [])[2].taken == 1
-
-
-def test_capped_sweep_reports_what_it_left(spark):
-    many = [{"slug": f"s{i:03}", "status": "deleted"} for i in range(7)]
-    _, _, counts, marks = sweep(spark, many, [], cap=5)
-    assert (counts.taken, counts.skipped, counts.pruned) == (5, 2, 5) and "s006" not in marks
