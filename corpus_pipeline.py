@@ -6,29 +6,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafmeter.llm import exact_dedup, packing, simhash, suffix_dedup, toxicity
-from leafmeter.llm.common import stored, without
+from leafmeter.llm.common import documents_of, small_batches, stored, without
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the classifier, fitted on the labelled ones, finds toxic."""
+    small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of those that are equal without white space; half of them is the indexed history."""
+    small_batches(spark)
     old = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     return without(docs, exact_dedup.deduplicate(docs, old).filter("NOT kept"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each near-duplicate group."""
+    small_batches(spark)
     groups = simhash.near_duplicates(docs)
     return without(docs, groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of 400 bytes that occur more than once; a character that a cut splits goes whole."""
+    small_batches(spark)
     cut = suffix_dedup.remove_strings(docs, carry=True)
     # Bytes of a split character are the only ones that are not UTF-8; they stand next to a cut.
     whole = F.pandas_udf(lambda s: s.map(lambda b: bytes(b).decode(errors="ignore")), "string")
@@ -44,7 +48,8 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all texts with their places in sequences of at most 2048 tokens."""
-    cut = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    small_batches(spark)
+    cut = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     digests = cut.select("doc_id", "text_key", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return packing.pack(digests).drop("text_key")
 
@@ -62,7 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents_of(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,17 +7,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leafmeter.session import scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Text handled at once inside a task, so a task's memory does not grow with its partition.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _STEP = 0x9E3779B97F4A7C15
 
 
+def documents_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents below ``folder``, in a session whose Python workers get small batches of them."""
+    small_batches(spark)
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session by rows and bytes, so that a worker's memory stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 22))
+
+
 def keyed(docs: DataFrame, carry: bool = False) -> DataFrame:
     """``doc_id``, ``text`` (NULL: empty) and ``text_key``; other columns are left out, or with ``carry`` kept in the
     struct ``row``.
@@ -96,13 +108,13 @@ class ByteHashes:
     def _powers(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         known = cls._tables.get(base)
         if known is None or len(known[0]) < n:
-            n = max(n, SLICE_BYTES + 1)
+            n = max(n, (1 << 20) + 1)
             back = pow(base, -1, 2**64)
             known = tuple(
                 np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]), dtype=np.uint64)
                 for b in (base, back)
             )
-            if n <= 4 * SLICE_BYTES:
+            if n <= 1 << 22:
                 cls._tables[base] = known
         return known
 

@@ -3,62 +3,53 @@
 from __future__ import annotations
 
 import heapq
-import re
+import json
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from leafmeter.llm.common import SLICE_BYTES, Lists, keyed, ragged, slices, stored
+from leafmeter.llm.common import SLICE_BYTES, keyed, slices, stored
 
 SIZE = 2048
 END = 1
 #: Groups into which the documents of one length are dealt to number them.
 PARTS = 1024
 
-# The tokeniser never joins characters across these cuts: white space goes to the word after it only as one space.
-_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNK = re.compile(rf" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
-
 _PIECES = "doc_id long, text_key long, start long, length long, ids binary, doc_tokens long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
+def byte_vocabulary(tokenizer: str) -> dict[bytes, int]:
+    """Bytes and ids of all ordinary tokens of a byte-level ``tokenizers`` file, whose ids follow the merges."""
+    with open(tokenizer, encoding="utf-8") as f:
+        content = json.load(f)
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(hidden)}
+    special = {t["content"] for t in content["added_tokens"]}
+    vocabulary = content["model"]["vocab"]
+    return {bytes(byte_of[c] for c in token): number for token, number in vocabulary.items() if token not in special}
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, size: int = SIZE, end: int = END) -> DataFrame:
     """Token ids of whole texts, cut into pieces of ``size`` ids and a rest: ``doc_id, text_key, start,
     length, ids, doc_tokens``, with ids as little-endian unsigned 32-bit numbers.
 
-    ``tokenizer`` is the path of a ``tokenizers`` file.  Every text, NULL and empty ones too, gets ``end`` as its last
-    id, so every row has a piece.  Chunks of text between which the tokeniser never merges are encoded once per task
-    while they are remembered.
+    ``tokenizer`` is the path of a byte-level ``tokenizers`` file and ``pattern`` splits text before its merges.
+    The strings of special tokens are ordinary text.  Every text, NULL and empty ones too, gets ``end`` as its
+    last id, so every row has a piece.
     """
+    vocabulary = byte_vocabulary(tokenizer)
 
     def run(batches):
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True
-        known = Lists()
+        model = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})
         for batch in batches:
-            for rows, data, offsets in slices(batch, SLICE_BYTES):
-                if len(known.number) > known.limit or not known.number:
-                    known.clear()
-                    known.number[None] = 0
-                    known.add([[end]])
-                number, chunks, counts = known.number, [], []
-                for text in rows.column("text").to_pylist():
-                    found = _CHUNK.findall(text)
-                    chunks += found
-                    chunks.append(None)
-                    counts.append(len(found) + 1)
-                new = dict.fromkeys(c for c in chunks if c not in number)
-                for c in new:
-                    number[c] = len(number)
-                known.add([e.ids for e in model.encode_batch_fast(list(new), add_special_tokens=False)])
-                index = np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks))
-                ids, sizes = ragged(known.flat, known.offsets, index)
-                ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
-                yield _cut(rows, ids.astype("<u4").tobytes(), ends, size)
+            for rows, _, _ in slices(batch, SLICE_BYTES):
+                found = [np.array([*model.encode_ordinary(t), end], "<u4") for t in rows.column("text").to_pylist()]
+                yield _cut(rows, np.concatenate(found).tobytes(), np.cumsum([len(f) for f in found]), size)
 
     return keyed(docs).mapInArrow(run, _PIECES)
 

@@ -65,7 +65,7 @@ def measures(docs: DataFrame, model: str) -> DataFrame:
 
         pieces = sentencepiece.SentencePieceProcessor(model_file=model)
         byte = np.array([pieces.is_byte(i) for i in range(pieces.get_piece_size())], np.int64)
-        known = Lists()
+        known = Lists(150_000)
         chars = np.zeros(0, np.int64)
         for batch in batches:
             for rows, data, offsets in slices(batch, SLICE_BYTES):

@@ -19,20 +19,17 @@ from leafmeter.llm import (
     suffix_dedup,
     toxicity,
 )
-
-
-def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/documents.parquet")
+from leafmeter.llm.common import documents_of
 
 
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    out = substring_dedup.remove_repeats(_documents(spark, folder))
+    out = substring_dedup.remove_repeats(documents_of(spark, folder))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + (r["end"] - r["begin"]))
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
-    cut = packing.token_pieces(_documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+    cut = packing.token_pieces(documents_of(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     digests = cut.select("doc_id", "text_key", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return packing.pack(digests).drop("text_key")
 
@@ -40,11 +37,11 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     # One half of the documents is the history, the other half arrives and is looked up.
     old = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
-    return exact_dedup.deduplicate(_documents(spark, folder), old).drop("text_key")
+    return exact_dedup.deduplicate(documents_of(spark, folder), old).drop("text_key")
 
 
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _documents(spark, folder)
+    docs = documents_of(spark, folder)
     model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"), ~toxicity.held_out())
     return toxicity.score(docs, model).select(
         "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
@@ -52,25 +49,25 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    out = simhash.near_duplicates(_documents(spark, folder))
+    out = simhash.near_duplicates(documents_of(spark, folder))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return license_scan.scan(_documents(spark, folder)).drop("text_key")
+    return license_scan.scan(documents_of(spark, folder)).drop("text_key")
 
 
 def op8_hidden_markov_model(spark: SparkSession, folder: str) -> DataFrame:
-    return hmm.score_texts(_documents(spark, folder), hmm.held_out()).drop("text_key")
+    return hmm.score_texts(documents_of(spark, folder), hmm.held_out()).drop("text_key")
 
 
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    out = quality_rules.judged(_documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+    out = quality_rules.judged(documents_of(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
     return out.drop("lang")
 
 
 def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    out = suffix_dedup.remove_strings(_documents(spark, folder))
+    out = suffix_dedup.remove_strings(documents_of(spark, folder))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + (r["end"] - r["begin"]))
     return out.select(
         "doc_id",
@@ -83,7 +80,7 @@ def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    out = pieces.decode(pieces.encode(_documents(spark, folder), model), model)
+    out = pieces.decode(pieces.encode(documents_of(spark, folder), model), model)
     return out.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_pieces"),

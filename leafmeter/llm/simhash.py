@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 first = (np.cumsum(counts) - counts)[some]
                 out = np.zeros(len(counts), np.uint64)
                 if len(some):
-                    ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+                    ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
                     major = (2 * ones > counts[some][:, None]).astype(np.uint8)
                     out[some] = np.packbits(major, axis=1, bitorder="little").view("<u8").reshape(-1)
                 yield pa.RecordBatch.from_arrays(

@@ -59,11 +59,11 @@ def test_odd_texts(spark, tmp_path):
 
 
 def test_repeated_rows_and_empty_tables(spark):
-    pieces = packing.token_pieces(spark.createDataFrame([(1, "same"), (1, "same"), (1, "other")], "doc_id long, text string"), PATH)
+    pieces = packing.token_pieces(spark.createDataFrame([(1, "same"), (1, "same"), (1, "other")], "doc_id long, text string"), PATH, public_tokenizers.PATTERN)
     out = packing.pack(pieces).collect()
     assert sorted((r["offset"], r["length"]) for r in out) == [(0, 2), (2, 2), (4, 2)]
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert packing.pack(packing.token_pieces(none, PATH)).collect() == []
+    assert packing.pack(packing.token_pieces(none, PATH, public_tokenizers.PATTERN)).collect() == []
 
 
 def test_plan_keeps_every_piece():
