@@ -22,7 +22,7 @@ _ARROW = pa.schema(
     [("fp", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]
 )
 #: Phrases at more places than this are dealt over several groups, which Spark then compares.
-HOT = 4000
+HOT = 1500
 _PLACE = 28
 
 

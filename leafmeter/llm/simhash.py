@@ -17,7 +17,7 @@ DISTANCE = 3
 #: Fingerprints that choose the vantage points of the shards, at most.
 SAMPLE = 16_384
 #: Fingerprints a shard should own; shards number 1024 at most.
-SHARD = 4000
+SHARD = 32_000
 _LEAF = 64
 _PAIRS = 1 << 20
 

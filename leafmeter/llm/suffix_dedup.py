@@ -13,7 +13,7 @@ LENGTH = 400
 GRAM = 32
 BLOCK = 16
 #: Segment bytes refined together.
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 1 << 21
 
 _CELLS = "doc_id long, text_key long, lo int, hi int, pos int, begin int, end int, c1 long, c2 long, n long, cell binary"
 _CELL_NAMES = [part.split()[0] for part in _CELLS.split(", ")]
