@@ -117,16 +117,16 @@ def with_day(views: DataFrame) -> DataFrame:
     return views.withColumn("day", day_of(F.col("viewed_at")))
 
 
-def _write(views: DataFrame, path: str) -> None:
-    """Overwrite the (day, batch) parts present in ``views``; all others stay.
+def _laid_out(views: DataFrame) -> DataFrame:
+    """Cut by ranges of (day, slug): a task writes few days, a hot day or slug spreads over several tasks, and
+    rows lie by slug within a file, for row-group pruning.  AQE sizes the ranges."""
+    return views.repartitionByRange("day", "slug", "id").sortWithinPartitions("day", "slug")
 
-    Rows are cut by ranges of (day, slug): a task writes few days, a hot day or slug spreads over several tasks, and
-    rows lie by slug within a file, for row-group pruning.  AQE sizes the ranges.
-    """
+
+def _write(views: DataFrame, path: str) -> None:
+    """Overwrite the (day, batch) parts present in ``views``; all others stay."""
     (
-        views.repartitionByRange("day", "slug", "id")
-        .sortWithinPartitions("day", "slug")
-        .write.mode("overwrite")
+        views.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("day", "batch")
         .parquet(path)
@@ -135,7 +135,7 @@ def _write(views: DataFrame, path: str) -> None:
 
 def append_views(views: DataFrame, path: str, batch: str | None = None) -> None:
     """Append to the log as a batch of its own; a repeated batch of the same name replaces itself."""
-    _write(with_day(views).withColumn("batch", F.lit(batch or uuid.uuid4().hex)), path)
+    _write(_laid_out(with_day(views).withColumn("batch", F.lit(batch or uuid.uuid4().hex))), path)
 
 
 def append_views_stream(views: DataFrame, path: str, checkpoint: str, name: str = "stream") -> StreamingQuery:
@@ -160,7 +160,7 @@ def replace_parts(views: DataFrame, path: str) -> None:
     staged = f"{path.rstrip('/')}.staged"
     finish_replacing(views.sparkSession, path)
     # Static mode, which marks a complete folder with _SUCCESS.
-    views.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day", "batch").parquet(staged)
+    _laid_out(views).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day", "batch").parquet(staged)
     finish_replacing(views.sparkSession, path)
 
 
