@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +18,18 @@ SIZE = 2048
 END = 1
 #: Groups into which the documents of one length are dealt to number them.
 PARTS = 1024
+#: White-space runs of this many characters go to the ``tokenizers`` library: near a million, the pattern's look-ahead
+#: overflows the stack of ``tiktoken``.
+LONG_RUN = 100_000
+#: Characters after which a text is cut at the next place that no token can span.
+SLICE = 1 << 19
 
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = "doc_id long, text_key long, start long, length long, ids binary, doc_tokens long"
 
 
-def byte_vocabulary(tokenizer: str) -> dict[bytes, int]:
+def byte_vocabulary(content: dict) -> dict[bytes, int]:
     """Bytes and ids of all ordinary tokens of a byte-level ``tokenizers`` file, whose ids follow the merges."""
-    with open(tokenizer, encoding="utf-8") as f:
-        content = json.load(f)
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in printable]
     byte_of = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(hidden)}
@@ -32,23 +38,91 @@ def byte_vocabulary(tokenizer: str) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): number for token, number in vocabulary.items() if token not in special}
 
 
+def encoder(tokenizer: str, pattern: str) -> Callable[[str], Iterator[list[int]]]:
+    """The ids of a text, in bounded lists, as the ``tokenizers`` library finds them without adding special tokens.
+
+    The library splits a text at the strings of added tokens first, so these become their ids.  What lies between
+    is encoded by ``tiktoken``, cut before white space that follows another character, where no token goes on; very
+    long white space by the library itself, cut between bytes that no token holds side by side (a run without such
+    a place, as of line breaks, goes whole).
+    """
+    import tiktoken
+
+    with open(tokenizer, encoding="utf-8") as f:
+        content = json.load(f)
+    added = {t["content"]: t["id"] for t in content["added_tokens"]}
+    if content["normalizer"] or any(t[k] for t in content["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("normalizers and added tokens with conditions are not supported")
+    vocabulary = byte_vocabulary(content)
+    model = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})
+    names = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
+    long_run, slice_ = LONG_RUN, SLICE
+    long = re.compile(f"[{_SPACE}]{{{long_run},}}")
+    gap = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+    library = joined = None
+
+    def white(text: str) -> Iterator[list[int]]:
+        nonlocal library, joined
+        if library is None:
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_file(tokenizer)
+            joined = {pair for token in vocabulary for pair in zip(token, token[1:])}
+        start = 0
+        while start < len(text):
+            end = min(start + slice_, len(text))
+            while end < len(text) and (text[end - 1].encode()[-1], text[end].encode()[0]) in joined:
+                end += 1
+            yield library.encode(text[start:end], add_special_tokens=False).ids
+            start = end
+
+    def words(text: str) -> Iterator[list[int]]:
+        start = 0
+        while len(text) - start > slice_ and (found := gap.search(text, start + slice_)):
+            yield model.encode_ordinary(text[start : found.start()])
+            start = found.start()
+        yield model.encode_ordinary(text[start:])
+
+    def ordinary(text: str) -> Iterator[list[int]]:
+        start = 0
+        if len(text) >= long_run:
+            for found in long.finditer(text):
+                # The last white space before a word may belong to it.
+                end = found.end() - (found.end() < len(text))
+                yield from words(text[start : found.start()])
+                yield from white(text[found.start() : end])
+                start = end
+        yield from words(text[start:])
+
+    def encode(text: str) -> Iterator[list[int]]:
+        start = 0
+        for found in names.finditer(text):
+            yield from ordinary(text[start : found.start()])
+            yield [added[found.group()]]
+            start = found.end()
+        yield from ordinary(text[start:])
+
+    return encode
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, size: int = SIZE, end: int = END) -> DataFrame:
     """Token ids of whole texts, cut into pieces of ``size`` ids and a rest: ``doc_id, text_key, start,
     length, ids, doc_tokens``, with ids as little-endian unsigned 32-bit numbers.
 
     ``tokenizer`` is the path of a byte-level ``tokenizers`` file and ``pattern`` splits text before its merges.
-    The strings of special tokens are ordinary text.  Every text, NULL and empty ones too, gets ``end`` as its
-    last id, so every row has a piece.
+    The strings of added tokens become their ids, as in the library.  Every text, NULL and empty ones too, gets
+    ``end`` as its last id, so every row has a piece.
     """
-    vocabulary = byte_vocabulary(tokenizer)
 
     def run(batches):
-        import tiktoken
+        encode = encoder(tokenizer, pattern)
+
+        def ids(text):
+            return np.concatenate([*(np.array(part, "<u4") for part in encode(text)), np.array([end], "<u4")])
 
-        model = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})
         for batch in batches:
             for rows, _, _ in slices(batch, SLICE_BYTES):
-                found = [np.array([*model.encode_ordinary(t), end], "<u4") for t in rows.column("text").to_pylist()]
+                found = [ids(t) for t in rows.column("text").to_pylist()]
                 yield _cut(rows, np.concatenate(found).tobytes(), np.cumsum([len(f) for f in found]), size)
 
     return keyed(docs).mapInArrow(run, _PIECES)

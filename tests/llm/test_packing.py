@@ -58,6 +58,23 @@ def test_odd_texts(spark, tmp_path):
     check(op2_packing(spark, str(tmp_path)).collect(), texts)
 
 
+def test_added_tokens_and_very_long_white_space(spark, tmp_path):
+    texts = [(1, "a<|endoftext|>b"), (2, "<|endoftext|><|endoftext|>"), (3, "x <|endoftext|> \n y <|endoftext|"), (4, "a" + " " * 1_100_000 + "b")]
+    texts += [(5, "\n" * 1_100_001 + "\tb <|endoftext|>"), (6, "one " * 200_000 + " \u3000" * 600_000)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    check(op2_packing(spark, str(tmp_path)).collect(), texts)
+
+
+def test_slices_do_not_change_ids(monkeypatch):
+    monkeypatch.setattr(packing, "LONG_RUN", 4)
+    monkeypatch.setattr(packing, "SLICE", 3)
+    encode, model, r = packing.encoder(PATH, public_tokenizers.PATTERN), Tokenizer.from_file(PATH), random.Random(2)
+    parts = ["<|endoftext|>", "word", "'s", " ", " ", "\n", "\n", "\r\n", "\u3000", "\x85", "\x1c", "é", "12", "--", "\u200b"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) * r.choice([1, 1, 2, 7]) for _ in range(r.randrange(25)))
+        assert [i for part in encode(text) for i in part] == model.encode(text, add_special_tokens=False).ids
+
+
 def test_repeated_rows_and_empty_tables(spark):
     pieces = packing.token_pieces(spark.createDataFrame([(1, "same"), (1, "same"), (1, "other")], "doc_id long, text string"), PATH, public_tokenizers.PATTERN)
     out = packing.pack(pieces).collect()
