@@ -28,33 +28,45 @@ def _phrases(words: int):
     def work(rows, data, offsets):
         starts, ends, first = word_spans(data, offsets)
         grams = rolled(ByteHashes(data).of(starts, ends), gram)
-        return rec.phrase_batch(rows, rec.phrases(grams, gram, words, first))
+        text = data.tobytes()
+
+        def equal(row, begin, end, shift):
+            a, b = first[row] + begin, first[row] + end - 1
+            one, other = text[starts[a] : ends[b]], text[starts[a - shift] : ends[b - shift]]
+            return one == other or _BYTE_WORD.findall(one) == _BYTE_WORD.findall(other)
+
+        return rec.phrase_batch(rows, rec.runs(rec.phrases(grams, gram, words, first), words, equal))
 
     return work
 
 
 def _segments(words: int):
-    """For every marked phrase the words of the windows that hold it."""
+    """For every marked phrase the words of the windows that hold it; for a run these at its first place, and without
+    ``segment`` the range that its later windows cover."""
 
     def work(rows, data, offsets):
         starts, ends, first = word_spans(data, offsets)
         row = rec.list_rows(rows, "fp")
-        pos, lo, hi = (rec.listed(rows, c).astype(np.int64) for c in ("pos", "lo", "hi"))
+        pos, lo, hi, step, run = (rec.listed(rows, c).astype(np.int64) for c in ("pos", "lo", "hi", "step", "run"))
+        fp, n = rec.listed(rows, "fp"), rec.listed(rows, "n")
         begin = pos - hi
-        a, b = starts[first[row] + begin].tolist(), ends[first[row] + pos - lo + words - 1].tolist()
-        text = data.tobytes()
-        take = pa.array(row)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(rec.listed(rows, "fp"), pa.int64()),
-                pa.array(rec.listed(rows, "n"), pa.int64()),
-                rows.column("doc_id").take(take),
-                rows.column("text_key").take(take),
-                pa.array(begin, pa.int32()),
-                pa.array([text[x:y] for x, y in zip(a, b)], pa.binary()),
-            ],
-            names=["fp", "n", "doc_id", "text_key", "begin", "segment"],
-        )
+
+        def batch(some, begin, segment, end):
+            take = pa.array(row[some])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(fp[some], pa.int64()), pa.array(n[some], pa.int64())]
+                + [rows.column("doc_id").take(take), rows.column("text_key").take(take)]
+                + [pa.array(begin[some], pa.int32()), segment, end],
+                names=["fp", "n", "doc_id", "text_key", "begin", "segment", "end"],
+            )
+
+        a, b = starts[first[row] + begin], ends[first[row] + pos - lo + words - 1]
+        for some, segment in rec.cut_texts(data.tobytes(), a, b):
+            yield batch(some, begin, segment, pa.nulls(len(segment), pa.int32()))
+        some = np.flatnonzero(run)
+        if len(some):
+            end = pa.array((pos + run - lo + words)[some], pa.int32())
+            yield batch(some, begin + step, pa.nulls(len(some), pa.binary()), end)
 
     return work
 
@@ -140,7 +152,8 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     recurring ones are routed by phrase, a shard of them at a time is confirmed, compiled into an
     Aho-Corasick automaton whose letters are words, and all its segments are streamed through.  A phrase at
     over ``recurrence.HOT`` places is dealt over several shards; each then sends one row per distinct window,
-    and Spark finds the earliest of these.
+    and Spark finds the earliest of these.  Places in periodic text (``recurrence.runs``) count as one: the
+    windows after the first place repeat its windows.
 
     NULL doc_id sorts before all others.  Rows that share a doc_id are one place: equal windows at equal
     starts of these are not repeats of each other.
@@ -149,16 +162,18 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     found = rec.map_slices(base, _phrases(words), rec.PHRASES)
     marked = rec.marked_documents(base, found)
     segments = stored(
-        rec.map_slices(marked, _segments(words), "fp long, n long, doc_id long, text_key long, begin int, segment binary"),
+        rec.map_slices(marked, _segments(words), "fp long, n long, doc_id long, text_key long, begin int, segment binary, end int"),
         "segments",
     )
-    found = stored(rec.dealt(segments).mapInArrow(_search(words), _SPANS + ", window binary"), "passages")
+    runs = segments.filter("segment IS NULL")
+    segments = segments.filter("segment IS NOT NULL").drop("end")
+    found = stored(rec.dealt(segments, "begin").mapInArrow(_search(words), _SPANS + ", window binary"), "passages")
     place = F.struct("doc_id", "begin")
     leads = found.filter("window IS NOT NULL")
     earliest = leads.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = leads.join(earliest, "window").filter(place > F.col("first"))
     columns = ["doc_id", "text_key", "begin", "end"]
-    return found.filter("window IS NULL").select(columns).unionByName(later.select(columns))
+    return found.filter("window IS NULL").select(columns).unionByName(later.select(columns)).unionByName(runs.select(columns))
 
 
 def remove_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:

@@ -17,40 +17,52 @@ SHARD_BYTES = 1 << 21
 
 _CELLS = "doc_id long, text_key long, lo int, hi int, pos int, begin int, end int, c1 long, c2 long, n long, cell binary"
 _CELL_NAMES = [part.split()[0] for part in _CELLS.split(", ")]
-_SEGMENTS = "fp long, n long, doc_id long, text_key long, pos int, lo int, hi int, first int, segment binary"
+_SEGMENTS = "fp long, n long, doc_id long, text_key long, pos int, lo int, hi int, first int, segment binary, end int"
 
 
 def _phrases(length: int):
     gram = min(GRAM, length)
 
     def work(rows, data, offsets):
-        return rec.phrase_batch(rows, rec.phrases(ByteHashes(data).grams(gram), gram, length, offsets))
+        text = data.tobytes()
+
+        def equal(row, begin, end, shift):
+            at = offsets[row]
+            return text[at + begin : at + end] == text[at + begin - shift : at + end - shift]
+
+        found = rec.phrases(ByteHashes(data).grams(gram), gram, length, offsets)
+        return rec.phrase_batch(rows, rec.runs(found, length, equal))
 
     return work
 
 
 def _segments(length: int):
-    """For every marked phrase the bytes of the windows that hold it, widened to whole blocks."""
+    """For every marked phrase the bytes of the windows that hold it, widened to whole blocks; for a run these at its
+    first place, and without ``segment`` the range from ``first`` to ``end`` that its repeated windows cover."""
 
     def work(rows, data, offsets):
         row = rec.list_rows(rows, "fp")
-        pos, lo, hi = (rec.listed(rows, c).astype(np.int64) for c in ("pos", "lo", "hi"))
+        pos, lo, hi, run = (rec.listed(rows, c).astype(np.int64) for c in ("pos", "lo", "hi", "run"))
+        fp, n = rec.listed(rows, "fp"), rec.listed(rows, "n")
         first = np.maximum(0, pos - BLOCK * (hi // BLOCK + 1))
         last = np.minimum(np.diff(offsets)[row], pos - BLOCK * (lo // BLOCK) + length)
-        text = data.tobytes()
-        a, b = (offsets[row] + first).tolist(), (offsets[row] + last).tolist()
-        take = pa.array(row)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(rec.listed(rows, "fp"), pa.int64()),
-                pa.array(rec.listed(rows, "n"), pa.int64()),
-                rows.column("doc_id").take(take),
-                rows.column("text_key").take(take),
-                *[pa.array(x, pa.int32()) for x in (pos, lo, hi, first)],
-                pa.array([text[x:y] for x, y in zip(a, b)], pa.binary()),
-            ],
-            names=["fp", "n", "doc_id", "text_key", "pos", "lo", "hi", "first", "segment"],
-        )
+
+        def batch(some, first, segment, end):
+            take = pa.array(row[some])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(fp[some], pa.int64()), pa.array(n[some], pa.int64())]
+                + [rows.column("doc_id").take(take), rows.column("text_key").take(take)]
+                + [pa.array(x[some], pa.int32()) for x in (pos, lo, hi, first)]
+                + [segment, end],
+                names=["fp", "n", "doc_id", "text_key", "pos", "lo", "hi", "first", "segment", "end"],
+            )
+
+        for some, segment in rec.cut_texts(data.tobytes(), offsets[row] + first, offsets[row] + last):
+            yield batch(some, first, segment, pa.nulls(len(segment), pa.int32()))
+        some = np.flatnonzero(run)
+        if len(some):
+            end = pa.array((pos + run - lo + length)[some], pa.int32())
+            yield batch(some, pos - hi, pa.nulls(len(some), pa.binary()), end)
 
     return work
 
@@ -218,14 +230,17 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ``length`` must be a multiple of 16 and at least 64.  Sampled suffixes (32-byte grams chosen by content)
     are counted over all documents; text around recurring grams is dealt by gram, and buckets of equal grams
     are refined exactly inside tasks.  A gram at over ``recurrence.HOT`` places is dealt over several shards; each
-    then sends its distinct cells, whose cores and windows Spark counts by 128-bit hash.
+    then sends its distinct cells, whose cores and windows Spark counts by 128-bit hash.  Places in periodic text
+    (``recurrence.runs``) repeat each other and count as one.
     """
     if length % BLOCK or length < 4 * BLOCK:
         raise ValueError("length must be a multiple of 16 and at least 64")
     base = keyed(docs)
     found = rec.map_slices(base, _phrases(length), rec.PHRASES)
     segments = stored(rec.map_slices(rec.marked_documents(base, found), _segments(length), _SEGMENTS), "segments")
-    found = stored(rec.dealt(segments).mapInArrow(_refine(length), _CELLS), "strings")
+    runs = segments.filter("segment IS NULL").withColumn("begin", F.col("first"))
+    segments = segments.filter("segment IS NOT NULL").drop("end")
+    found = stored(rec.dealt(segments, "pos").mapInArrow(_refine(length), _CELLS), "strings")
     # Hot phrases: cells whose core recurs anywhere, then their windows.
     cells = found.filter("cell IS NOT NULL")
     cores = cells.groupBy("c1", "c2").agg(F.sum("n").alias("total")).filter("total > 1").drop("total")
@@ -240,7 +255,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     far = windows.filter("n = 1").join(often, ["h1", "h2"], "left_semi")
     columns = ["doc_id", "text_key", "begin", "end"]
     far = far.withColumn("end", F.col("begin") + length)
-    return found.filter("cell IS NULL").select(columns).unionByName(far.select(columns))
+    return found.filter("cell IS NULL").select(columns).unionByName(far.select(columns)).unionByName(runs.select(columns))
 
 
 def remove_strings(docs: DataFrame, length: int = LENGTH, carry: bool = False) -> DataFrame:

@@ -60,6 +60,24 @@ def test_frequent_phrases_take_the_other_path(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_periodic_text_is_sent_once(spark, monkeypatch):
+    rows = [(1, "a " * 200), (2, "a\n a  " * 90 + "b " + "a " * 70), (3, "one two three four five six seven " * 30)]
+    rows += [(None, "two three four five six seven one " * 9), (3, "x " + "one two three four five six seven " * 20), (4, "a " * 30)]
+    for hot in (1500, 10):
+        monkeypatch.setattr(recurrence, "HOT", hot)
+        monkeypatch.setattr(recurrence, "STRETCH", 8)
+        monkeypatch.setattr(recurrence, "BATCH_BYTES", 200)
+        assert run(spark, rows) == brute(rows)
+
+
+def test_a_long_run_makes_few_places(spark):
+    docs = spark.createDataFrame([(1, "no " * 500_000), (2, "yes no\n" * 100_000)], "doc_id long, text string")
+    found = recurrence.map_slices(substring_dedup.keyed(docs), substring_dedup._phrases(20), recurrence.PHRASES)
+    assert found.count() < 20
+    out = {r["doc_id"]: (r["n_words"], r["kept"]) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert out == {1: (500_000, "no"), 2: (200_000, "yes no")}
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 

@@ -59,6 +59,26 @@ def test_frequent_phrases_are_dealt_out(spark, monkeypatch):
         assert run(spark, rows, length) == brute(rows, length)
 
 
+def test_periodic_text_is_sent_once(spark, monkeypatch):
+    line = "2024-01-01 00:00:00 INFO nothing to do, waiting for the next job of the queue\n"
+    blanks = " " * 1500 + "x" + " " * 1500 + "x" + " " * 900 + "y" + " " * 500
+    rows = [(1, line * 40), (2, "start " + line * 40), (3, blanks), (4, " " * 700), (5, "ab" * 600 + "c" + "ab" * 300), (6, "ab" * 201), (7, "z" * 900)]
+    for hot in (1500, 20):
+        monkeypatch.setattr(recurrence, "HOT", hot)
+        monkeypatch.setattr(recurrence, "STRETCH", 100)
+        monkeypatch.setattr(recurrence, "BATCH_BYTES", 3000)
+        for length in (400, 64):
+            assert run(spark, rows, length) == brute(rows, length)
+
+
+def test_a_long_run_makes_few_places(spark):
+    docs = spark.createDataFrame([(1, "-" * 3_000_000), (2, "- \n" * 700_000), (3, "-" * 500)], "doc_id long, text string")
+    found = recurrence.map_slices(suffix_dedup.keyed(docs), suffix_dedup._phrases(400), recurrence.PHRASES)
+    assert found.count() < 20
+    out = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in suffix_dedup.remove_strings(docs).collect()}
+    assert out == {1: [(0, 3_000_000)], 2: [(0, 2_100_000)], 3: [(0, 500)]}
+
+
 def test_empty_table(spark):
     assert run(spark, [], 400) == []
 
