@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,9 +12,10 @@ from leafmeter.llm.common import SLICE_BYTES, WORD, Lists, mixed, ragged, rolled
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: Bands reach this many interquartile ranges beyond the quartiles of a language.
-REACH = 3.0
-#: Texts with fewer pieces have too noisy measures for a band.
+#: Bands reach this many median deviations from the median of a language: in symmetric data three interquartile ranges
+#: beyond the quartiles.
+REACH = 7.0
+#: Texts with fewer pieces have too noisy measures to set a band; all are judged by it.
 LEAST_PIECES = 100
 
 MEASURES = ("chars_per_piece", "byte_share", "entropy")
@@ -113,25 +116,30 @@ def base_failed() -> Column:
 def bands(rows: DataFrame, reach: float = REACH) -> DataFrame:
     """Per language the accepted range ``<measure>_low`` to ``<measure>_high`` of each measure.
 
-    Quartiles over all rows long enough and not failed by the base rules, widened by ``reach`` interquartile
-    ranges, and by a hundredth of the median so that a uniform language keeps a width.
+    Medians over all rows long enough and not failed by the base rules, widened by ``reach`` median absolute
+    deviations, and by a hundredth of the median so that a uniform language keeps a width.  A source of under half
+    of a language's rows cannot move its band to itself, as it could with quartiles from a quarter on.
     """
     sound = rows.filter((F.col("n_pieces") >= LEAST_PIECES) & ~base_failed())
-    quartiles = sound.groupBy("lang").agg(
-        *[F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES]
+    middle = sound.groupBy("lang").agg(*[F.percentile_approx(m, 0.5, 10_000).alias(f"{m}_mid") for m in MEASURES])
+    middle = middle.withColumnRenamed("lang", "band_lang")
+    apart = sound.join(middle, sound["lang"].eqNullSafe(middle["band_lang"]))
+    spread = apart.groupBy("band_lang", *[f"{m}_mid" for m in MEASURES]).agg(
+        *[F.percentile_approx(F.abs(F.col(m) - F.col(f"{m}_mid")), 0.5, 10_000).alias(m) for m in MEASURES]
     )
-    out = [F.col("lang").alias("band_lang")]
+    out = [F.col("band_lang")]
     for m in MEASURES:
-        width = reach * (F.col(m)[2] - F.col(m)[0]) + F.abs(F.col(m)[1]) / 100
-        out += [(F.col(m)[0] - width).alias(f"{m}_low"), (F.col(m)[2] + width).alias(f"{m}_high")]
-    return quartiles.select(out)
+        mid = F.col(f"{m}_mid")
+        width = reach * F.col(m) + F.abs(mid) / 100
+        out += [(mid - width).alias(f"{m}_low"), (mid + width).alias(f"{m}_high")]
+    return spread.select(out)
 
 
 def judged(docs: DataFrame, model: str) -> DataFrame:
     """``measures`` with ``base_failed`` and ``kept``: every measure inside its language's band.
 
-    Texts of under ``LEAST_PIECES`` pieces are judged by the base rules alone.  A byte share of up to 0.02 is
-    always accepted.
+    Every text is judged by the bands.  Under ``LEAST_PIECES`` pieces the least entropy falls with the logarithm of
+    their number, as the largest possible one does.  A byte share of up to 0.02 is always accepted.
     """
     rows = stored(
         measures(docs, model).withColumns(
@@ -146,9 +154,13 @@ def judged(docs: DataFrame, model: str) -> DataFrame:
     inside = F.lit(True)
     # Short texts scatter more.
     noise = 0.5 / F.sqrt(F.greatest("n_pieces", F.lit(1)))
+    reached = F.log2(F.greatest("n_pieces", F.lit(1))) / math.log2(LEAST_PIECES)
     for m in MEASURES:
-        ok = F.col(m).between(F.col(f"{m}_low") - noise, F.col(f"{m}_high") + noise)
+        low = F.col(f"{m}_low")
+        if m == "entropy":
+            low = F.least(low, low * reached)
+        ok = F.col(m).between(low - noise, F.col(f"{m}_high") + noise)
         inside = inside & (ok | (F.col(m) <= 0.02) if m == "byte_share" else ok)
-    kept = ~base_failed() & ((F.col("n_pieces") < LEAST_PIECES) | F.coalesce(inside, F.lit(True)))
+    kept = ~base_failed() & F.coalesce(inside, F.lit(True))
     joined = rows.join(band, rows["lang"].eqNullSafe(band["band_lang"]), "left")
     return joined.select(*rows.columns, base_failed().alias("base_failed"), kept.alias("kept"))

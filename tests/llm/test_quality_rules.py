@@ -73,6 +73,19 @@ def test_keeps_clean_and_rejects_odd_text(spark):
     assert all(out[i] for i, _, _ in clean) and not out[100]
 
 
+def test_short_texts_are_judged_and_one_source_cannot_set_the_band(spark):
+    r = random.Random(5)
+    words = "the house stands near a river where people walk every day and talk about old times with friends or go home alone".split()
+    clean = [(i, " ".join(r.choice(words) for _ in range(200)), "en") for i in range(60)]
+    short = [(100 + i, " ".join(r.sample(words, 21)), "en") for i in range(5)]
+    rare = lambda n: " ".join(chr(0x1000 + r.randrange(500)) for _ in range(n))
+    symbols = [(200, " ".join(r.choice("#*$%&|<>+-=/") for _ in range(60)), "en"), (201, rare(22), "en")]
+    source = [(300 + i, rare(200), "en") for i in range(30)]
+    out = {x["doc_id"]: x["kept"] for x in compare(spark, clean + short + symbols + source)}
+    assert all(out[d] for d, _, _ in clean + short)
+    assert not any(out[d] for d, _, _ in symbols + source)
+
+
 def test_no_language_column_and_empty_table(spark):
     assert quality_rules.judged(spark.createDataFrame([], "doc_id long, text string"), MODEL).collect() == []
     out = quality_rules.judged(spark.createDataFrame([(1, "word " * 5)], "doc_id long, text string"), MODEL).collect()
