@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafmeter.llm import (
+    conversation_trie,
     exact_dedup,
     hmm,
     license_scan,
@@ -19,7 +20,7 @@ from leafmeter.llm import (
     suffix_dedup,
     toxicity,
 )
-from leafmeter.llm.common import documents_of
+from leafmeter.llm.common import documents_of, small_batches, stored
 
 
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,6 +92,29 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _rebuilt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations that share their beginnings: the first h turns of conversation c - c % 5, then c's own after its
+    first h, with h from 0 to 8 by c's checksum."""
+    placed = stored(conversation_trie.turns(rows), "turns")
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    known = placed.groupBy("conv_id").agg(F.count("*").alias("n"))
+    convs = known.select("conv_id", h.alias("h"), (F.col("conv_id") - F.col("conv_id") % 5).alias("source"))
+    lengths = known.select(F.col("conv_id").alias("source"), "n")
+    head = F.least("h", F.coalesce("n", F.lit(0)))
+    convs = stored(convs.join(lengths, "source", "left").withColumn("head", head).drop("n"), "conversations")
+    first = placed.filter("pos <= 8").withColumnRenamed("conv_id", "source")
+    lent = convs.filter("head > 0").join(first, "source").filter("pos <= head")
+    own = placed.join(convs, "conv_id").filter("pos > h").withColumn("pos", F.col("pos") - F.col("h") + F.col("head"))
+    columns = ["conv_id", "pos", "digest", "size"]
+    return convs.select("conv_id"), lent.select(columns).unionByName(own.select(columns))
+
+
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    convs, placed = _rebuilt(spark.read.parquet(f"{folder}/conversations.parquet"))
+    return conversation_trie.conversation_trie(convs, stored(placed, "rebuilt")).withColumnRenamed("saved", "saved_tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -104,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_hidden_markov_model,
         op9_quality_rules,
         op10_sentencepiece,
+        op11_conversation_trie,
     )
 }
 ORACLES: dict[str, str] = {
@@ -122,4 +147,45 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM r
     """,
+    # The 32-bit checksum of c's digits by shift and exclusive or, then prefixes as lists of turns.
+    "op11_conversation_trie": r"""
+        WITH RECURSIVE original AS (
+            SELECT conv_id, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS said,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), step AS (
+            SELECT list(list_reduce(range(8), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, i)
+                ORDER BY i) AS s
+            FROM range(256) t(i)
+        ), c AS (
+            SELECT conv_id, conv_id - conv_id % 5 AS source,
+                xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ord(d)::BIGINT),
+                    lambda x, b: xor(x >> 8, s[xor(x & 255, b) + 1]), 4294967295), 4294967295) % 9 AS h
+            FROM (SELECT DISTINCT conv_id FROM original), step
+        ), lists AS (
+            SELECT conv_id, list(said ORDER BY pos) AS l FROM original GROUP BY 1
+        ), rebuilt AS (
+            SELECT c.conv_id, list_concat(coalesce(p.l, [])[:h], o.l[h + 1:]) AS l
+            FROM c JOIN lists o USING (conv_id) LEFT JOIN lists p ON p.conv_id = c.source
+        ), member AS (
+            SELECT conv_id, d, len(l) = d AS ended, md5(l[:d]::VARCHAR) AS k, CASE WHEN d = 0 THEN 0 ELSE strlen(l[d].t) END AS size
+            FROM (SELECT conv_id, l, unnest(range(len(l) + 1)) AS d FROM rebuilt)
+        ), node AS (
+            SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ended), '')) AS ends_sha256
+            FROM member GROUP BY d, k
+        ), above AS (
+            SELECT n.d, n.k, p.k AS pk FROM node n JOIN member p ON p.conv_id = n.conv_id AND p.d = n.d - 1
+        ), kids AS (
+            SELECT d - 1 AS d, pk AS k, count(*) AS n_children FROM above GROUP BY ALL
+        ), subtree AS (
+            SELECT m.d, m.k, count(*) FILTER (WHERE kids.k IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.size) AS saved
+            FROM node n JOIN member m ON m.conv_id = n.conv_id AND m.d <= n.d LEFT JOIN kids ON kids.d = n.d AND kids.k = n.k
+            GROUP BY ALL
+        )
+        SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+            n_leaves, saved::BIGINT AS saved_tokens, n.ends_sha256
+        FROM node n JOIN subtree s USING (d, k) LEFT JOIN kids USING (d, k)
+            LEFT JOIN above a USING (d, k) LEFT JOIN node p ON p.d = n.d - 1 AND p.k = a.pk
+    """,
 }
