@@ -14,8 +14,10 @@ from leafmeter.llm import (
     license_scan,
     packing,
     pieces,
+    quality_mil,
     quality_rules,
     simhash,
+    spelling_variants,
     substring_dedup,
     suffix_dedup,
     toxicity,
@@ -115,6 +117,20 @@ def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie.conversation_trie(convs, stored(placed, "rebuilt")).withColumnRenamed("saved", "saved_tokens")
 
 
+def op12_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents_of(spark, folder)
+    model = quality_mil.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"), ~quality_mil.held_out())
+    return quality_mil.score(docs, model).select(
+        "doc_id", quality_mil.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "passages", "top_passage",
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling_variants.count_words(documents_of(spark, folder), least_length=6, every=199)
+    return spelling_variants.variants(words.filter("n >= 5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -129,6 +145,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op10_sentencepiece,
         op11_conversation_trie,
+        op12_quality_classifier,
+        op13_spelling_variants,
     )
 }
 ORACLES: dict[str, str] = {
