@@ -39,7 +39,9 @@ def keyed(docs: DataFrame, carry: bool = False) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     others = [docs[c] for c in docs.columns if c.lower() not in ("doc_id", "text")]
-    row = [F.struct(*others, F.lit(True).alias("_")).alias("row")] if carry else []
+    # A struct needs a field; this one's name is longer than any other.
+    spare = F.lit(True).alias("_" * (1 + max(map(len, docs.columns))))
+    row = [F.struct(*others, spare).alias("row")] if carry else []
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"), *row
     )

@@ -272,7 +272,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                     order = np.lexsort((np.arange(len(f["a"])), -f["a"], f["bag"]))
                     top = order[base[:-1]] - base[:-1] if len(order) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(p, pa.float64()), pa.array(np.diff(base), pa.int64()), pa.array(top, pa.int64())],
+                    [rows.column("doc_id"), pa.array(np.round(p, 12), pa.float64()), pa.array(np.diff(base), pa.int64()), pa.array(top, pa.int64())],
                     names=["doc_id", "score", "passages", "top_passage"],
                 )
 

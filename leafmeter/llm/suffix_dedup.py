@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from leafmeter.llm import recurrence as rec
-from leafmeter.llm.common import ByteHashes, counts_of, gathered, keyed, merged, mixed, pair_ids, stored
+from leafmeter.llm.common import ByteHashes, counts_of, gathered, keyed, merged, mixed, pair_ids, stored, word_spans
 
 LENGTH = 400
 GRAM = 32
@@ -36,13 +36,14 @@ def _phrases(length: int):
     return work
 
 
-def _segments(length: int):
+def _segments(length: int, keep_first: bool):
     """For every marked phrase the bytes of the windows that hold it, widened to whole blocks; for a run these at its
-    first place, and without ``segment`` the range from ``first`` to ``end`` that its repeated windows cover."""
+    first place, and without ``segment`` the range from ``first`` to ``end`` that its repeated windows cover, with
+    ``keep_first`` from its second place on."""
 
     def work(rows, data, offsets):
         row = rec.list_rows(rows, "fp")
-        pos, lo, hi, run = (rec.listed(rows, c).astype(np.int64) for c in ("pos", "lo", "hi", "run"))
+        pos, lo, hi, step, run = (rec.listed(rows, c).astype(np.int64) for c in ("pos", "lo", "hi", "step", "run"))
         fp, n = rec.listed(rows, "fp"), rec.listed(rows, "n")
         first = np.maximum(0, pos - BLOCK * (hi // BLOCK + 1))
         last = np.minimum(np.diff(offsets)[row], pos - BLOCK * (lo // BLOCK) + length)
@@ -62,7 +63,8 @@ def _segments(length: int):
         some = np.flatnonzero(run)
         if len(some):
             end = pa.array((pos + run - lo + length)[some], pa.int32())
-            yield batch(some, pos - hi, pa.nulls(len(some), pa.binary()), end)
+            begin = pos - hi + step if keep_first else pos - hi
+            yield batch(some, begin, pa.nulls(len(some), pa.binary()), end)
 
     return work
 
@@ -95,8 +97,33 @@ def _lengthened(ids: np.ndarray, depth: int) -> np.ndarray:
         size *= 2
 
 
-def _refine(length: int):
-    """Repeated windows among the segments of a shard, by exact comparison of buckets.
+def _places(table: pa.Table) -> np.ndarray:
+    """Numbers of the rows by (doc_id, text_key, pos); repeated rows have the same."""
+    columns = []
+    for c in ("doc_id", "text_key", "pos"):
+        column = table.column(c).combine_chunks()
+        column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+        columns.append(column.is_null().to_numpy(zero_copy_only=False))
+        columns.append(column.fill_null(0).to_numpy(zero_copy_only=False))
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _later(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rows with the id of a row at an earlier place."""
+    first = np.full(int(ids.max()) + 1 if len(ids) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(first, ids, place)
+    return place > first[ids]
+
+
+def _refine(length: int, keep_first: bool):
+    """Repeated windows among the segments of a shard, by exact comparison of buckets; with ``keep_first`` those that have
+    an equal one at an earlier place.
 
     Segments of one phrase are aligned at it.  A cell is the ``BLOCK`` windows that start in one block: they
     share the core of whole blocks, and lie in the core with the block before and after.  A core
@@ -122,6 +149,11 @@ def _refine(length: int):
                 odd[base[k] : base[k] + -(-left // BLOCK)] = True
             if right:
                 odd[base[k + 1] - -(-right // BLOCK) : base[k + 1]] = True
+        place = _places(table) if keep_first else None
+
+        def recurring(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
+            return _later(ids, place[row]) if keep_first else counts_of(ids) > 1
+
         blocks = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
         ids, cores = refined_buckets(blocks, odd, depth)
 
@@ -133,6 +165,9 @@ def _refine(length: int):
         hot = np.flatnonzero(table.column("hot").to_numpy(zero_copy_only=False)[row])
         if len(hot):
             union = pair_ids(pair_ids(key[hot], ids[at[hot] - 1]), ids[at[hot] + depth])
+            if keep_first:
+                early = np.argsort(place[row[hot]], kind="stable")
+                hot, union = hot[early], union[early]
             _, one, n = np.unique(union, return_index=True, return_counts=True)
             one = hot[one]
             start = BLOCK * at[one]
@@ -147,7 +182,7 @@ def _refine(length: int):
         keep = np.flatnonzero(counts_of(key) > 1)
         row, cell, at, key = row[keep], cell[keep], at[keep], key[keep]
         union = pair_ids(pair_ids(key, ids[at - 1]), ids[at + depth])
-        whole = counts_of(union) > 1
+        whole = recurring(union, row)
         found = [(row[whole], pos[row[whole]] - BLOCK * cell[whole] - BLOCK + 1, np.full(int(whole.sum()), length + BLOCK - 1))]
         # Cells whose core recurs: all stay as partners, the undecided among them get their answers here.
         byte = np.arange(BLOCK)
@@ -161,7 +196,7 @@ def _refine(length: int):
             window = key[some]
             for half in (0, 1):
                 window = pair_ids(window, np.unique(ends[:, half], return_inverse=True)[1])
-            repeated = some[counts_of(window) > 1]
+            repeated = some[recurring(window, row[some])]
             found.append((row[repeated], pos[row[repeated]] - distance[repeated], np.full(len(repeated), length)))
         row, begin, size = (np.concatenate([f[i] for f in found]) for i in range(3))
         row, begin, end = merged(row, begin, begin + size)
@@ -223,7 +258,7 @@ def _windows(length: int):
     return run
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
     """Byte ranges ``(doc_id, text_key, begin, end)`` covered by a string of ``length`` bytes that starts at
     two places or more of the corpus, overlapping ones in one document included.
 
@@ -232,15 +267,18 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     are refined exactly inside tasks.  A gram at over ``recurrence.HOT`` places is dealt over several shards; each
     then sends its distinct cells, whose cores and windows Spark counts by 128-bit hash.  Places in periodic text
     (``recurrence.runs``) repeat each other and count as one.
+
+    With ``keep_first`` only strings that also start at an earlier place (smaller doc_id, or earlier in the document;
+    NULL doc_id last) are covered.  Repeated rows are one document then.
     """
     if length % BLOCK or length < 4 * BLOCK:
         raise ValueError("length must be a multiple of 16 and at least 64")
     base = keyed(docs)
     found = rec.map_slices(base, _phrases(length), rec.PHRASES)
-    segments = stored(rec.map_slices(rec.marked_documents(base, found), _segments(length), _SEGMENTS), "segments")
+    segments = stored(rec.map_slices(rec.marked_documents(base, found), _segments(length, keep_first), _SEGMENTS), "segments")
     runs = segments.filter("segment IS NULL").withColumn("begin", F.col("first"))
     segments = segments.filter("segment IS NOT NULL").drop("end")
-    found = stored(rec.dealt(segments, "pos").mapInArrow(_refine(length), _CELLS), "strings")
+    found = stored(rec.dealt(segments, "pos").mapInArrow(_refine(length, keep_first), _CELLS), "strings")
     # Hot phrases: cells whose core recurs anywhere, then their windows.
     cells = found.filter("cell IS NOT NULL")
     cores = cells.groupBy("c1", "c2").agg(F.sum("n").alias("total")).filter("total > 1").drop("total")
@@ -250,23 +288,33 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         ),
         "windows",
     )
-    often = windows.groupBy("h1", "h2").agg(F.sum("n").alias("total")).filter("total > 1").drop("total")
-    # Windows that repeat within their shard are found already.
-    far = windows.filter("n = 1").join(often, ["h1", "h2"], "left_semi")
+    if keep_first:
+        at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "begin")
+        first = windows.groupBy("h1", "h2").agg(F.min(at).alias("first"))
+        far = windows.join(first, ["h1", "h2"]).filter(at > F.col("first"))
+    else:
+        often = windows.groupBy("h1", "h2").agg(F.sum("n").alias("total")).filter("total > 1").drop("total")
+        # Windows that repeat within their shard are found already.
+        far = windows.filter("n = 1").join(often, ["h1", "h2"], "left_semi")
     columns = ["doc_id", "text_key", "begin", "end"]
     far = far.withColumn("end", F.col("begin") + length)
     return found.filter("cell IS NULL").select(columns).unionByName(far.select(columns)).unionByName(runs.select(columns))
 
 
-def remove_strings(docs: DataFrame, length: int = LENGTH, carry: bool = False) -> DataFrame:
+def remove_strings(
+    docs: DataFrame, length: int = LENGTH, carry: bool = False, keep_first: bool = False, least_words: int = 0
+) -> DataFrame:
     """Documents without bytes of repeated strings: ``doc_id, text_key, n_bytes, removed, kept``, and with ``carry``
     the other columns in the struct ``row``.
 
     ``removed`` lists the maximal (begin, end) byte ranges taken out, ``kept`` is the rest as binary (a
     cut may fall inside a character).  One row per input row, NULL text counting as empty; repeated rows are
     documents of their own, so texts of at least ``length`` bytes in them repeat each other.
+
+    With ``keep_first`` the earliest place of a string stays (``repeated_strings``).  With ``least_words`` a range goes
+    only if it touches that many words or has at least ``LENGTH`` bytes.
     """
-    joined = rec.with_spans(keyed(docs, carry), repeated_strings(docs, length))
+    joined = rec.with_spans(keyed(docs, carry), repeated_strings(docs, length, keep_first))
     extra = ["row"] if carry else []
 
     def work(rows, data, offsets):
@@ -274,6 +322,11 @@ def remove_strings(docs: DataFrame, length: int = LENGTH, carry: bool = False) -
         values = rows.column("spans").flatten()
         begin, end = (values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
         row, begin, end = merged(row, begin, end)
+        if least_words and len(row):
+            starts, ends, _ = word_spans(data, offsets)
+            words = np.searchsorted(starts, end + offsets[row]) - np.searchsorted(ends, begin + offsets[row], side="right")
+            long = (words >= least_words) | (end - begin >= LENGTH)
+            row, begin, end = row[long], begin[long], end[long]
         text = data.tobytes()
         cut = np.searchsorted(row, np.arange(rows.num_rows + 1))
         kept = []

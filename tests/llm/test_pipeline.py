@@ -33,7 +33,9 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert ids("simhash near-dedup") == {d for d, _, component in classes if d == component}
 
     left = [(d, rows[d]) for d in sorted(ids("simhash near-dedup"))]
-    cut = {r[0]: r[4].decode(errors="ignore") for r in test_suffix_dedup.brute(left)}
+    cut = test_suffix_dedup.brute_first(left, corpus_pipeline.PASSAGE_BYTES, corpus_pipeline.PASSAGE_WORDS)
+    cut = {d: text.decode(errors="ignore") for d, text in cut}
+    assert cut != dict(left)
     assert {r["doc_id"]: r["text"] for r in kept["suffix-array dedup"]} == cut
     assert all(r["n_chars"] == len(r["text"]) for r in kept["suffix-array dedup"])
 
@@ -53,3 +55,16 @@ def test_odd_rows_pass_all_stages(spark, tmp_path):
         spark.createDataFrame([(1, 1, 0), (4, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
         out = corpus_pipeline.run(spark, folder).collect()
         assert {r["doc_id"] for r in out} == ({1, None, 4} if table else set())
+
+
+def test_repeated_rows_and_passages_keep_one_copy(spark, tmp_path):
+    t = " ".join(f"w{i * i:07d}" for i in range(106)) + " tail!"
+    u = " ".join(f"v{i * i:07d}" for i in range(60))
+    rows = [(1, t, "a"), (1, t, "a"), (2, u, "b"), (3, "own start " + u + " own end", "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, _ string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+    assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == [(1, t), (2, u), (3, "own start  own end")]

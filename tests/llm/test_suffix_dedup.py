@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 from leafmeter.llm import recurrence, suffix_dedup
@@ -89,3 +90,39 @@ def test_query(spark):
     got = sorted([tuple(r) for r in op6_suffix_array_dedup(spark, folder).collect()], key=str)
     want = [(d, n, g, s, hashlib.sha256(k).hexdigest()) for d, n, g, s, k in brute(rows)]
     assert sorted(got) == sorted(want) and any(r[2] for r in got)
+
+
+def brute_first(rows, length, least_words=0):
+    """Cut what also starts earlier, in order of doc_id with NULL last; repeated rows are one document."""
+    seen, cut = set(), {}
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        text = (t or "").encode()
+        gone = bytearray(len(text))
+        for i in range(len(text) - length + 1):
+            window = text[i : i + length]
+            if window in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(window)
+        runs = [(m.start(), m.end()) for m in re.finditer(b"\1+", bytes(gone))]
+        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+        for a, b in runs:
+            if sum(y > a and x < b for x, y in words) < least_words and b - a < 400:
+                gone[a:b] = bytes(b - a)
+        cut[d, t] = bytes(x for x, g in zip(text, gone) if not g)
+    return sorted([(d, cut[d, t]) for d, t in rows], key=str)
+
+
+def run_first(spark, rows, length, least_words=0):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS text_key", "1 AS _", "2 AS __")
+    out = suffix_dedup.remove_strings(docs, length, carry=True, keep_first=True, least_words=least_words).collect()
+    assert all(r["row"]["_"] == 1 for r in out)
+    return sorted([(r["doc_id"], bytes(r["kept"])) for r in out], key=str)
+
+
+def test_the_earliest_place_stays(spark, monkeypatch):
+    for hot in (1500, 3):
+        monkeypatch.setattr(recurrence, "HOT", hot)
+        monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 1 << 21 if hot > 3 else 2000)
+        for seed, length, words in ((6, 400, 0), (7, 64, 0), (8, 144, 50)):
+            rows = corpus(seed)
+            assert run_first(spark, rows, length, words) == brute_first(rows, length, words)
