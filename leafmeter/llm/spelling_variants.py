@@ -26,7 +26,7 @@ GROUPS = 12
 #: Letters told apart, the most frequent ones; all others share the last group.
 LETTERS = 1000
 #: Vectors of one shard of the trie.
-SHARD_VECTORS = 50_000
+SHARD_VECTORS = 4_000
 #: Distinct words a task counts before it sends them on.
 HELD_WORDS = 300_000
 
