@@ -14,13 +14,15 @@ from leafmeter.session import settled
 
 
 def running_total(
-    df: DataFrame, keys: list[str], order: list[Column], totals: dict[str, str]
+    df: DataFrame, keys: list[str], order: list[Column], totals: dict[str, str], maxima: dict[str, str] | None = None
 ) -> DataFrame:
     """Add inclusive totals per ``keys`` up to each row, in ``order``.
 
-    ``totals`` maps a column to sum to the name of its total.  ``keys`` must be non-NULL and
-    (keys, order) unique, or the totals of equal rows are arbitrary.
+    ``totals`` maps a column to sum to the name of its total, ``maxima`` one to the name of its largest value so far
+    (NULL while there is none).  ``keys`` must be non-NULL and (keys, order) unique, or the totals of equal
+    rows are arbitrary.
     """
+    maxima = maxima or {}
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The range bounds come from sampling, so the cut must be computed exactly once.
     cut = settled(
@@ -36,7 +38,10 @@ def running_total(
     )
     offsets = (
         cut.groupBy(*keys, "_cut")
-        .agg(*[F.sum(value).alias(f"_sum_{value}") for value in totals])
+        .agg(
+            *[F.sum(value).alias(f"_sum_{value}") for value in totals],
+            *[F.max(value).alias(f"_max_{value}") for value in maxima],
+        )
         .select(
             *keys,
             "_cut",
@@ -44,6 +49,7 @@ def running_total(
                 F.coalesce(F.sum(f"_sum_{value}").over(earlier), F.lit(0)).alias(f"_before_{value}")
                 for value in totals
             ],
+            *[F.max(f"_max_{value}").over(earlier).alias(f"_most_{value}") for value in maxima],
         )
     )
     rows = cut.join(offsets, [*keys, "_cut"])
@@ -51,4 +57,7 @@ def running_total(
         out: (F.sum(value).over(within) + F.col(f"_before_{value}")).cast("bigint")
         for value, out in totals.items()
     }
-    return rows.withColumns(sums).drop("_cut", *[f"_before_{value}" for value in totals])
+    # greatest() skips NULL.
+    tops = {out: F.greatest(F.max(value).over(within), F.col(f"_most_{value}")) for value, out in maxima.items()}
+    helpers = [f"_before_{value}" for value in totals] + [f"_most_{value}" for value in maxima]
+    return rows.withColumns({**sums, **tops}).drop("_cut", *helpers)

@@ -169,7 +169,7 @@ CHUNK = 50_000
 _THRESHOLD_SCHEMA = "slug string, op_id bigint, chunk bigint, threshold bigint"
 
 
-# The two helpers below are built inside functions so that they travel to the workers by value.
+# Built inside a function so that it travels to the workers by value.
 
 
 def _threshold_finder():
@@ -201,17 +201,57 @@ def _threshold_finder():
     return find
 
 
-def _chunk_chainer():
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Conditional ops passed before each chunk of one slug, from (chunk, threshold, n) rows."""
-        base = 0
-        rows = []
-        for chunk, part in pdf.groupby("chunk", sort=True):
-            rows.append((part["slug"].iloc[0], chunk, base))
-            base += int(part.loc[part["threshold"] <= base, "n"].sum())
-        return pd.DataFrame(rows, columns=["slug", "chunk", "base"])
+def _composed(steps: DataFrame) -> DataFrame:
+    """Blocks of chunks joined two by two: ``slug, block, threshold, n``.
+
+    A block turns k ops passed before it into k plus the ``n`` of its thresholds up to k.  In the joined block a
+    threshold of the right one becomes the least k that the left one turns into as much.
+    """
+    pair = C.whole_div(F.col("block"), 2)
+    left, right = steps.filter("block % 2 = 0"), steps.filter("block % 2 = 1")
+    upto = running_total(left, ["slug", "block"], [F.asc("threshold")], {"n": "upto"})
+    # The left block passes this value at its threshold.
+    before = F.col("threshold") + F.col("upto") - F.col("n")
+    none = F.lit(None).cast("bigint")
+    merged = upto.select("slug", "block", before.alias("value"), "threshold", F.col("n").alias("passed"), F.lit(0).alias("side"), "n").unionByName(
+        right.select("slug", (F.col("block") - 1).alias("block"), F.col("threshold").alias("value"), none.alias("threshold"), F.lit(0).cast("bigint").alias("passed"), F.lit(1).alias("side"), "n")
+    )
+    seen = running_total(
+        merged, ["slug", "block"], [F.asc("value"), F.asc("side")], {"passed": "total"}, {"threshold": "last"}
+    )
+    lifted = F.greatest(F.coalesce("last", F.lit(0)), F.col("value") - F.col("total"))
+    threshold = F.when(F.col("side") == 0, F.col("threshold")).otherwise(lifted)
+    return seen.groupBy("slug", pair.alias("block"), threshold.alias("threshold")).agg(F.sum("n").alias("n"))
 
-    return chain
+
+def _chunk_bases(found: DataFrame) -> DataFrame:
+    """Conditional ops passed before each chunk: ``slug, chunk, base``, for slugs of several chunks.
+
+    A scan over the chunks as functions: blocks of 2, 4, 8 ... chunks are composed, then the passed ops are handed down
+    from the largest blocks to their halves.  No step holds a slug in one group.
+    """
+    several = found.filter("chunk > 0").select("slug").distinct()
+    rows = found.join(several, "slug", "left_semi")
+    steps = settled(rows.groupBy("slug", F.col("chunk").alias("block"), "threshold").agg(F.count("*").alias("n")))
+    chunks = settled(steps.select("slug", F.col("block").alias("chunk")).distinct())
+    levels = int(chunks.agg(F.max("chunk")).first()[0] or 0).bit_length()
+    functions = [steps]
+    for _ in range(levels - 1):
+        functions.append(settled(_composed(functions[-1])))
+    bases = several.select("slug", F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("base"))
+    for level in reversed(range(levels)):
+        above = bases.withColumnRenamed("block", "parent")
+        blocks = chunks.select("slug", C.whole_div(F.col("chunk"), 2**level).alias("block")).distinct()
+        blocks = blocks.withColumn("parent", C.whole_div(F.col("block"), 2)).join(above, ["slug", "parent"])
+        left = functions[level].filter("block % 2 = 0").withColumn("parent", C.whole_div(F.col("block"), 2)).drop("block")
+        passed = (
+            left.join(above, ["slug", "parent"]).filter("threshold <= base").groupBy("slug", "parent").agg(F.sum("n").alias("passed"))
+        )
+        more = F.when(F.col("block") % 2 == 1, F.coalesce("passed", F.lit(0))).otherwise(0)
+        bases = settled(
+            blocks.join(passed, ["slug", "parent"], "left").select("slug", "block", (F.col("base") + more).cast("bigint").alias("base"))
+        )
+    return bases.withColumnRenamed("block", "chunk")
 
 
 def _accepted_conditionals(conditional: DataFrame) -> DataFrame:
@@ -219,8 +259,8 @@ def _accepted_conditionals(conditional: DataFrame) -> DataFrame:
 
     ``conditional`` holds ``slug, op_id, nth, need``: the nth conditional op of its slug passes if at
     least ``need`` conditional ops passed before it.  A slug's ops are cut into chunks of bounded
-    size; a chunk is worked out without knowing what came before, and only slugs of several chunks
-    are chained, over distinct thresholds per chunk.
+    size; a chunk is worked out without knowing what came before, and chunks of one slug are
+    chained as functions of the ops passed before (``_chunk_bases``).
     """
     chunked = conditional.withColumn("chunk", C.whole_div(F.col("nth") - 1, CHUNK)).select(
         "slug", "op_id", "chunk", "nth", "need"
@@ -228,14 +268,7 @@ def _accepted_conditionals(conditional: DataFrame) -> DataFrame:
     found = settled(
         chunked.groupBy("slug", "chunk").applyInPandas(_threshold_finder(), _THRESHOLD_SCHEMA)
     )
-    several = found.filter("chunk > 0").select("slug").distinct()
-    bases = (
-        found.join(several, "slug", "left_semi")
-        .groupBy("slug", "chunk", "threshold")
-        .agg(F.count("*").alias("n"))
-        .groupBy("slug")
-        .applyInPandas(_chunk_chainer(), "slug string, chunk bigint, base bigint")
-    )
+    bases = _chunk_bases(found)
     return (
         found.join(bases, ["slug", "chunk"], "left")
         .filter(F.col("threshold") <= F.coalesce("base", F.lit(0)))

@@ -173,3 +173,48 @@ def test_incomplete_listing_and_failed_delete_keep_the_share(spark):
         _, after, _, marks = sweep(spark, [share], keys("a", [1, 2, 3]), flags=flags)
         assert marks["a"].versions_pruned_below == 1
         assert sweep(spark, after, [])[2].taken == 1
+
+
+def _passed_one_by_one(rows):
+    passed, done = set(), {}
+    for slug, op_id, _, need in sorted(rows, key=lambda r: (r[0], r[2])):
+        if done.get(slug, 0) >= need:
+            passed.add((slug, op_id))
+            done[slug] = done.get(slug, 0) + 1
+    return passed
+
+
+def test_chunks_are_chained_as_functions(spark, monkeypatch):
+    """4,000 conditional restores of one share in chunks of 100, beside small shares; no Python group exceeds a chunk."""
+    import random
+
+    rng = random.Random(5)
+    rows, passed = [], 0
+    for nth in range(1, 4001):
+        need = max(-2, passed + rng.choice([-40, -3, -1, 0, 0, 1, 2]) if rng.random() < 0.9 else rng.randrange(4000))
+        passed += passed >= need
+        rows.append(("hot", 10_000 + nth, nth, need))
+    rows += [("b", i, i, i // 2) for i in range(1, 160)] + [("c", i, i, 0) for i in range(1, 90)] + [("d", 1, 1, 1)]
+    table = spark.createDataFrame(rows, "slug string, op_id bigint, nth bigint, need bigint")
+    sizes = spark.sparkContext.accumulator(0)
+    finder = versions._threshold_finder()
+
+    def counted():
+        def find(pdf):
+            if len(pdf) > 100:
+                sizes.add(1)
+            return finder(pdf)
+
+        return find
+
+    monkeypatch.setattr(versions, "_threshold_finder", counted)
+    monkeypatch.setattr(versions, "CHUNK", 100)
+    got = {tuple(r) for r in versions._accepted_conditionals(table).collect()}
+    assert got == _passed_one_by_one(rows) and 500 < len(got) < 4200
+    assert sizes.value == 0
+    for size in (1, 7):
+        monkeypatch.setattr(versions, "CHUNK", size)
+        some = table.filter("slug <> 'hot' or nth <= 90")
+        assert {tuple(r) for r in versions._accepted_conditionals(some).collect()} == _passed_one_by_one(
+            [r for r in rows if r[0] != "hot" or r[2] <= 90]
+        )
