@@ -10,41 +10,43 @@ from leafmeter.session import settled
 from leafmeter.sources.tables import RAW_VIEW_FIELDS, read_log, replace_parts
 
 
-def _raw_fields_set() -> Column:
+def raw_fields_set() -> Column:
+    """Whether a view still has any raw field."""
     return F.coalesce(*[F.col(c) for c in RAW_VIEW_FIELDS]).isNotNull()
 
 
-def _cleared(views: DataFrame, changed: Column) -> DataFrame:
+def cleared(views: DataFrame, changed: Column) -> DataFrame:
+    """Views with the raw fields of ``changed`` rows NULL."""
     return views.withColumns(
         {c: F.when(~changed, F.col(c)).alias(c) for c in RAW_VIEW_FIELDS}
     )
 
 
-def _with_due(views: DataFrame, shares: DataFrame, now: int) -> DataFrame:
+def with_due(views: DataFrame, shares: DataFrame, now: int) -> DataFrame:
     """Mark rows whose raw fields must go: past the retention time, or of a deleted share."""
     gone = shares.filter("status = 'deleted'").select("slug", F.lit(True).alias("_gone"))
     old = F.col("viewed_at") < now - LIMITS.pii_retention_seconds
     return (
         views.join(gone, "slug", "left")
-        .withColumn("changed", _raw_fields_set() & (old | F.coalesce("_gone", F.lit(False))))
+        .withColumn("changed", raw_fields_set() & (old | F.coalesce("_gone", F.lit(False))))
         .drop("_gone")
     )
 
 
 def anonymize_views(views: DataFrame, shares: DataFrame, now: int) -> DataFrame:
     """All view rows with a flag ``changed``; the raw fields of changed rows are NULL."""
-    return _cleared(_with_due(views, shares, now), F.col("changed"))
+    return cleared(with_due(views, shares, now), F.col("changed"))
 
 
 def anonymize_log(shares: DataFrame, now: int, path: str) -> int:
     """Rewrite only the parts of the view log at ``path`` that hold rows to clear; their number."""
-    marked = _with_due(read_log(shares.sparkSession, path), shares, now)
+    marked = with_due(read_log(shares.sparkSession, path), shares, now)
     found = settled(marked.filter("changed").groupBy("day", "batch").agg(F.count("*").alias("n")))
     rows = found.agg(F.sum("n")).first()[0] or 0
     if rows:
         # Dynamic partition pruning keeps the scan to the parts found.
         part = marked.join(found.select("day", "batch"), ["day", "batch"], "left_semi")
-        replace_parts(_cleared(part, F.col("changed")).drop("changed"), path)
+        replace_parts(cleared(part, F.col("changed")).drop("changed"), path)
     return rows
 
 
@@ -86,7 +88,7 @@ def apply_deletes(
         .withColumn("deleted_at", F.when(now_deleted, F.col("delete_ts")).otherwise(F.col("deleted_at")))
         .drop("delete_ts")
     )
-    new_views = _cleared(views.join(hit, "slug", "left"), now_deleted).drop("delete_ts")
+    new_views = cleared(views.join(hit, "slug", "left"), now_deleted).drop("delete_ts")
     folder = F.regexp_extract("key", r"^shares/([^/]+)/", 1)
     below = objects.select("key", folder.alias("slug")).join(hit.select("slug"), "slug", "left_semi")
     flat = hit.select("slug", C.object_key(F.col("slug"), F.lit(1)).alias("key"))
@@ -95,7 +97,7 @@ def apply_deletes(
 
 def retention_ledger(views: DataFrame, shares: DataFrame, now: int) -> DataFrame:
     """Per UTC day: rows, rows still raw, raw rows past the retention time, raw rows of deleted shares."""
-    raw = _raw_fields_set()
+    raw = raw_fields_set()
     old = F.col("viewed_at") < now - LIMITS.pii_retention_seconds
     per_slug = views.groupBy("slug", C.day_of(F.col("viewed_at")).alias("day_number")).agg(
         F.count("*").alias("rows"),

@@ -131,7 +131,12 @@ def sweep_counts(
 
 
 def sweep_markers(taken: DataFrame, plan: DataFrame, flags: DataFrame) -> DataFrame:
-    """Markers of the swept shares after the run: ``(slug, versions_pruned_below, orphan_since)``.
+    """Markers of the swept shares after the run: ``(slug, versions_pruned_below, orphan_since)``."""
+    return sweep_outcomes(taken, plan, flags).drop("finished")
+
+
+def sweep_outcomes(taken: DataFrame, plan: DataFrame, flags: DataFrame) -> DataFrame:
+    """``sweep_markers`` with ``finished``: the listing was complete, nothing was held back and no delete failed.
 
     ``flags`` holds ``(slug, listing_complete, delete_ok)``; shares without a row count as done.
     A share whose delete failed keeps its markers and is taken again.
@@ -160,6 +165,7 @@ def sweep_markers(taken: DataFrame, plan: DataFrame, flags: DataFrame) -> DataFr
         .cast("bigint")
         .alias("versions_pruned_below"),
         F.when(~F.col("finished"), F.col("orphan_since")).alias("orphan_since"),
+        "finished",
     )
 
 

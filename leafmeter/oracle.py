@@ -341,14 +341,15 @@ def plan_of(taken: str) -> str:
 
 CTE["plan"] = plan_of("eligible")
 CTE["plan_kept"] = plan_of("eligible_kept")
+CTE["outcome"] = """SELECT e.*, f.listing_complete AS complete,
+        EXISTS (SELECT 1 FROM plan p WHERE p.slug = e.slug AND p.why = 'held_back') AS held,
+        NOT f.delete_ok AND EXISTS (SELECT 1 FROM plan p WHERE p.slug = e.slug AND p.why <> 'held_back') AS failed
+    FROM eligible e JOIN fx_flags f ON f.slug = e.slug"""
 CTE["markers"] = """SELECT slug,
     CASE WHEN failed THEN versions_pruned_below WHEN status = 'deleted' AND complete AND NOT held THEN latest_version + 1
          WHEN status <> 'deleted' AND complete THEN greatest(1, keep_from) ELSE versions_pruned_below END AS versions_pruned_below,
     CASE WHEN complete AND NOT held AND NOT failed THEN NULL ELSE orphan_since END AS orphan_since
-    FROM (SELECT e.*, f.listing_complete AS complete,
-            EXISTS (SELECT 1 FROM plan p WHERE p.slug = e.slug AND p.why = 'held_back') AS held,
-            NOT f.delete_ok AND EXISTS (SELECT 1 FROM plan p WHERE p.slug = e.slug AND p.why <> 'held_back') AS failed
-          FROM eligible e JOIN fx_flags f ON f.slug = e.slug)"""
+    FROM outcome"""
 CTE["due"] = f"""SELECT v.*, (ua IS NOT NULL OR referrer IS NOT NULL OR country IS NOT NULL OR city IS NOT NULL)
     AND (viewed_at < {CUTOFF} OR slug IN (SELECT slug FROM fx_shares WHERE status = 'deleted')) AS due FROM fx_views v"""
 CTE["kept_shares"] = f"SELECT * FROM fx_shares WHERE NOT (status = 'pending' AND created_at < {NOW - 300})"
@@ -473,7 +474,7 @@ SQL: dict[str, str] = {
     "f4_maintenance_counters": f"""SELECT 'pending_cleaned' AS counter, count(*) AS n FROM stale
         UNION ALL SELECT 'anonymised', count(*) FROM due WHERE due AND slug NOT IN (SELECT slug FROM stale)
         UNION ALL SELECT 'pruned', count(*) FROM plan_kept WHERE why <> 'held_back' AND slug IN (SELECT slug FROM fx_flags WHERE delete_ok)
-        UNION ALL SELECT 'skipped', 0""",
+        UNION ALL SELECT 'skipped', count(*) FROM outcome WHERE (NOT complete OR held OR failed) AND slug IN (SELECT slug FROM kept_shares)""",
     "f4_maintenance_shares": """SELECT s.* EXCLUDE (page_id, versions_pruned_below, orphan_since), coalesce(m.versions_pruned_below, s.versions_pruned_below) AS versions_pruned_below,
         CASE WHEN m.slug IS NOT NULL THEN m.orphan_since ELSE s.orphan_since END AS orphan_since FROM kept_shares s LEFT JOIN markers m ON m.slug = s.slug""",
     "f5_retention_ledger": f"""SELECT {day_text('viewed_at // 86400')} AS day, count(*) AS rows, count(*) FILTER (WHERE raw) AS raw, count(*) FILTER (WHERE raw AND viewed_at < {CUTOFF}) AS overdue,
@@ -532,6 +533,10 @@ for _name, _prefix in (("a2_contract_violations", "fx_bad_"), ("a2_contract_kept
     ]
     SQL[_name] = f"SELECT rule, n FROM ({' UNION ALL '.join(_parts)}) WHERE n > 0"
 SQL["f1_log_after_all_writers"] = SQL["f1_anonymize_log"]
+SQL["f2_stored_purge"] = SQL["a1_load_views"].replace("FROM fx_views", "FROM fx_views WHERE slug NOT IN (SELECT slug FROM stale)")
+SQL["f3_stored_deletes"] = SQL["f3_deleted_shares"]
+SQL["f4_stored_shares"] = SQL["f4_maintenance_shares"]
+SQL["f4_stored_ledger"] = SQL["f5_ledger_after_run"]
 SQL["s1_stream_enrich"] = SQL["a4_append_views"]
 SQL["s5_stream_upload_limiter"] = SQL["g1_admit_uploads"]
 SQL["s6_stream_reports"] = SQL["g7_new_reports"]

@@ -26,14 +26,15 @@ def maintenance_run(
 ) -> MaintenanceResult:
     """Purge stale uploads, clear old viewer data, then sweep versions.
 
-    ``counters`` holds one row per counter.  ``skipped``, the eligible shares that the sweep left, is 0 in a
-    complete run.
+    ``counters`` holds one row per counter.  ``skipped`` counts the eligible shares that the run could not finish: their
+    listing was cut, a delete failed, or a young orphan was held back.
     """
     kept, kept_views, pending_keys = retention.purge_stale_pending(shares, views, now)
     cleared = retention.anonymize_views(kept_views, kept, now)
     taken = versions.sweep_eligible(kept, now)
     plan = versions.sweep_plan(kept, objects, now)
-    markers = versions.sweep_markers(taken, plan, flags).select(
+    outcomes = versions.sweep_outcomes(taken, plan, flags)
+    markers = outcomes.select(
         "slug",
         F.col("versions_pruned_below").alias("new_below"),
         F.col("orphan_since").alias("new_orphan"),
@@ -51,7 +52,6 @@ def maintenance_run(
         return n.select(F.lit(name).alias("counter"), "n")
 
     failed = flags.filter("not delete_ok").select("slug")
-    eligible = versions.sweep_eligible(kept, now).withColumn("mark", F.lit(1))
     counters = (
         counter("pending_cleaned", retention.stale_pending(shares, now).agg(F.count("*").alias("n")))
         .unionByName(counter("anonymised", cleared.filter("changed").agg(F.count("*").alias("n"))))
@@ -62,7 +62,7 @@ def maintenance_run(
             )
         )
         .unionByName(
-            counter("skipped", eligible.join(taken.select("slug"), "slug", "left_anti").agg(F.count("*").alias("n")))
+            counter("skipped", outcomes.agg(F.count_if(~F.col("finished")).alias("n")))
         )
     )
     return MaintenanceResult(

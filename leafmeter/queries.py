@@ -18,7 +18,7 @@ from leafmeter.operators import (
     stats,
     versions,
 )
-from leafmeter.plans import maintenance, share_docs
+from leafmeter.plans import maintenance, share_docs, stored_runs
 from leafmeter.session import scratch
 from leafmeter.sources import tables
 from leafmeter.sources.fixtures import HOST, NOW, SALT, Fixtures
@@ -430,6 +430,51 @@ def f4_maintenance_shares(f):
     return _maintenance(f).shares
 
 
+# ---- the same runs on stored tables, read back
+
+
+def _store(f: Fixtures) -> str:
+    """Shares, objects and the view log below a new folder."""
+    folder = scratch(f.spark, "store")
+    for table in ("shares", "objects", "views"):
+        tables.save_table(getattr(f, table).drop("day"), folder, table)
+    return folder
+
+
+@query
+def f2_stored_purge(f):
+    folder = _store(f)
+    stored_runs.purge(f.spark, folder, NOW)
+    return tables.load_table(f.spark, folder, "views")
+
+
+@query
+def f3_stored_deletes(f):
+    folder = _store(f)
+    verdicts = access.audit_access(f.access.filter("route = 'delete'"), f.shares, f.objects)
+    stored_runs.delete_shares(f.spark, folder, f.deletes(verdicts))
+    return tables.load_table(f.spark, folder, "shares").select("slug", "status", "deleted_at")
+
+
+@query
+def f4_stored_shares(f):
+    folder = _store(f)
+    stored_runs.maintain(f.spark, folder, f.sweep_flags, NOW)
+    return tables.load_table(f.spark, folder, "shares")
+
+
+@query
+def f4_stored_ledger(f):
+    """The ledger of the tables as two runs leave them; the second one finds nothing to clear."""
+    folder = _store(f)
+    for _ in range(2):
+        run = stored_runs.maintain(f.spark, folder, f.sweep_flags, NOW)
+    if run.counters.filter("counter IN ('pending_cleaned', 'anonymised') AND n > 0").count():
+        raise RuntimeError("a second maintenance run found rows to purge or clear")
+    stored = [tables.load_table(f.spark, folder, t) for t in ("views", "shares")]
+    return retention.retention_ledger(*stored, NOW)
+
+
 @query
 def f5_retention_ledger(f):
     return retention.retention_ledger(f.views, f.shares, NOW)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from leafmeter.functions.columns import day_of
@@ -89,10 +91,23 @@ def load_tables(spark: SparkSession, folder: str) -> Tables:
     return Tables(*[load_table(spark, folder, t) for t in ("shares", "views", "reports", "objects")])
 
 
+#: Parts of the stored shares, by hash of the slug; a change rewrites only the parts that it touches.
+SHARE_PARTS = 64
+#: Columns by which the tables that runs change are laid out in folders.
+PART_COLUMNS = {"shares": ["part"], "views": ["day", "batch"]}
+
+
+def share_part(slug: Column) -> Column:
+    return F.pmod(F.xxhash64(slug), F.lit(SHARE_PARTS))
+
+
 def save_table(df: DataFrame, folder: str, table: str) -> None:
-    """Store one of the tables below ``folder``; ``views`` is appended to its log."""
+    """Store one of the tables below ``folder``; ``views`` is appended to its log, ``shares`` is laid out by parts."""
     if table == "views":
         append_views(df, f"{folder}/views")
+    elif table == "shares":
+        parts = df.withColumn("part", share_part(F.col("slug"))).repartition("part")
+        parts.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part").parquet(f"{folder}/shares")
     else:
         df.write.mode("overwrite").parquet(f"{folder}/{table}")
 
@@ -100,7 +115,7 @@ def save_table(df: DataFrame, folder: str, table: str) -> None:
 def load_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     if table == "views":
         return read_views(spark, f"{folder}/views")
-    return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}")
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}").drop("part")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -135,27 +150,95 @@ def _write(views: DataFrame, path: str) -> None:
 
 def append_views(views: DataFrame, path: str, batch: str | None = None) -> None:
     """Append to the log as a batch of its own; a repeated batch of the same name replaces itself."""
-    _write(_laid_out(with_day(views).withColumn("batch", F.lit(batch or uuid.uuid4().hex))), path)
+    name = batch or uuid.uuid4().hex
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", name):
+        raise ValueError("a batch is named by letters, digits, points, hyphens and underscores")
+    _write(_laid_out(with_day(views).withColumn("batch", F.lit(name))), path)
 
 
-def append_views_stream(views: DataFrame, path: str, checkpoint: str, name: str = "stream") -> StreamingQuery:
-    """Streaming form of ``append_views``: every micro-batch is the log's batch ``<name>-<number>``.
+def append_views_stream(views: DataFrame, path: str, checkpoint: str, name: str | None = None) -> StreamingQuery:
+    """Streaming form of ``append_views``: every micro-batch is a batch of the log, ``<name>-<number>``.
 
-    ``name`` must be one stream's own.
+    By default the name is the id that the stream keeps in its checkpoint, so streams never replace each other's
+    batches, and a repeated micro-batch replaces itself.  With a ``name``, which must be one stream's own, also a stream
+    that starts anew without its checkpoint replaces what it wrote before.
     """
+    spark = views.sparkSession
+    own = [name] if name else []
+
+    def each(rows: DataFrame, number: int) -> None:
+        if not own:
+            own.append(spark.read.json(f"{checkpoint}/metadata").first()["id"])
+        append_views(rows, path, f"{own[0]}-{number}")
+
     return (
-        views.writeStream.foreachBatch(lambda rows, number: append_views(rows, path, f"{name}-{number}"))
+        views.writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+# ---- changes of stored tables
+
+
+@dataclass(frozen=True)
+class Change:
+    """All rows that the touched parts of a table hold afterwards, and these parts."""
+
+    rows: DataFrame
+    parts: DataFrame
+
+
+class _Folder:
+    """Whole folders of the shared file system, moved and removed by name."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._root = path.rstrip("/")
+        self._files = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._spark = spark
+
+    def _at(self, name: str):
+        return self._path(f"{self._root}/{name}" if name else self._root)
+
+    def has(self, name: str) -> bool:
+        return self._files.exists(self._at(name))
+
+    def remove(self, name: str = "") -> None:
+        self._files.delete(self._at(name), True)
+
+    def parts(self, name: str, depth: int) -> list[str]:
+        """The part folders below ``name``, relative to it."""
+        below = f"{self._root}/{name}".rstrip("/")
+        found = self._files.globStatus(self._path(f"{below}{'/*=*' * depth}")) or []
+        return sorted("/".join(str(f.getPath().toString()).split("/")[-depth:]) for f in found)
+
+    def move(self, name: str, target: str) -> None:
+        """Put a folder in the place of another one."""
+        to = self._path(target)
+        self._files.delete(to, True)
+        self._files.mkdirs(to.getParent())
+        if not self._files.rename(self._at(name), to):
+            raise OSError(f"cannot move {self._at(name)} to {target}")
+
+    def put(self, name: str, text: str) -> None:
+        """A file that is there whole or not at all."""
+        out = self._files.create(self._at(f"{name}.part"), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self._files.rename(self._at(f"{name}.part"), self._at(name))
+
+    def text(self, name: str) -> str:
+        return self._spark.read.text(f"{self._root}/{name}", wholetext=True).first()[0]
+
+
 def replace_parts(views: DataFrame, path: str) -> None:
     """Replace the (day, batch) parts present in ``views``, which may be read from the log itself.
 
-    Appends meanwhile go to parts of their own and stay.  The new parts are complete beside the log before the
-    first old one goes; if a run breaks off then, ``finish_replacing`` writes them again.  One rewrite at a time.
+    Appends meanwhile go to parts of their own and stay.  The new parts are written once, complete beside the log, and
+    then take the old ones' places folder by folder; if a run breaks off then, ``finish_replacing`` goes on.  One rewrite
+    at a time; readers that list files in that moment may meet old and new parts side by side, never half of one.
     """
     staged = f"{path.rstrip('/')}.staged"
     finish_replacing(views.sparkSession, path)
@@ -165,13 +248,49 @@ def replace_parts(views: DataFrame, path: str) -> None:
 
 
 def finish_replacing(spark: SparkSession, path: str) -> None:
-    """Write the staged parts of a rewrite into the log, if there are complete ones, and drop them."""
-    staged = f"{path.rstrip('/')}.staged"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
-        _write(read_log(spark, staged), path)
-    files.delete(folder, True)
+    """Move the staged parts of a rewrite into the log, if they are complete, and drop the rest."""
+    staged = _Folder(spark, f"{path.rstrip('/')}.staged")
+    if staged.has("_SUCCESS"):
+        for part in staged.parts("", 2):
+            staged.move(part, f"{path.rstrip('/')}/{part}")
+    staged.remove()
+
+
+def change_tables(spark: SparkSession, folder: str, changes: dict[str, Change]) -> None:
+    """Rewrite the touched parts of several tables below ``folder`` as one change.
+
+    The new parts of all tables are written beside them first.  Then a file names the parts that became empty and makes
+    the change final: from there on ``finish_change`` can complete it any number of times, while a run that broke off
+    before has changed nothing.  Parts that no row touches keep their files.  One change at a time.
+    """
+    finish_change(spark, folder)
+    staged = _Folder(spark, f"{folder}/_staged")
+    emptied = {}
+    for table, change in changes.items():
+        by = PART_COLUMNS[table]
+        rows = _laid_out(change.rows) if table == "views" else change.rows.repartition(*by)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).parquet(f"{folder}/_staged/{table}")
+        # One name a part, as many as the table has folders.
+        touched = {"/".join(f"{c}={row[c]}" for c in by) for row in change.parts.select(*by).distinct().collect()}
+        emptied[table] = sorted(touched - set(staged.parts(table, len(by))))
+    staged.put("final.json", json.dumps(emptied))
+    finish_change(spark, folder)
+
+
+def finish_change(spark: SparkSession, folder: str) -> bool:
+    """Complete a change that is final, or drop one that is not; whether there was one to complete."""
+    staged = _Folder(spark, f"{folder}/_staged")
+    final = staged.has("final.json")
+    if final:
+        for table, emptied in json.loads(staged.text("final.json")).items():
+            # A part that is no longer staged has been moved before.
+            for part in staged.parts(table, len(PART_COLUMNS[table])):
+                staged.move(f"{table}/{part}", f"{folder}/{table}/{part}")
+            stored = _Folder(spark, f"{folder}/{table}")
+            for part in emptied:
+                stored.remove(part)
+    staged.remove()
+    return final
 
 
 def evolve_schema(df: DataFrame, table: str) -> DataFrame:

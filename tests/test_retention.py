@@ -50,7 +50,7 @@ def test_log_with_stream_append_and_rewrite(spark, tmp_path):
     v.filter("id < 3").write.parquet(source)
     for run in range(2):  # a repeated first batch replaces itself
         stream = spark.readStream.schema(v.schema).parquet(source)
-        tables.append_views_stream(stream, path, str(tmp_path / f"checkpoint{run}")).awaitTermination()
+        tables.append_views_stream(stream, path, str(tmp_path / f"checkpoint{run}"), "own").awaitTermination()
     tables.append_views(v.filter("id >= 3"), path)
     assert tables.read_views(spark, path).count() == v.count()
     assert retention.anonymize_log(s, NOW, path) == 3 and retention.anonymize_log(s, NOW, path) == 0
