@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from leafmeter.operators import (
     access,
@@ -489,9 +490,19 @@ def f5_ledger_after_run(f):
 # ---- streams, over the same rows as their batch jobs
 
 
-def _staged_stream(f: Fixtures, name: str, files_per_batch: int | None = None) -> DataFrame:
-    schema = getattr(f, name).schema
-    return jobs.read_files(f.spark, f.staged_path(name), schema, files_per_batch)
+def _in_batches(f: Fixtures, df: DataFrame, name: str, batches: int = 3) -> DataFrame:
+    """A stream that gets the rows in ``batches`` batches or more whatever the number of cores, of two files each."""
+    path = scratch(f.spark, name)
+    df.repartition(2 * batches).write.parquet(path)
+    return jobs.read_files(f.spark, path, df.schema, 2)
+
+
+def _ended(stream: StreamingQuery, batches: int = 3) -> None:
+    """Wait for a stream and see that it took its rows in several batches."""
+    stream.awaitTermination()
+    took = sum(p["numInputRows"] > 0 for p in stream.recentProgress)
+    if took < batches:
+        raise RuntimeError(f"the stream took {took} batches")
 
 
 def _as_stream(f: Fixtures, df: DataFrame, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -518,8 +529,8 @@ def _folders(f: Fixtures, name: str) -> tuple[str, str]:
 @query
 def s1_stream_enrich(f):
     out, checkpoint = _folders(f, "s1")
-    views = jobs.stream_enrich(_staged_stream(f, "hits", 4), f.shares, SALT)
-    tables.append_views_stream(views, out, checkpoint).awaitTermination()
+    views = jobs.stream_enrich(_in_batches(f, f.hits, "hits"), f.shares, SALT)
+    _ended(tables.append_views_stream(views, out, checkpoint))
     return tables.read_views(f.spark, out)
 
 
@@ -534,14 +545,14 @@ def s2_stream_daily_views(f):
 @query
 def s3_stream_counters(f):
     out, checkpoint = _folders(f, "s3")
-    jobs.stream_counters(_staged_stream(f, "views", 4), out, checkpoint).awaitTermination()
+    _ended(jobs.stream_counters(_in_batches(f, f.views, "views"), out, checkpoint))
     return jobs.read_counters(f.spark, out)
 
 
 @query
 def s4_stream_unique_viewers(f):
     out, checkpoint = _folders(f, "s4")
-    jobs.stream_unique_viewers(_staged_stream(f, "views", 4), out, checkpoint).awaitTermination()
+    _ended(jobs.stream_unique_viewers(_in_batches(f, f.views, "views"), out, checkpoint))
     return jobs.read_unique_viewers(f.spark, out)
 
 
@@ -555,8 +566,8 @@ def s5_stream_upload_limiter(f):
 @query
 def s6_stream_reports(f):
     out, checkpoint = _folders(f, "s6")
-    raw = _as_stream(f, f.reports_raw, "reports", 2)
-    jobs.stream_reports(raw, f.shares, f.reports, out, checkpoint).awaitTermination()
+    raw = _in_batches(f, f.reports_raw, "reports")
+    _ended(jobs.stream_reports(raw, f.shares, f.reports, out, checkpoint))
     return jobs.read_reports(f.spark, out)
 
 

@@ -190,7 +190,7 @@ class Change:
     parts: DataFrame
 
 
-class _Folder:
+class Folder:
     """Whole folders of the shared file system, moved and removed by name."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -249,7 +249,7 @@ def replace_parts(views: DataFrame, path: str) -> None:
 
 def finish_replacing(spark: SparkSession, path: str) -> None:
     """Move the staged parts of a rewrite into the log, if they are complete, and drop the rest."""
-    staged = _Folder(spark, f"{path.rstrip('/')}.staged")
+    staged = Folder(spark, f"{path.rstrip('/')}.staged")
     if staged.has("_SUCCESS"):
         for part in staged.parts("", 2):
             staged.move(part, f"{path.rstrip('/')}/{part}")
@@ -264,7 +264,7 @@ def change_tables(spark: SparkSession, folder: str, changes: dict[str, Change])
     before has changed nothing.  Parts that no row touches keep their files.  One change at a time.
     """
     finish_change(spark, folder)
-    staged = _Folder(spark, f"{folder}/_staged")
+    staged = Folder(spark, f"{folder}/_staged")
     emptied = {}
     for table, change in changes.items():
         by = PART_COLUMNS[table]
@@ -279,14 +279,14 @@ def change_tables(spark: SparkSession, folder: str, changes: dict[str, Change])
 
 def finish_change(spark: SparkSession, folder: str) -> bool:
     """Complete a change that is final, or drop one that is not; whether there was one to complete."""
-    staged = _Folder(spark, f"{folder}/_staged")
+    staged = Folder(spark, f"{folder}/_staged")
     final = staged.has("final.json")
     if final:
         for table, emptied in json.loads(staged.text("final.json")).items():
             # A part that is no longer staged has been moved before.
             for part in staged.parts(table, len(PART_COLUMNS[table])):
                 staged.move(f"{table}/{part}", f"{folder}/{table}/{part}")
-            stored = _Folder(spark, f"{folder}/{table}")
+            stored = Folder(spark, f"{folder}/{table}")
             for part in emptied:
                 stored.remove(part)
     staged.remove()

@@ -1,8 +1,8 @@
 """The continuous jobs.
 
-Sinks that need a merge keep a log of small per-batch tables: a batch writes its own folder
-``batch=<id>`` with overwrite, so a repeated batch replaces itself, and readers fold the log.  No
-batch rewrites what earlier batches wrote.
+Sinks that need a merge keep a log of small per-batch tables (``BatchLog``): a batch writes its own folder
+``batch=<id>`` with overwrite, so a repeated batch replaces itself, readers fold the log, and every some batches the
+committed ones are folded into one table.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
 
 from leafmeter.functions import columns as col
-from leafmeter.limits import DAY, LIMITS, Limits
+from leafmeter.limits import LIMITS, Limits
 from leafmeter.operators import hits as hit_ops
 from leafmeter.operators import intake
+from leafmeter.sources.tables import Folder
 
 
 def _start(df: DataFrame, checkpoint: str, mode: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -30,11 +30,69 @@ def _start(df: DataFrame, checkpoint: str, mode: str, each: Callable[[DataFrame,
     )
 
 
-def _batch_log(path: str) -> Callable[[DataFrame, int], None]:
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+#: Batches after which a log is folded.
+FOLD_EVERY = 16
 
-    return write
+
+class BatchLog:
+    """The log of one stream, which alone writes below ``path`` and keeps its checkpoint.
+
+    ``batch=<id>`` holds what a batch logged, ``upto=<id>`` all batches up to this one, folded.  ``fold`` merges logged rows
+    to rows of the same columns, in any order and grouping.  Only batches before the running one are folded; these are
+    committed and never repeated, so a repeated batch, or a repeated folding, changes nothing.
+    """
+
+    def __init__(self, path: str, fold: Callable[[DataFrame], DataFrame], every: int | None = None) -> None:
+        self.path, self.fold, self.every = path.rstrip("/"), fold, every or FOLD_EVERY
+
+    def _found(self, spark: SparkSession) -> tuple[int, list[int]]:
+        """The last batch that is folded (-1: none) and the batches logged after it."""
+        folder = Folder(spark, self.path)
+        ids = {"upto": [], "batch": []}
+        for name in folder.parts("", 1):
+            kind, number = name.split("=")
+            if kind in ids and folder.has(f"{name}/_SUCCESS"):
+                ids[kind].append(int(number))
+        upto = max(ids["upto"], default=-1)
+        return upto, sorted(i for i in ids["batch"] if i > upto)
+
+    def folders(self, spark: SparkSession, before: int | None = None) -> list[str]:
+        """The folders that hold the log, of batches below ``before`` only."""
+        upto, batches = self._found(spark)
+        names = [f"upto={upto}"] if upto >= 0 else []
+        return [f"{self.path}/{n}" for n in names + [f"batch={i}" for i in batches if before is None or i < before]]
+
+    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
+        """The folded log, or None while nothing is logged."""
+        folders = self.folders(spark, before)
+        return self.fold(spark.read.parquet(*folders)) if folders else None
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % self.every == 0:
+            self.compact(rows.sparkSession, batch_id - 1)
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def compact(self, spark: SparkSession, upto: int) -> None:
+        """Fold the batches up to ``upto``, all of them committed."""
+        done, batches = self._found(spark)
+        if upto <= done or not any(i <= upto for i in batches):
+            return
+        names = [f"upto={done}"] * (done >= 0) + [f"batch={i}" for i in batches if i <= upto]
+        rows = self.fold(spark.read.parquet(*[f"{self.path}/{n}" for n in names]))
+        rows.write.mode("overwrite").parquet(f"{self.path}/upto={upto}")
+        # Readers may still be in what this folding replaced, so only what the last one replaced goes.
+        folder = Folder(spark, self.path)
+        for name in folder.parts("", 1):
+            kind, number = name.split("=")
+            if int(number) < done or (kind == "batch" and int(number) <= done):
+                folder.remove(name)
+
+
+def _folded(log: BatchLog, spark: SparkSession) -> DataFrame:
+    rows = log.read(spark)
+    if rows is None:
+        raise FileNotFoundError(f"no batch has been logged below {log.path}")
+    return rows
 
 
 def stream_enrich(hits: DataFrame, shares: DataFrame, salt: str) -> DataFrame:
@@ -56,17 +114,21 @@ def stream_daily_views(views: DataFrame, delay: str, path: str, checkpoint: str)
         .agg(F.count("*").alias("views"))
         .select("slug", F.date_format("window.start", "yyyy-MM-dd").alias("date"), "views")
     )
-    return _start(days, checkpoint, "update", _batch_log(path))
+    return _start(days, checkpoint, "update", daily_log(path).write)
 
 
-def read_daily_views(spark: SparkSession, path: str) -> DataFrame:
+def daily_log(path: str) -> BatchLog:
     """Counts only grow, so the largest logged one is the current one."""
-    return spark.read.parquet(path).groupBy("slug", "date").agg(F.max("views").alias("views"))
+    return BatchLog(path, lambda rows: rows.groupBy("slug", "date").agg(F.max("views").alias("views")))
+
+
+def read_daily_views(spark: SparkSession, path: str) -> DataFrame:
+    return _folded(daily_log(path), spark)
 
 
 def stream_counters(views: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Running human and bot views per slug.  Keeps no state: each batch logs its own sums."""
-    write = _batch_log(path)
+    write = counter_log(path).write
 
     def each(batch: DataFrame, batch_id: int) -> None:
         human = F.col("is_bot") == 0
@@ -82,16 +144,13 @@ def stream_counters(views: DataFrame, path: str, checkpoint: str) -> StreamingQu
     return _start(views, checkpoint, "append", each)
 
 
+def counter_log(path: str) -> BatchLog:
+    sums = [F.sum("views").alias("views"), F.sum("bot_views").alias("bot_views"), F.max("last_viewed").alias("last_viewed")]
+    return BatchLog(path, lambda rows: rows.groupBy("slug").agg(*sums))
+
+
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.parquet(path)
-        .groupBy("slug")
-        .agg(
-            F.sum("views").alias("views"),
-            F.sum("bot_views").alias("bot_views"),
-            F.max("last_viewed").alias("last_viewed"),
-        )
-    )
+    return _folded(counter_log(path), spark)
 
 
 def stream_unique_viewers(views: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -100,7 +159,7 @@ def stream_unique_viewers(views: DataFrame, path: str, checkpoint: str) -> Strea
     Viewers are never forgotten, so the state grows with the distinct pairs.
     """
     first = views.filter("is_bot = 0").select("slug", "ip_hash").dropDuplicates(["slug", "ip_hash"])
-    write = _batch_log(path)
+    write = viewer_log(path).write
 
     def each(batch: DataFrame, batch_id: int) -> None:
         write(batch.groupBy("slug").agg(F.count("*").alias("unique_viewers")), batch_id)
@@ -108,8 +167,12 @@ def stream_unique_viewers(views: DataFrame, path: str, checkpoint: str) -> Strea
     return _start(first, checkpoint, "append", each)
 
 
+def viewer_log(path: str) -> BatchLog:
+    return BatchLog(path, lambda rows: rows.groupBy("slug").agg(F.sum("unique_viewers").alias("unique_viewers")))
+
+
 def read_unique_viewers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy("slug").agg(F.sum("unique_viewers").alias("unique_viewers"))
+    return _folded(viewer_log(path), spark)
 
 
 def stream_upload_limiter(
@@ -117,42 +180,33 @@ def stream_upload_limiter(
 ) -> StreamingQuery:
     """Upload verdicts per batch, given each sender's last acceptance in earlier batches.
 
-    A batch runs the batch job, so a sender with most of the uploads is spread over its days.  The
-    state is kept by day of the acceptance, and a batch reads only the days that can block it.
+    A batch runs the batch job, so a sender with most of the uploads is spread over its days.  The state, one last
+    acceptance a sender, is a folded log, so a batch reads a bounded number of files, and of these only senders that
+    can still be blocked.
     """
-    verdicts, state = f"{path}/verdicts", f"{path}/state"
-
-    def last_accepted(batch: DataFrame, batch_id: int) -> DataFrame | None:
-        try:
-            log = batch.sparkSession.read.parquet(state)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-        first = batch.agg(F.min("ts")).first()[0] - limits.upload_gap_seconds
-        # A repeated batch must not see what its first try wrote.
-        known = log.filter((F.col("day") >= first // DAY) & (F.col("batch") < batch_id))
-        return known.groupBy("ip_hash").agg(F.max("last_ts").alias("last_ts"))
+    state = sender_log(path)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        spark = batch.sparkSession
+        first = batch.agg(F.min("ts")).first()[0]
+        if first is None:
             return
-        judged = intake.admit_uploads(batch, salt, limits, last_accepted(batch, batch_id))
-        _batch_log(verdicts)(judged, batch_id)
-        done = batch.sparkSession.read.parquet(f"{verdicts}/batch={batch_id}").filter("code = 201")
-        (
-            done.groupBy("ip_hash")
-            .agg(F.max("ts").alias("last_ts"))
-            .withColumns({"day": col.day_of(F.col("last_ts")), "batch": F.lit(batch_id)})
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("day", "batch")
-            .parquet(state)
-        )
+        # A repeated batch must not see what its first try wrote.
+        known = state.read(spark, batch_id)
+        if known is not None:
+            known = known.filter(F.col("last_ts") >= first - limits.upload_gap_seconds)
+        judged = intake.admit_uploads(batch, salt, limits, known)
+        judged.write.mode("overwrite").parquet(f"{path}/verdicts/batch={batch_id}")
+        done = spark.read.parquet(f"{path}/verdicts/batch={batch_id}").filter("code = 201")
+        state.write(done.groupBy("ip_hash").agg(F.max("ts").alias("last_ts")), batch_id)
 
     return _start(uploads, checkpoint, "append", each)
 
 
+def sender_log(path: str) -> BatchLog:
+    return BatchLog(f"{path}/state", lambda rows: rows.groupBy("ip_hash").agg(F.max("last_ts").alias("last_ts")))
+
+
 def read_upload_verdicts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/verdicts").drop("batch")
 
@@ -160,28 +214,35 @@ def read_upload_verdicts(spark: SparkSession, path: str) -> DataFrame:
 def stream_reports(
     raw: DataFrame, shares: DataFrame, existing: DataFrame, path: str, checkpoint: str
 ) -> StreamingQuery:
-    """First valid report per (slug, reporter).
+    """First valid report per (slug, reporter), as a log of the first of each batch.
 
-    Kept as a running minimum, so an earlier report arriving late still wins; the state holds one row
-    per pair for ever.
+    The log is folded to the earliest, so an earlier report arriving late still wins.  A batch is reduced to pairs before
+    it meets the shares, so the reports of a share that many report spread over their reporters.
     """
+    log = report_log(path)
+    return _start(raw, checkpoint, "append", lambda batch, batch_id: log.write(first_reports(batch, shares, existing), batch_id))
+
+
+def first_reports(raw: DataFrame, shares: DataFrame, existing: DataFrame) -> DataFrame:
+    """``slug, reporter_ip_hash, first`` of the valid reports of ``raw`` on known shares that ``existing`` lacks."""
     pair = ["slug", "reporter_ip_hash"]
     reason = col.trimmed(F.col("reason"))
-    valid = (
+    pairs = (
         raw.filter((F.coalesce(reason, F.lit("")) != "") & (F.length("reason") <= LIMITS.reason_chars))
         .filter("email_is_text")
-        .join(shares.select("slug"), "slug", "left_semi")
-        .join(existing.select(*pair), pair, "left_anti")
         .withColumn("first", F.struct("ts", F.col("request_id").alias("id"), reason.alias("reason"), F.col("email").alias("reporter_email")))
         .groupBy(*pair)
         .agg(F.min("first").alias("first"))
     )
-    return _start(valid, checkpoint, "update", _batch_log(path))
+    return pairs.join(existing.select(*pair), pair, "left_anti").join(shares.select("slug"), "slug", "left_semi")
+
+
+def report_log(path: str) -> BatchLog:
+    return BatchLog(path, lambda rows: rows.groupBy("slug", "reporter_ip_hash").agg(F.min("first").alias("first")))
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    first = spark.read.parquet(path).groupBy("slug", "reporter_ip_hash").agg(F.min("first").alias("first"))
-    return first.select(
+    return _folded(report_log(path), spark).select(
         "first.id",
         "slug",
         "first.reason",
@@ -227,12 +288,16 @@ def stream_write_limits(requests: DataFrame, delay: str, path: str, checkpoint:
         .agg(F.count("*").alias("n"))
         .select("ip_hash", F.unix_seconds("w.start").alias("window_start"), "n")
     )
-    return _start(counts, checkpoint, "update", _batch_log(path))
+    return _start(counts, checkpoint, "update", window_log(path).write)
 
 
-def read_write_limits(spark: SparkSession, path: str, limits: Limits = LIMITS) -> DataFrame:
+def window_log(path: str) -> BatchLog:
     """Counts only grow, so the largest logged one is the current one."""
-    n = spark.read.parquet(path).groupBy("ip_hash", "window_start").agg(F.max("n").alias("n"))
+    return BatchLog(path, lambda rows: rows.groupBy("ip_hash", "window_start").agg(F.max("n").alias("n")))
+
+
+def read_write_limits(spark: SparkSession, path: str, limits: Limits = LIMITS) -> DataFrame:
+    n = _folded(window_log(path), spark)
     return n.withColumn("over", F.col("n") > limits.write_per_ip)
 
 

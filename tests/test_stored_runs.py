@@ -100,13 +100,13 @@ def test_a_run_that_broke_off_is_completed_or_dropped(spark, tmp_path, monkeypat
         raise OSError("lost")
 
     with monkeypatch.context() as m:
-        m.setattr(tables._Folder, "put", refuse)
+        m.setattr(tables.Folder, "put", refuse)
         with pytest.raises(OSError):
             stored_runs.maintain(spark, str(broken), none, NOW)
     assert stored(spark, broken) == before
 
     # Broken off after it: some parts have moved, and the next run of any kind completes the rest.
-    left, move = [moved], tables._Folder.move
+    left, move = [moved], tables.Folder.move
 
     def tired(self, name, target):
         if not left[0]:
@@ -117,7 +117,7 @@ def test_a_run_that_broke_off_is_completed_or_dropped(spark, tmp_path, monkeypat
         move(self, name, target)
 
     with monkeypatch.context() as m:
-        m.setattr(tables._Folder, "move", tired)
+        m.setattr(tables.Folder, "move", tired)
         with pytest.raises(OSError):
             stored_runs.maintain(spark, str(broken), none, NOW)
     assert tables.finish_change(spark, str(broken)) and not tables.finish_change(spark, str(broken))
