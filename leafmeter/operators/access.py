@@ -38,9 +38,9 @@ def audit_access(
         .withColumn("key", F.when(F.col("wanted").isNotNull(), C.object_key(F.col("slug"), F.col("wanted"))))
         .join(known, "slug", "left")
     )
-    # Few rows name an object; the others would meet in one task under a NULL key.
-    named = log.filter(F.col("key").isNotNull()).join(stored, "key", "left")
-    log = named.unionByName(log.filter(F.col("key").isNull()).withColumn("found", F.lit(None).cast("boolean")))
+    # Most rows name no object; a key of their own, which no object has, keeps them from meeting under NULL.
+    none = F.concat(F.lit("\0"), F.col("request_id").cast("string"))
+    log = log.withColumn("key", F.coalesce("key", none)).join(stored, "key", "left")
     malformed = F.col("has_bearer") & F.col("key_hash").isNull()
     no_credential = F.col("key_hash").isNull() & F.col("token_hash").isNull()
     status = F.col("status")

@@ -202,6 +202,7 @@ CTE["fx_saves"] = f"""SELECT page_id % 6 AS device, {slug('page_id')} AS slug, '
     CASE WHEN page_id % 8 = 0 THEN '' WHEN page_id % 2 = 0 THEN 'Title ' || page_id END AS title, seq
     FROM (SELECT page_id, page_id AS seq FROM pages WHERE page_id % 4 <> 3
           UNION ALL SELECT page_id, page_id + (SELECT n FROM np) FROM pages WHERE page_id % 4 <> 3 AND page_id % 5 = 0)"""
+CTE["fx_recent"] = f"""SELECT CASE WHEN i % 3 = 0 THEN 0 ELSE 1 + i % 40 END AS device, {slug('i % (8 * (SELECT n FROM np))')} AS slug, i AS seq FROM fx_events"""
 CTE["fx_local"] = "SELECT DISTINCT device, slug, share_url, created_at, title FROM fx_saves"
 CTE["fx_remote"] = f"""SELECT (page_id // 3) % 5 AS device, {slug('page_id')} AS slug, 'https://{HOST}/' || {slug('page_id')} AS share_url, {C0} AS created_at
     FROM pages WHERE page_id % 3 = 0 AND page_id % 10 NOT IN (0, 1)"""
@@ -490,7 +491,7 @@ SQL: dict[str, str] = {
 }
 for _name, _size in (("e3_recent_per_device", 200), ("e3_recent_per_browser", 50)):
     SQL[_name] = f"""SELECT * FROM (SELECT device, slug, row_number() OVER (PARTITION BY device ORDER BY max(seq) DESC) AS pos
-        FROM fx_saves GROUP BY 1, 2) WHERE pos <= {_size}"""
+        FROM fx_recent GROUP BY 1, 2) WHERE pos <= {_size}"""
 for _name, _size in (("e4_owner_pages", 50), ("e4_owner_pages_of_7", 7)):
     SQL[_name] = f"""SELECT owner_key_hash, (pos - 1) // {_size} + 1 AS page, pos, slug, created_at, 'https://{HOST}/' || slug AS share_url,
         CASE WHEN pos % {_size} = 0 AND pos < size THEN {cursor('created_at', 'slug')} END AS next_cursor

@@ -229,12 +229,12 @@ def e2_unsynced_counts(f):
 
 @query
 def e3_recent_per_device(f):
-    return lists.recent_per_device(f.saves)
+    return lists.recent_per_device(f.recent_saves)
 
 
 @query
 def e3_recent_per_browser(f):
-    return lists.recent_per_device(f.saves, lists.LIMITS.browser_saves)
+    return lists.recent_per_device(f.recent_saves, lists.LIMITS.browser_saves)
 
 
 @query

@@ -409,6 +409,16 @@ class Fixtures:
             "seq",
         )
 
+    @cached_property
+    def recent_saves(self) -> DataFrame:
+        """A save log long enough for both caps of the recent lists; device 0 has a third of it."""
+        i = F.col("i")
+        return self.events.select(
+            F.when(i % 3 == 0, 0).otherwise(1 + i % 40).cast("bigint").alias("device"),
+            slug_of(i % (8 * self.n)).alias("slug"),
+            i.alias("seq"),
+        )
+
     @cached_property
     def local_shares(self) -> DataFrame:
         return self.saves.groupBy("device", "slug", "share_url", "created_at", "title").agg(
