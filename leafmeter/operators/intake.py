@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from leafmeter.functions import columns as C
 from leafmeter.limits import DAY, LIMITS, SYNC_KEY_BEARER, Limits
 from leafmeter.session import settled
+from leafmeter.sources.tables import SHARES
 
 
 def _upload_fault(limits: Limits) -> Column:
@@ -291,3 +292,44 @@ def new_reports(verdicts: DataFrame) -> DataFrame:
         F.lit("open").alias("status"),
         "reporter_email",
     )
+
+
+def new_shares(verdicts: DataFrame, grants: DataFrame, shares: DataFrame) -> DataFrame:
+    """The rows that accepted uploads add to ``shares``; no slug is given twice.
+
+    ``grants`` holds ``attempt_id, slugs, edit_token_hash, stored``: the slugs an upload would take in turn, and whether its
+    page was stored.  In order of (ts, attempt_id) each accepted upload takes its first slug that no share has and
+    no earlier upload took; one without a slug left adds no row.  A page that was not stored leaves the share pending.
+
+    Every upload asks for its first open slug, the earliest asker of a slug holds it, and the others go on; as a holder only
+    ever gives way to an earlier upload, the rounds end with what asking one by one would give.
+    """
+    accepted = settled(verdicts.filter("code = 201").join(grants, "attempt_id"))
+    open_slugs = settled(
+        accepted.select("attempt_id", "ts", F.posexplode("slugs").alias("turn", "slug"))
+        .filter("slug is not null")
+        .join(shares.select("slug"), "slug", "left_anti")
+    )
+    while True:
+        asked = open_slugs.groupBy("attempt_id").agg(F.min(F.struct("turn", "slug", "ts")).alias("a")).select("attempt_id", "a.*")
+        holders = asked.groupBy("slug").agg(F.min(F.struct("ts", "attempt_id")).alias("holder"))
+        refused = settled(
+            asked.join(holders, "slug").filter(F.col("holder.attempt_id") != F.col("attempt_id")).select("attempt_id", "turn")
+        )
+        if refused.isEmpty():
+            break
+        open_slugs = settled(open_slugs.join(refused, ["attempt_id", "turn"], "left_anti"))
+    none = {k: F.lit(None).cast("bigint").alias(k) for k in ("deleted_at", "vault_updated_at", "orphan_since")}
+    one = {k: F.lit(1).cast("bigint").alias(k) for k in ("latest_version", "versions_pruned_below")}
+    row = {
+        **none,
+        **one,
+        "status": F.when(F.col("stored"), "committed").otherwise("pending").alias("status"),
+        "created_at": F.col("ts").alias("created_at"),
+        "committed_at": F.when(F.col("stored"), F.col("ts")).alias("committed_at"),
+        "sender_ip_hash": F.col("ip_hash").alias("sender_ip_hash"),
+        "owner_claimed_at": F.when(F.col("owner_key_hash").isNotNull(), F.col("ts")).alias("owner_claimed_at"),
+        "vault_ciphertext": F.lit(None).cast("string").alias("vault_ciphertext"),
+    }
+    given = accepted.join(asked.select("attempt_id", "slug"), "attempt_id")
+    return given.select(*[row.get(f.name, F.col(f.name)) for f in SHARES.fields])

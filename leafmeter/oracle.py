@@ -319,6 +319,15 @@ CTE["judged"] = f"""SELECT request_id, route, CAST(CASE
             CASE WHEN regexp_matches(a.version, '^[0-9]+$') AND try_cast(a.version AS BIGINT) BETWEEN 1 AND 9007199254740991
                  THEN try_cast(a.version AS BIGINT) END AS wanted
           FROM fx_access a LEFT JOIN fx_shares s ON s.slug = a.slug) x"""
+_TRIES = ["CASE WHEN i % 11 = 0 THEN i % (SELECT n FROM np) WHEN i % 7 < 3 THEN 1000000 + i // 50 ELSE 2000000 + i END",
+          "i // 50 + 1000001", "i // 300 + 3000000", "i // 300 + 3000001", "i // 1000 + 4000000"]
+CTE["fx_grants"] = " UNION ALL ".join(f"SELECT i AS attempt_id, {t} AS turn, {slug(x)} AS slug FROM fx_events" for t, x in enumerate(_TRIES))
+# Forty rounds of asking, more than are ever needed here.
+CTE["asking"] = """SELECT attempt_id, ts, 0 AS turn, 0 AS round FROM admitted WHERE code = 201
+    UNION ALL SELECT attempt_id, ts, CASE WHEN slug IS NOT NULL AND (taken OR place > 1) THEN turn + 1 ELSE turn END, round + 1
+    FROM (SELECT a.*, g.slug, s.slug IS NOT NULL AS taken, row_number() OVER (PARTITION BY g.slug ORDER BY a.ts, a.attempt_id) AS place
+          FROM asking a LEFT JOIN fx_grants g ON g.attempt_id = a.attempt_id AND g.turn = a.turn LEFT JOIN fx_shares s ON s.slug = g.slug)
+    WHERE round < 40"""
 CTE["rep"] = """SELECT *, row_number() OVER (PARTITION BY slug, reporter_ip_hash, fault = 0 ORDER BY ts, request_id) AS nth,
     EXISTS (SELECT 1 FROM fx_reports e WHERE e.slug = r.slug AND e.reporter_ip_hash = r.reporter_ip_hash) AS old
     FROM (SELECT *, regexp_replace(reason, '^\\s+|\\s+$', '', 'g') AS trimmed,
@@ -378,7 +387,7 @@ CTE["replay"] = """SELECT slug, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS
                   list_filter([r.latest + 1, r.latest + 2, r.latest + 3], lambda x: NOT list_contains(map_keys(r.have), x))[1] AS nv,
                   CASE WHEN o.op = 'edit' THEN o.size ELSE r.have[o.arg] END AS bytes
                 FROM replay r JOIN op_list o ON o.slug = r.slug AND o.k = r.k + 1))"""
-RECURSIVE = {"up_taken", "replay"}
+RECURSIVE = {"up_taken", "replay", "asking"}
 
 DAILY = f"SELECT slug, {day_text('viewed_at // 86400')} AS date, count(*) AS views FROM fx_views WHERE is_bot = 0 GROUP BY 1, 2"
 
@@ -433,6 +442,12 @@ SQL: dict[str, str] = {
     "e2_unsynced_local": "SELECT device, slug FROM fx_local l WHERE NOT EXISTS (SELECT 1 FROM fx_remote r WHERE r.device = l.device AND r.slug = l.slug)",
     "e2_unsynced_counts": "SELECT device, count(*) AS n FROM fx_local l WHERE NOT EXISTS (SELECT 1 FROM fx_remote r WHERE r.device = l.device AND r.slug = l.slug) GROUP BY 1",
     "g1_admit_uploads": "SELECT * FROM admitted",
+    "g1_new_shares": """SELECT g.slug, CASE WHEN attempt_id % 17 <> 0 THEN 'committed' ELSE 'pending' END AS status, sha256('new-token-' || attempt_id) AS edit_token_hash,
+        ts AS created_at, ip_hash AS sender_ip_hash, content_size, client, CAST(1 AS BIGINT) AS latest_version, CAST(1 AS BIGINT) AS versions_pruned_below,
+        CASE WHEN attempt_id % 17 <> 0 THEN ts END AS committed_at, CAST(NULL AS BIGINT) AS deleted_at, owner_key_hash,
+        CASE WHEN owner_key_hash IS NOT NULL THEN ts END AS owner_claimed_at, CAST(NULL AS VARCHAR) AS vault_ciphertext,
+        CAST(NULL AS BIGINT) AS vault_updated_at, CAST(NULL AS BIGINT) AS orphan_since
+        FROM (SELECT attempt_id, turn FROM asking WHERE round = 40) JOIN fx_grants g USING (attempt_id, turn) JOIN admitted USING (attempt_id)""",
     "g2_upload_limiter_summary": f"""SELECT ip_hash, {day_text('ts // 86400')} AS day, count(*) FILTER (WHERE code = 201) AS accepted,
         count(*) FILTER (WHERE code = 429) AS limited, count(*) FILTER (WHERE code NOT IN (201, 429)) AS invalid FROM admitted GROUP BY 1, 2""",
     "g3_fixed_window_limits": "SELECT request_id, ip_ok, key_ok, CAST(CASE WHEN NOT coalesce(ip_ok, true) OR NOT coalesce(key_ok, true) THEN 429 ELSE 200 END AS BIGINT) AS code FROM api_two",

@@ -260,6 +260,11 @@ def g1_admit_uploads(f):
     return intake.admit_uploads(f.uploads, SALT)
 
 
+@query
+def g1_new_shares(f):
+    return intake.new_shares(intake.admit_uploads(f.uploads, SALT), f.grants, f.shares)
+
+
 @query
 def g2_upload_limiter_summary(f):
     return intake.upload_limiter_summary(intake.admit_uploads(f.uploads, SALT))

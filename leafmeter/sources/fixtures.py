@@ -409,6 +409,20 @@ class Fixtures:
             "seq",
         )
 
+    @cached_property
+    def grants(self) -> DataFrame:
+        """Slugs that each upload would take, many of them taken or wanted by others, and whether its page was stored."""
+        i = F.col("i")
+        first = F.when(i % 11 == 0, i % self.n).when(i % 7 < 3, 1_000_000 + C.whole_div(i, 50)).otherwise(2_000_000 + i)
+        later = [(1_000_000, 50, 1), (3_000_000, 300, 0), (3_000_000, 300, 1), (4_000_000, 1000, 0)]
+        numbers = [first, *[C.whole_div(i, by) + base + more for base, by, more in later]]
+        return self.events.select(
+            i.alias("attempt_id"),
+            F.array(*[slug_of(number.cast("bigint")) for number in numbers]).alias("slugs"),
+            C.sha256_hex(F.concat(F.lit("new-token-"), i.cast("string"))).alias("edit_token_hash"),
+            (i % 17 != 0).alias("stored"),
+        )
+
     @cached_property
     def recent_saves(self) -> DataFrame:
         """A save log long enough for both caps of the recent lists; device 0 has a third of it."""

@@ -6,6 +6,7 @@ from helpers import rows, shares
 
 from leafmeter.limits import DAY, LIMITS, Limits
 from leafmeter.operators import access, claims, intake
+from leafmeter.sources import tables
 
 UPLOADS = "attempt_id bigint, ip string, ts bigint, content_type string, bearer string, ua string, html string"
 GOOD_KEY = "Bearer key_" + "A" * 43
@@ -241,3 +242,29 @@ def test_access_matrix(spark):
     assert got == {i: c[6] for i, c in enumerate(cases)}
     assert sum(r.n for r in access.access_counts(access.audit_access(df, s, o)).collect()) == len(cases)
     assert LIMITS.max_html_bytes == 1_000_000
+
+
+def test_new_shares_take_slugs_one_by_one(spark):
+    import random
+
+    rng = random.Random(4)
+    uploads = [(i, rng.randrange(40), 201 if rng.random() < 0.8 else 429, rng.choice([None, "k"])) for i in range(60)]
+    wanted = {i: [rng.choice([None, *"abcdefghijklmnopqrstuvwxyz"]) for _ in range(rng.randint(0, 4))] for i in range(60)}
+    known = {"a", "b"}
+    want = {}
+    for i, ts, code, owner in sorted(uploads, key=lambda u: (u[1], u[0])):
+        slug = next((s for s in wanted[i] if s is not None and s not in known), None)
+        if code == 201 and slug is not None:
+            known.add(slug)
+            want[slug] = (ts, "committed" if i % 3 else "pending", ts if i % 3 else None, ts if owner else None)
+    verdicts = spark.createDataFrame(
+        [(i, f"ip{i}", ts, code, 5, "web", owner) for i, ts, code, owner in uploads],
+        "attempt_id bigint, ip_hash string, ts bigint, code bigint, content_size bigint, client string, owner_key_hash string",
+    )
+    grants = spark.createDataFrame(
+        [(i, wanted[i], f"t{i}", i % 3 != 0) for i in range(60)], "attempt_id bigint, slugs array<string>, edit_token_hash string, stored boolean"
+    )
+    out = intake.new_shares(verdicts, grants, shares(spark, {"slug": "a"}, {"slug": "b"}))
+    assert out.columns == [f.name for f in tables.SHARES.fields]
+    got = {r.slug: (r.created_at, r.status, r.committed_at, r.owner_claimed_at) for r in out.collect()}
+    assert got == want and 10 < len(got)
