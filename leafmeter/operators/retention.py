@@ -97,13 +97,22 @@ def apply_deletes(
 
 def retention_ledger(views: DataFrame, shares: DataFrame, now: int) -> DataFrame:
     """Per UTC day: rows, rows still raw, raw rows past the retention time, raw rows of deleted shares."""
+    return ledger_of(ledger_groups(views, now), shares)
+
+
+def ledger_groups(views: DataFrame, now: int) -> DataFrame:
+    """Rows, raw rows and overdue ones per slug and day."""
     raw = raw_fields_set()
     old = F.col("viewed_at") < now - LIMITS.pii_retention_seconds
-    per_slug = views.groupBy("slug", C.day_of(F.col("viewed_at")).alias("day_number")).agg(
+    return views.groupBy("slug", C.day_of(F.col("viewed_at")).alias("day_number")).agg(
         F.count("*").alias("rows"),
         F.count_if(raw).alias("raw"),
         F.count_if(raw & old).alias("overdue"),
     )
+
+
+def ledger_of(per_slug: DataFrame, shares: DataFrame) -> DataFrame:
+    """The ledger from its ``ledger_groups``."""
     gone = shares.filter("status = 'deleted'").select("slug", F.lit(True).alias("gone"))
     return (
         per_slug.join(gone, "slug", "left")

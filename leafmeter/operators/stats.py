@@ -50,13 +50,18 @@ def view_counts(views: DataFrame, approximate: bool = False) -> DataFrame:
 
 def share_counts(shares: DataFrame, views: DataFrame, approximate: bool = False) -> DataFrame:
     """All-time counts of every share, zeros for shares without views."""
+    return with_counts(shares, view_counts(views, approximate))
+
+
+def with_counts(shares: DataFrame, counts: DataFrame) -> DataFrame:
+    """Shares with their ``view_counts``, zeros where there are none."""
 
     def zero(name: str) -> Column:
         return F.coalesce(name, F.lit(0)).cast("bigint").alias(name)
 
     return (
         shares.select("slug", "created_at", (F.col("status") == "deleted").alias("deleted"))
-        .join(view_counts(views, approximate), "slug", "left")
+        .join(counts, "slug", "left")
         .select(
             "slug",
             "created_at",
@@ -118,7 +123,11 @@ def referrer_breakdown(
     Ranked on the stored value and folded to labels afterwards, as the stored rows are; ties at the
     cut go to the smaller value, NULL first.
     """
-    grouped = human_window(views, now).groupBy("slug", "referrer").agg(F.count("*").alias("n"))
+    return top_referrers(human_window(views, now).groupBy("slug", "referrer").agg(F.count("*").alias("n")), top)
+
+
+def top_referrers(grouped: DataFrame, top: int = LIMITS.top_referrers) -> DataFrame:
+    """``referrer_breakdown`` from the views ``n`` of every (slug, referrer)."""
     kept = _top(grouped, [F.asc_nulls_first("referrer")], top)
     return _fold(kept, grouped, C.referrer_label(F.col("referrer")), "source", []).select(
         "slug", "source", "views", "rank"
@@ -129,7 +138,11 @@ def location_breakdown(
     views: DataFrame, now: int, top: int = LIMITS.top_locations
 ) -> DataFrame:
     """Top places of human views: ``(slug, country, city, label, views, rank)``."""
-    grouped = human_window(views, now).groupBy("slug", "country", "city").agg(F.count("*").alias("n"))
+    return top_locations(human_window(views, now).groupBy("slug", "country", "city").agg(F.count("*").alias("n")), top)
+
+
+def top_locations(grouped: DataFrame, top: int = LIMITS.top_locations) -> DataFrame:
+    """``location_breakdown`` from the views ``n`` of every (slug, country, city)."""
     kept = _top(grouped, [F.asc_nulls_first("country"), F.asc_nulls_first("city")], top)
     label = C.location_label(F.col("country"), F.col("city"))
     own = [C.text_or_null(F.col("country")), C.text_or_null(F.col("city"))]
@@ -154,14 +167,18 @@ def daily_counts(views: DataFrame, now: int, days: int = LIMITS.trend_days) -> D
 def daily_trend(
     shares: DataFrame, views: DataFrame, now: int, days: int = LIMITS.trend_days
 ) -> DataFrame:
-    """Dense series per share, oldest day first: ``(slug, date, views)``.
+    """Dense series per share, oldest day first: ``(slug, date, views)``."""
+    return dense_trend(shares, daily_counts(views, now, days), now, days)
+
+
+def dense_trend(shares: DataFrame, daily: DataFrame, now: int, days: int = LIMITS.trend_days) -> DataFrame:
+    """``daily_trend`` from ``daily_counts``.
 
     The join moves one row per share; the days are spread out after it.
     """
     today = now // DAY
     per_slug = (
-        daily_counts(views, now, days)
-        .filter(F.col("day") <= today)
+        daily.filter(F.col("day") <= today)
         .groupBy("slug")
         .agg(F.map_from_entries(F.collect_list(F.struct("day", "n"))).alias("by_day"))
     )

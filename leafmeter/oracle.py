@@ -548,6 +548,13 @@ for _name, _prefix in (("a2_contract_violations", "fx_bad_"), ("a2_contract_kept
         f"SELECT 'reports.unknown_slug', count(*) FROM {_prefix}reports WHERE slug NOT IN (SELECT slug FROM {_prefix}shares)",
     ]
     SQL[_name] = f"SELECT rule, n FROM ({' UNION ALL '.join(_parts)}) WHERE n > 0"
+SQL["a4_merged_days"] = SQL["a1_load_views"]
+SQL["c1_rolled_counts"] = "SELECT * EXCLUDE (unique_viewers), TRUE AS viewers_near FROM counts"
+for _name, _whole in (
+    ("c2_rolled_referrers", "c2_referrer_breakdown"), ("c3_rolled_locations", "c3_location_breakdown"),
+    ("c4_rolled_trend", "c4_daily_trend"), ("f5_rolled_ledger", "f5_retention_ledger"),
+):
+    SQL[_name] = SQL[_whole]
 SQL["f1_log_after_all_writers"] = SQL["f1_anonymize_log"]
 SQL["f2_stored_purge"] = SQL["a1_load_views"].replace("FROM fx_views", "FROM fx_views WHERE slug NOT IN (SELECT slug FROM stale)")
 SQL["f3_stored_deletes"] = SQL["f3_deleted_shares"]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from leafmeter.limits import DAY
 from leafmeter.operators import (
     access,
     claims,
@@ -19,9 +20,9 @@ from leafmeter.operators import (
     stats,
     versions,
 )
-from leafmeter.plans import maintenance, share_docs, stored_runs
+from leafmeter.plans import maintenance, rollups, share_docs, stored_runs
 from leafmeter.session import scratch
-from leafmeter.sources import tables
+from leafmeter.sources import compaction, tables
 from leafmeter.sources.fixtures import HOST, NOW, SALT, Fixtures
 from leafmeter.streaming import jobs
 
@@ -191,6 +192,68 @@ def c1_counts_with_top_source(f):
     return share_docs.top_sources(f.shares, f.views, NOW)
 
 
+# ---- statistics from the stored roll-up
+
+# Folder of the log below, by application and test folder.
+_GROWN: dict[tuple[str, str], str] = {}
+
+
+def _grown_log(f: Fixtures) -> str:
+    """A folder whose log went on after its roll-up: an append and a refresh, a second append, closed days merged, a
+    refresh, and a third append that the roll-up does not know."""
+    key = (f.spark.sparkContext.applicationId, f.folder)
+    if key not in _GROWN:
+        folder = scratch(f.spark, "grown")
+        log = rollups.Rollup(f.spark, f"{folder}/views")
+        for part in range(3):
+            tables.append_views(f.views.drop("day").filter(F.pmod("id", F.lit(3)) == part), f"{folder}/views")
+            if part == 1:
+                compaction.merge_closed_days(f.spark, folder, NOW // DAY)
+            if part < 2:
+                log.refresh()
+        _GROWN[key] = folder
+    return _GROWN[key]
+
+
+def _rollup(f: Fixtures) -> rollups.Rollup:
+    return rollups.Rollup(f.spark, f"{_grown_log(f)}/views")
+
+
+@query
+def a4_merged_days(f):
+    """The log after its closed days were merged, with what came later."""
+    return tables.load_table(f.spark, _grown_log(f), "views")
+
+
+@query
+def c1_rolled_counts(f):
+    """Counts with a flag whether the estimated viewers are within five standard errors of the exact number."""
+    exact = stats.view_counts(f.views).select("slug", F.col("unique_viewers").alias("exact"))
+    near = F.abs(F.col("unique_viewers") - F.col("exact")) <= F.ceil(F.col("exact") * (5 * 1.04 / 2 ** (rollups.SKETCH / 2)))
+    counts = _rollup(f).share_counts(f.shares).join(exact, "slug", "left")
+    return counts.withColumn("viewers_near", F.coalesce(near, F.col("unique_viewers") == 0)).drop("unique_viewers", "exact")
+
+
+@query
+def c2_rolled_referrers(f):
+    return _rollup(f).referrer_breakdown(NOW)
+
+
+@query
+def c3_rolled_locations(f):
+    return _rollup(f).location_breakdown(NOW)
+
+
+@query
+def c4_rolled_trend(f):
+    return _rollup(f).daily_trend(f.shares, NOW)
+
+
+@query
+def f5_rolled_ledger(f):
+    return _rollup(f).retention_ledger(f.shares, NOW)
+
+
 # ---- reach
 
 
