@@ -106,14 +106,15 @@ def _shard(n: int) -> Column:
     return F.pmod(F.xxhash64("digest"), F.lit(n))
 
 
-def build_index(history: DataFrame) -> tuple[DataFrame, int]:
+def build_index(history: DataFrame, incoming: int = 0) -> tuple[DataFrame, int]:
     """The index over ``digests`` rows, one row per shard, and its number of shards.
 
-    A slot holds the full digest and its winner's locator (doc_id, code points) and count.  Shards
-    number by distinct digests, so a shard's size does not grow with the corpus.
+    A slot holds the full digest and its winner's locator (doc_id, code points) and count.  Shards number by the
+    history's distinct digests or by the ``incoming`` rows to be looked up, whichever are more, so neither side of a shard
+    grows with the corpus.
     """
     groups = stored(_grouped(history), "digests")
-    n = max(1, -(-groups.count() // SHARD_DIGESTS))
+    n = max(1, -(-max(groups.count(), incoming) // SHARD_DIGESTS))
     index = groups.withColumn("shard", _shard(n)).groupBy("shard").applyInArrow(_build, _INDEX)
     return stored(index, "index"), n
 
@@ -152,9 +153,10 @@ def _lookup(key: tuple, index: pa.Table, batch: pa.Table) -> pa.Table:
 def duplicate_groups(history: DataFrame, batch: DataFrame) -> DataFrame:
     """``digest, keep_id, n_chars, n`` of every distinct digest of two tables of ``digests`` rows.
 
-    The batch is grouped first, so a text with any number of copies is looked up once.
+    Spark groups the batch first, so a text with any number of copies is looked up once, and nonmembers are groups of
+    their own.  Without any history, or with little, the batch is spread by its own size.
     """
-    index, n = build_index(history)
+    index, n = build_index(history, batch.count())
     incoming = _grouped(batch).withColumn("shard", _shard(n))
     return index.groupBy("shard").cogroup(incoming.groupBy("shard")).applyInArrow(_lookup, _GROUPS)
 

@@ -46,6 +46,20 @@ def test_many_shards(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_a_large_batch_on_little_history_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARD_DIGESTS", 20)
+    docs = spark.createDataFrame([(i, f"t {i}") for i in range(3000)], "doc_id long, text string")
+    rows = exact_dedup.digests(docs)
+    for history in (rows.limit(0), rows.filter("doc_id < 5")):
+        n = exact_dedup.build_index(history, rows.count())[1]
+        assert n == 150
+        sizes = [r["count"] for r in rows.groupBy(exact_dedup._shard(n)).count().collect()]
+        # Dealt by hash, 20 each on average.
+        assert len(sizes) == 150 and max(sizes) < 50
+    got = exact_dedup.duplicate_groups(rows.limit(0), rows)
+    assert got.count() == got.filter("n = 1").count() == 3000
+
+
 def test_perfect_hash_is_minimal_and_perfect():
     r = np.random.default_rng(1)
     for n in (0, 1, 2, 1000, 20_000):
