@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 
@@ -86,6 +87,31 @@ def test_short_texts_are_judged_and_one_source_cannot_set_the_band(spark):
     assert not any(out[d] for d, _, _ in symbols + source)
 
 
+def test_few_rows_do_not_judge_themselves(spark):
+    r = random.Random(6)
+    words = "the house stands near a river where people walk every day and talk about old times with friends or go home alone".split()
+    german = "das haus steht an einem fluss wo leute jeden tag gehen und mit freunden oder allein nach hause reden".split()
+    clean = [(i, " ".join(r.choice(words) for _ in range(200)), "en") for i in range(60)]
+    clean += [(100 + i, " ".join(r.choice(german) for _ in range(200)), "de") for i in range(3)]
+    rare = lambda n: " ".join(chr(0x1000 + r.randrange(500)) for _ in range(n))
+    own = [(200 + i, rare(200), "q1") for i in range(3)] + [(210, rare(22), "q2")] + [(300 + i, rare(200), "q3") for i in range(40)]
+    letters = lambda: " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(200))
+    few = [(400 + i, letters(), "q4") for i in range(3)]
+    out = {x["doc_id"]: (x["kept"], x["script"]) for x in compare(spark, clean + own + few)}
+    assert all(out[d] == (True, "latin") for d, _, _ in clean)
+    assert all(out[d] == (False, "south_asian") for d, _, _ in own)
+    # Judged by the script's band.
+    assert all(out[d] == (False, "latin") for d, _, _ in few)
+
+
+def test_scripts():
+    texts = ["abc", "é", "Ж б a", "שלום", "नमस्ते", "漢字 kana", "12 . \u2014", "", "\U00010330"]
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    got = quality_rules._scripts(np.frombuffer(b"".join(data), np.uint8), offsets)
+    assert got == ["latin", "latin", "greek_cyrillic", "hebrew_arabic", "south_asian", "latin", None, None, "other"]
+
+
 def test_no_language_column_and_empty_table(spark):
     assert quality_rules.judged(spark.createDataFrame([], "doc_id long, text string"), MODEL).collect() == []
     out = quality_rules.judged(spark.createDataFrame([(1, "word " * 5)], "doc_id long, text string"), MODEL).collect()
