@@ -560,6 +560,7 @@ SQL["f2_stored_purge"] = SQL["a1_load_views"].replace("FROM fx_views", "FROM fx_
 SQL["f3_stored_deletes"] = SQL["f3_deleted_shares"]
 SQL["f4_stored_shares"] = SQL["f4_maintenance_shares"]
 SQL["f4_stored_ledger"] = SQL["f5_ledger_after_run"]
+SQL["b6_render_stored"] = SQL["b6_render_pages"]
 SQL["s1_stream_enrich"] = SQL["a4_append_views"]
 SQL["s5_stream_upload_limiter"] = SQL["g1_admit_uploads"]
 SQL["s6_stream_reports"] = SQL["g7_new_reports"]

@@ -22,7 +22,7 @@ from leafmeter.operators import (
 )
 from leafmeter.plans import maintenance, rollups, share_docs, stored_runs
 from leafmeter.session import scratch
-from leafmeter.sources import compaction, tables
+from leafmeter.sources import compaction, pages, tables
 from leafmeter.sources.fixtures import HOST, NOW, SALT, Fixtures
 from leafmeter.streaming import jobs
 
@@ -149,6 +149,20 @@ def b6_render_pages(f):
     return hits.render_pages(f.shares, f.contents, HOST)
 
 
+@query
+def b6_render_stored(f):
+    """B6 over stored pages: laid out when the shares were a version back, a third added later and twice, then tidied."""
+    older = pages.superseded(f.objects, f.shares).select("key", F.concat(F.lit("before "), "key").alias("html"))
+    every = f.contents.unionByName(older)
+    late = F.xxhash64("key") % 3 == 0
+    back = f.shares.withColumn("latest_version", F.greatest(F.col("latest_version") - 1, F.lit(1)))
+    store = pages.create(f.spark, scratch(f.spark, "pages"), every.filter(~late), back, buckets=16)
+    store.add(every.filter(late))
+    store.add(every.filter(late))
+    store.tidy(f.shares, least_share=0.0)
+    return hits.render_pages(f.shares, store.live(), HOST)
+
+
 @query
 def b7_client_channel(f):
     return hits.client_channels(f.uploads.select("attempt_id", "ua"))

@@ -208,6 +208,11 @@ class Folder:
     def remove(self, name: str = "") -> None:
         self._files.delete(self._at(name), True)
 
+    def names(self) -> list[str]:
+        """The folders and files directly below."""
+        found = self._files.globStatus(self._path(f"{self._root}/*")) or []
+        return sorted(f.getPath().getName() for f in found)
+
     def parts(self, name: str, depth: int) -> list[str]:
         """The part folders below ``name``, relative to it."""
         below = f"{self._root}/{name}".rstrip("/")
