@@ -14,6 +14,8 @@ from leafmeter.llm.common import SLICE_BYTES, Lists, keyed, ragged, slices
 SPACE = "▁"
 #: An unknown character scores this much less than the least piece.
 UNKNOWN_PENALTY = 10.0
+#: Places added to a rank in the law by which ranks become probabilities.
+RANK_SHIFT = 2.7
 #: Units of more bytes are searched one by one.
 SHORT = 64
 
@@ -84,8 +86,22 @@ def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
     return tuple(out)
 
 
+def rank_log_scores(scores: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    """Log probabilities of the usable pieces from their order: the r-th best has one in proportion to 1 / (r + RANK_SHIFT).
+
+    A file of merges scores its pieces by rank alone.  Zipf's law turns the ranks into scores that can be added; the
+    file stays as it is and nothing is fitted.  Other pieces score 0.  Single precision, as files hold them.
+    """
+    best = np.flatnonzero(usable)[np.argsort(-scores[usable], kind="stable")]
+    weight = np.log(np.arange(len(best)) + RANK_SHIFT)
+    out = np.zeros(len(scores))
+    out[best] = -weight - np.log(np.exp(-weight).sum())
+    return out.astype(np.float32).astype(float)
+
+
 def load(model: str) -> Vocabulary:
-    """The vocabulary of a sentencepiece file that has all 256 byte pieces; its scores are taken as log scores."""
+    """The vocabulary of a sentencepiece file that has all 256 byte pieces, with the log scores of the file or, if that holds
+    whole numbers as a file of merges does, ``rank_log_scores``."""
     import sentencepiece
 
     own = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -98,7 +114,10 @@ def load(model: str) -> Vocabulary:
             bytes_at[int(texts[i][3:5], 16)] = i
     if (bytes_at < 0).any():
         raise ValueError("the model needs byte pieces")
-    return build([t.encode() for t in texts], np.array([own.get_score(i) for i in range(n)], float), bytes_at, usable)
+    scores = np.array([own.get_score(i) for i in range(n)], float)
+    if (scores[usable] == np.round(scores[usable])).all():
+        scores = rank_log_scores(scores, usable)
+    return build([t.encode() for t in texts], scores, bytes_at, usable)
 
 
 def build(pieces: list[bytes], scores: np.ndarray, bytes_at: np.ndarray, usable: np.ndarray) -> Vocabulary:
