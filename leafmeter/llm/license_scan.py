@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from leafmeter.llm.common import SLICE_BYTES, keyed, mixed, rolled, slices
+from leafmeter.llm.common import SLICE_BYTES, keyed, mixed, ragged, rolled, slices
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -32,10 +34,20 @@ TEMPLATES = {
     " and the following disclaimer.",
 }
 
+#: Whole public licenses and the headers by which they are applied, a file each.
+LICENSES = Path(__file__).parent / "licenses"
+
+_MOST = np.uint64(2**64 - 1)
 _WORD = re.compile(r"\w+")
 _SCHEMA = "doc_id long, text_key long, license string, containment double, n_passages long, begin int, end int"
 
 
+@cache
+def all_templates() -> dict[str, str]:
+    """The notices above and the whole texts and headers in ``LICENSES``, by file name."""
+    return TEMPLATES | {path.stem: path.read_text() for path in sorted(LICENSES.glob("*.txt"))}
+
+
 def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     found = list(_WORD.finditer(text.lower()))
     return [m.group() for m in found], [m.span() for m in found]
@@ -62,24 +74,50 @@ class Class:
         self.factors = r.integers(0, 2**63, self.bands).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         hashes = [rolled(word_hashes(words, {}), shingle) for _, words in templates]
         self.signatures = np.array([[(h * f).min() for h in hashes] for f in self.factors], np.uint64)
+        #: The shingles that give the templates' least values: a window that shares a band holds one of them.
+        self.shingles = np.unique([h[(h * f).argmin()] for h in hashes for f in self.factors])
 
-    def candidates(self, hashes: np.ndarray) -> list[np.ndarray]:
-        """Per template the first shingles of all windows that share a band with it."""
-        n = len(hashes)
+    def candidates(self, hashes: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+        """Per template the first shingles of all windows that share a band with it.
+
+        ``places`` are those of ``hashes`` that may be in ``shingles``; only blocks with one, and their neighbours, are worked out.
+        """
         found = [[] for _ in self.templates]
-        if not n:
+        own = places[np.isin(hashes[places], self.shingles)] // self.block
+        if not len(own):
             return [np.zeros(0, np.int64) for _ in self.templates]
-        first = np.arange(0, n, self.block)
+        bounds = np.append(np.arange(0, len(hashes), self.block), len(hashes))
+        near = np.unique(np.concatenate([own - 1, own, own + 1]))
+        near = near[(near >= 0) & (near < len(bounds) - 1)]
+        inside, sizes = ragged(hashes, bounds, near)
+        first = np.cumsum(sizes) - sizes
+        joined = near[1:] == near[:-1] + 1
         for factor, signature in zip(self.factors, self.signatures):
-            least = np.minimum.reduceat(hashes * factor, first) if self.block > 1 else hashes * factor
-            window = np.minimum(least, np.append(least[1:], least[-1]))
+            least = np.minimum.reduceat(inside * factor, first)
+            window = np.minimum(least, np.append(np.where(joined, least[1:], _MOST), _MOST))
             for k, value in enumerate(signature):
-                hit = np.flatnonzero(window == value)
+                hit = near[window == value]
                 if len(hit):
                     found[k].append(hit)
         return [np.unique(np.concatenate(f)) * self.block if f else np.zeros(0, np.int64) for f in found]
 
 
+class Screen:
+    """Finds the places that hold a shingle which any class of one shingle length asks for."""
+
+    _SHIFT = np.uint64(44)
+
+    def __init__(self, groups: list[Class]):
+        self.shingles = np.unique(np.concatenate([g.shingles for g in groups]))
+        # By their upper 20 bits first: one look-up a shingle.
+        self.table = np.zeros(1 << 20, bool)
+        self.table[(self.shingles >> self._SHIFT).astype(np.int64)] = True
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        some = np.flatnonzero(self.table[(hashes >> self._SHIFT).astype(np.int64)])
+        return some[np.isin(hashes[some], self.shingles)]
+
+
 def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
     for w in words:
         if w not in known:
@@ -119,12 +157,14 @@ def stretches(grams: list[tuple], wanted: frozenset, size: int, need: int) -> li
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """One row per document and license found in it: the largest share of a template's shingles in any stretch of as
     many shingles, the number of passages (overlapping stretches united), and the code points of the first
-    one in the lower-cased text.
+    one in the lower-cased text.  ``templates`` (name: text) are ``all_templates()`` by default.
 
     Words are compared without case and punctuation; shingles have five words (a shorter template is one
     shingle), and a share of 0.8 or more counts.  NULL and empty texts have no rows; repeated rows each have theirs.
     """
-    groups = classes(TEMPLATES if templates is None else templates)
+    groups = classes(all_templates() if templates is None else templates)
+    lengths = {g.shingle for g in groups}
+    screens = {k: Screen([g for g in groups if g.shingle == k]) for k in lengths}
 
     def run(batches):
         known: dict[str, int] = {}
@@ -136,16 +176,18 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
                 words = [_WORD.findall(t.lower()) for t in texts]
                 bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])])
                 values = word_hashes([w for one in words for w in one], known)
-                yield _verified(rows, texts, words, bounds, values, groups)
+                yield _verified(rows, texts, words, bounds, values, groups, screens)
 
     return keyed(docs).mapInArrow(run, _SCHEMA)
 
 
-def _verified(rows, texts, words, bounds, values, groups) -> pa.RecordBatch:
+def _verified(rows, texts, words, bounds, values, groups, screens) -> pa.RecordBatch:
     out = []
+    hashes = {shingle: rolled(values, shingle) for shingle in screens}
+    places = {shingle: screen.places(hashes[shingle]) for shingle, screen in screens.items()}
     for group in groups:
         # Windows over the texts end to end; what crosses a border is sorted out by the exact check.
-        for k, begin in enumerate(group.candidates(rolled(values, group.shingle))):
+        for k, begin in enumerate(group.candidates(hashes[group.shingle], places[group.shingle])):
             name, size, wanted, need = group.templates[k]
             per_row = defaultdict(dict)
             last = np.minimum(begin + 2 * group.block + group.shingle - 2, len(values) - 1)
