@@ -314,13 +314,6 @@ class Fixtures:
         i = F.col("i")
         docs = self.table("documents")
         n_docs = docs.count()
-        body = (
-            F.when(i % 31 == 0, "")
-            .when(i % 70 == 0, None)
-            .when(i % 9 == 0, F.col("text"))
-            .when(i % 4999 == 5, F.repeat(F.lit("<p>0123456789</p>"), 70_000))
-            .otherwise(F.col("html"))
-        )
         kind = (
             F.when(i % 10 == 0, "application/json")
             .when(i % 10 == 1, "text/html; charset=utf-8")
@@ -329,22 +322,28 @@ class Fixtures:
             .when(i % 10 == 4, None)
             .otherwise("text/html")
         )
-        return (
-            self.events.withColumn("page_id", i % self.n)
-            .withColumn("doc_id", F.when(i % 9 == 0, i % n_docs))
-            .join(self.pages.select("page_id", "html"), "page_id")
-            .join(docs.select("doc_id", "text"), "doc_id", "left")
-            .select(
-                i.alias("attempt_id"),
-                F.concat(F.lit("10.1.0."), F.col("u").cast("string")).alias("ip"),
-                _div(F.col("at") - YEAR_2024, 1000).alias("ts"),
-                kind.alias("content_type"),
-                F.when(i % 41 == 0, "Bearer nope")
-                .when(i % 5 == 1, F.concat(F.lit("Bearer "), key_letter(i)))
-                .alias("bearer"),
-                _pick(UPLOAD_AGENTS, i % 14).alias("ua"),
-                body.alias("html"),
-            )
+        # A body meets its attempt in one join and is never shuffled again: every attempt has a page, every ninth takes
+        # the text of a document in its place.
+        attempts = self.events.withColumn("page_id", i % self.n).withColumn("doc_id", i % n_docs)
+        texts = (
+            attempts.filter(i % 9 == 0)
+            .join(self.pages.select("page_id"), "page_id")
+            .join(docs.select("doc_id", F.col("text").alias("body")), "doc_id", "left")
+        )
+        long = F.repeat(F.lit("<p>0123456789</p>"), 70_000)
+        pages = attempts.filter(i % 9 != 0).join(
+            self.pages.select("page_id", F.col("html").alias("body")), "page_id"
+        ).withColumn("body", F.when(i % 4999 == 5, long).otherwise(F.col("body")))
+        return texts.unionByName(pages).select(
+            i.alias("attempt_id"),
+            F.concat(F.lit("10.1.0."), F.col("u").cast("string")).alias("ip"),
+            _div(F.col("at") - YEAR_2024, 1000).alias("ts"),
+            kind.alias("content_type"),
+            F.when(i % 41 == 0, "Bearer nope")
+            .when(i % 5 == 1, F.concat(F.lit("Bearer "), key_letter(i)))
+            .alias("bearer"),
+            _pick(UPLOAD_AGENTS, i % 14).alias("ua"),
+            F.when(i % 31 == 0, "").when(i % 70 != 0, F.col("body")).alias("html"),
         )
 
     @cached_property
