@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from leafmeter.limits import DAY
@@ -572,36 +572,42 @@ def f5_ledger_after_run(f):
 # ---- streams, over the same rows as their batch jobs
 
 
-def _in_batches(f: Fixtures, df: DataFrame, name: str, batches: int = 3) -> DataFrame:
-    """A stream that gets the rows in ``batches`` batches or more whatever the number of cores, of two files each."""
-    path = scratch(f.spark, name)
-    df.repartition(2 * batches).write.parquet(path)
-    return jobs.read_files(f.spark, path, df.schema, 2)
-
-
-def _ended(stream: StreamingQuery, batches: int = 3) -> None:
-    """Wait for a stream and see that it took its rows in several batches."""
-    stream.awaitTermination()
-    took = sum(p["numInputRows"] > 0 for p in stream.recentProgress)
-    if took < batches:
-        raise RuntimeError(f"the stream took {took} batches")
-
-
 def _as_stream(f: Fixtures, df: DataFrame, name: str, files_per_batch: int | None = None) -> DataFrame:
     path = scratch(f.spark, name)
     df.write.parquet(path)
     return jobs.read_files(f.spark, path, df.schema, files_per_batch)
 
 
-def _in_order(f: Fixtures, df: DataFrame, name: str, at: str, batches: int = 4) -> DataFrame:
-    """A stream that gets the rows in ``batches`` batches by time, one file each."""
-    path = scratch(f.spark, name)
-    first, last = df.agg(F.min(at), F.max(at)).first()
-    step = ((last or 0) - (first or 0)) // batches + 1
+def _in_slices(f: Fixtures, start: Callable[..., StreamingQuery], batches: int, *inputs: tuple[DataFrame, Column]) -> None:
+    """Run a stream in ``batches`` batches: ``inputs`` are its rows and the batch that each row comes with, from 0.
+
+    The stream is started anew for every batch and takes all files that came since, so a batch has as many files as its
+    rows need and no task holds a whole one.
+    """
+    paths = [scratch(f.spark, "slices") for _ in inputs]
     for i in range(batches):
-        part = df.filter(F.col(at).between((first or 0) + i * step, (first or 0) + (i + 1) * step - 1))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return jobs.read_files(f.spark, path, df.schema, 1)
+        for path, (df, number) in zip(paths, inputs, strict=True):
+            df.filter(number == i).write.mode("append").parquet(path)
+        stream = start(*[jobs.read_files(f.spark, path, df.schema) for path, (df, _) in zip(paths, inputs, strict=True)])
+        stream.awaitTermination()
+        took = sum(p["numInputRows"] > 0 for p in stream.recentProgress)
+        if took > 1:
+            raise RuntimeError(f"the stream took a slice in {took} batches")
+
+
+def _in_batches(f: Fixtures, df: DataFrame, start: Callable[[DataFrame], StreamingQuery], batches: int = 3) -> None:
+    """Run a stream that gets the rows in ``batches`` batches, dealt by their content."""
+    _in_slices(f, start, batches, (df, F.pmod(F.xxhash64(*df.columns), F.lit(batches))))
+
+
+def _in_order(f: Fixtures, start: Callable[..., StreamingQuery], *inputs: tuple[DataFrame, str], batches: int = 4) -> None:
+    """Run a stream that gets the rows of each input in ``batches`` batches by the time in the column named."""
+
+    def by_time(df: DataFrame, at: str) -> Column:
+        first, last = (x or 0 for x in df.agg(F.min(at), F.max(at)).first())
+        return F.floor((F.col(at) - first) / ((last - first) // batches + 1))
+
+    _in_slices(f, start, batches, *[(df, by_time(df, at)) for df, at in inputs])
 
 
 def _folders(f: Fixtures, name: str) -> tuple[str, str]:
@@ -611,45 +617,44 @@ def _folders(f: Fixtures, name: str) -> tuple[str, str]:
 @query
 def s1_stream_enrich(f):
     out, checkpoint = _folders(f, "s1")
-    views = jobs.stream_enrich(_in_batches(f, f.hits, "hits"), f.shares, SALT)
-    _ended(tables.append_views_stream(views, out, checkpoint))
+    _in_batches(
+        f, f.hits, lambda hits: tables.append_views_stream(jobs.stream_enrich(hits, f.shares, SALT), out, checkpoint)
+    )
     return tables.read_views(f.spark, out)
 
 
 @query
 def s2_stream_daily_views(f):
     out, checkpoint = _folders(f, "s2")
-    views = _in_order(f, f.views, "views", "viewed_at")
-    jobs.stream_daily_views(views, "1 day", out, checkpoint).awaitTermination()
+    _in_order(f, lambda views: jobs.stream_daily_views(views, "1 day", out, checkpoint), (f.views, "viewed_at"))
     return jobs.read_daily_views(f.spark, out)
 
 
 @query
 def s3_stream_counters(f):
     out, checkpoint = _folders(f, "s3")
-    _ended(jobs.stream_counters(_in_batches(f, f.views, "views"), out, checkpoint))
+    _in_batches(f, f.views, lambda views: jobs.stream_counters(views, out, checkpoint))
     return jobs.read_counters(f.spark, out)
 
 
 @query
 def s4_stream_unique_viewers(f):
     out, checkpoint = _folders(f, "s4")
-    _ended(jobs.stream_unique_viewers(_in_batches(f, f.views, "views"), out, checkpoint))
+    _in_batches(f, f.views, lambda views: jobs.stream_unique_viewers(views, out, checkpoint))
     return jobs.read_unique_viewers(f.spark, out)
 
 
 @query
 def s5_stream_upload_limiter(f):
     out, checkpoint = _folders(f, "s5")
-    jobs.stream_upload_limiter(_in_order(f, f.uploads, "uploads", "ts"), SALT, out, checkpoint).awaitTermination()
+    _in_order(f, lambda uploads: jobs.stream_upload_limiter(uploads, SALT, out, checkpoint), (f.uploads, "ts"))
     return jobs.read_upload_verdicts(f.spark, out)
 
 
 @query
 def s6_stream_reports(f):
     out, checkpoint = _folders(f, "s6")
-    raw = _in_batches(f, f.reports_raw, "reports")
-    _ended(jobs.stream_reports(raw, f.shares, f.reports, out, checkpoint))
+    _in_batches(f, f.reports_raw, lambda raw: jobs.stream_reports(raw, f.shares, f.reports, out, checkpoint))
     return jobs.read_reports(f.spark, out)
 
 
@@ -666,16 +671,17 @@ def s7_stream_stale_uploads(f):
         .select("slug", F.col("committed_at").alias("ended_at"))
         .unionByName(tick.select(no_slug, clock.alias("ended_at")))
     )
-    stale = jobs.stream_stale_uploads(
-        _in_order(f, begins, "begins", "created_at"), _in_order(f, ends, "ends", "ended_at"), f"{delay} seconds"
-    )
-    jobs.append_rows(stale, out, checkpoint).awaitTermination()
-    return f.spark.read.schema(stale.schema).parquet(out)
+
+    def start(begins: DataFrame, ends: DataFrame) -> StreamingQuery:
+        return jobs.append_rows(jobs.stream_stale_uploads(begins, ends, f"{delay} seconds"), out, checkpoint)
+
+    _in_order(f, start, (begins, "created_at"), (ends, "ended_at"))
+    return f.spark.read.schema("slug string, created_at bigint").parquet(out)
 
 
 @query
 def s8_stream_write_limits(f):
     out, checkpoint = _folders(f, "s8")
     writes = f.api.filter("route = 'write'").select("ip_hash", "ts")
-    jobs.stream_write_limits(_in_order(f, writes, "writes", "ts"), "10 minutes", out, checkpoint).awaitTermination()
+    _in_order(f, lambda writes: jobs.stream_write_limits(writes, "10 minutes", out, checkpoint), (writes, "ts"))
     return jobs.read_write_limits(f.spark, out)
