@@ -1,8 +1,8 @@
 """Statistics from a roll-up of the view log that is kept up to date part by part.
 
-Beside the log lies one folder for each of its (day, batch) parts: the part's rows grouped by share, source and place, and a
-sketch of every share's viewers.  The folder carries a stamp of the files that it was made from.  A part that a stream,
-an append, a merge or a rewrite touched has other files and so another stamp; only such parts are read again.
+Beside the log lies one folder for each of its (day, batch) parts: the part's rows grouped by share, source and place (a group
+may be several rows), and a sketch of every share's viewers.  The folder carries a stamp of the files that it was made from.  A part
+that a stream, an append, a merge or a rewrite touched has other files and so another stamp; only such parts are read again.
 
 Readers take the folders whose stamps are current and group the other parts from the log itself, so results are those of
 the whole log at any time; ``refresh`` only makes them cheaper.  Counts are exact.  Distinct viewers are estimated
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafmeter.limits import DAY, LIMITS
 from leafmeter.operators import retention, stats
-from leafmeter.sources.tables import Folder, read_log
+from leafmeter.sources.tables import Folder, read_log, read_parts
 
 #: Binary logarithm of a sketch's registers: a standard error of 1.04 / sqrt(2^12), or 1.6 %.
 SKETCH = 12
@@ -41,22 +41,47 @@ def log_parts(spark: SparkSession, path: str) -> dict[tuple[int, str], str]:
     return {part: hashlib.sha256("\n".join(sorted(names)).encode()).hexdigest()[:24] for part, names in files.items()}
 
 
-def _rolled(kind: str, log: DataFrame, *by: str) -> DataFrame:
-    """Rows of the log grouped as a roll-up of ``kind`` holds them, for each value of ``by``."""
+def _slim(kind: str, log: DataFrame, *by: str) -> DataFrame:
+    """What a roll-up of ``kind`` needs of each row of the log."""
+    human = F.col("is_bot") == 0
+    if kind == "viewers":
+        return log.select(*by, "slug", F.when(human, F.col("ip_hash")).alias("viewer"))
+    return log.select(*by, *_GROUP, "is_bot", retention.raw_fields_set().alias("is_raw"), "viewed_at")
+
+
+def _rolled(kind: str, slim: DataFrame, *by: str) -> DataFrame:
+    """Rows of ``_slim`` grouped as a roll-up of ``kind`` holds them, for each value of ``by``."""
     human = F.col("is_bot") == 0
     if kind == "viewers":
         # Shares with crawlers only hold an empty sketch, so that every part has its folder.
-        viewer = F.when(human, F.col("ip_hash"))
-        return log.groupBy(*by, "slug").agg(F.hll_sketch_agg(viewer, F.lit(SKETCH)).alias("viewers"))
-    return log.groupBy(*by, *_GROUP).agg(
+        return slim.groupBy(*by, "slug").agg(F.hll_sketch_agg("viewer", F.lit(SKETCH)).alias("viewers"))
+    return slim.groupBy(*by, *_GROUP).agg(
         F.count("*").alias("rows"),
         F.count_if(human).alias("views"),
         F.count_if(F.col("is_bot") == 1).alias("bot_views"),
-        F.count_if(retention.raw_fields_set()).alias("raw"),
+        F.count_if("is_raw").alias("raw"),
         F.max(F.when(human, F.col("viewed_at"))).alias("last_viewed"),
     )
 
 
+def _laid_out(kind: str, log: DataFrame, parts: DataFrame) -> DataFrame:
+    """The roll-up of ``kind`` of ``parts``, ranged by part and share for writing.
+
+    Rows for the groups are ranged once and grouped where they then lie.  ``piece`` is the split of the log that a row was
+    read from: a group that lies in many stays several rows, so a hot share is never one task's, and readers add them up as
+    they add up parts.  Viewers become sketches first, which are smaller than they.
+    """
+    # Names of folders, which the driver holds.
+    parts = F.broadcast(parts)
+    slim = _slim(kind, log.join(parts, ["day", "batch"]), "part")
+    if kind == "viewers":
+        rolled = _rolled(kind, slim, "part").repartitionByRange("part", "slug")
+    else:
+        cut = slim.withColumn("piece", F.spark_partition_id()).repartitionByRange("part", *_GROUP, "piece")
+        rolled = _rolled(kind, cut, "part", "piece").drop("piece")
+    return rolled.join(parts, "part").drop("part")
+
+
 class Rollup:
     """The roll-up beside the log at ``path``."""
 
@@ -71,9 +96,7 @@ class Rollup:
 
     def _log(self, parts: list[tuple[int, str]]) -> DataFrame:
         """Only these parts of the log, without listing the others again."""
-        folders = [f"{self._path}/day={day}/batch={batch}" for day, batch in parts]
-        log = read_log(self._spark, self._path)
-        return self._spark.read.schema(log.schema).option("basePath", self._path).parquet(*folders)
+        return read_parts(self._spark, self._path, parts)
 
     def refresh(self) -> int:
         """Bring the roll-up up to date with the log; the number of parts that were read for it.
@@ -88,10 +111,10 @@ class Rollup:
             held = self._held(kind)
             missing = [current[p] for p in sorted(current.keys() - held)]
             if missing:
-                stamps = self._spark.createDataFrame([(d, b, now[d, b]) for d, b in missing], _PARTS)
-                rows = _rolled(kind, self._log(missing), "day", "batch").join(stamps, ["day", "batch"])
+                numbered = [(d, b, now[d, b], i) for i, (d, b) in enumerate(missing)]
+                parts = self._spark.createDataFrame(numbered, f"{_PARTS}, part int")
                 (
-                    rows.repartitionByRange("day", "batch", "slug")
+                    _laid_out(kind, self._log(missing), parts)
                     .write.mode("overwrite")
                     .option("partitionOverwriteMode", "dynamic")
                     .partitionBy("day", "batch", "stamp")
@@ -116,7 +139,7 @@ class Rollup:
         if stored:
             out = self._spark.read.schema(schema).option("basePath", self._root(kind)).parquet(*stored)
         out = out.drop("batch", "stamp")
-        return out.unionByName(_rolled(kind, self._log(changed), "day")) if changed else out
+        return out.unionByName(_rolled(kind, _slim(kind, self._log(changed), "day"), "day")) if changed else out
 
     def since(self, start: int) -> DataFrame:
         """Groups of the views from ``start`` on; a day that it cuts is taken from the log."""
@@ -124,7 +147,7 @@ class Rollup:
         if start % DAY == 0:
             return whole
         edge = read_log(self._spark, self._path).filter((F.col("day") == start // DAY) & (F.col("viewed_at") >= start))
-        return whole.unionByName(_rolled("groups", edge, "day"))
+        return whole.unionByName(_rolled("groups", _slim("groups", edge, "day"), "day"))
 
     def share_counts(self, shares: DataFrame) -> DataFrame:
         """As ``stats.share_counts`` with estimated ``unique_viewers``."""

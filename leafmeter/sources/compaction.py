@@ -7,7 +7,7 @@ from collections import defaultdict
 
 from pyspark.sql import SparkSession, functions as F
 
-from leafmeter.sources.tables import Change, Folder, change_tables, finish_change, finish_replacing, read_log
+from leafmeter.sources.tables import Change, Folder, change_tables, finish_change, finish_replacing, read_parts
 
 #: Batch of the part that holds what was merged of a day.
 MERGED = "merged"
@@ -49,6 +49,6 @@ def merge_closed_days(spark: SparkSession, folder: str, before: int) -> int:
     if not small:
         return 0
     old = spark.createDataFrame(small, "day long, batch string")
-    rows = read_log(spark, path).join(old, ["day", "batch"], "left_semi").withColumn("batch", F.lit(MERGED))
+    rows = read_parts(spark, path, small).withColumn("batch", F.lit(MERGED))
     change_tables(spark, folder, {"views": Change(rows, old)})
     return len({day for day, _ in small})

@@ -145,3 +145,23 @@ def test_a_merge_that_broke_off_is_completed(spark, tmp_path, monkeypatch):
     # The day that is still open keeps its two parts; the merge that was completed leaves nothing to do.
     assert compaction.merge_closed_days(spark, folder, TODAY) == 0
     assert sorted(map(str, rows(tables.read_views(spark, path)))) == before
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_a_refresh_and_a_merge_shuffle_the_rows_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "views")
+    for first in (0, 100):
+        tables.append_views(some_views(spark, first, 100), path)
+    log = rollups.Rollup(spark, path)
+    parts = list(rollups.log_parts(spark, path))
+    numbered = spark.createDataFrame([(d, b, "s", i) for i, (d, b) in enumerate(parts)], "day bigint, batch string, stamp string, part int")
+    groups = rollups._laid_out("groups", log._log(parts), numbered)
+    # One by range, and two of the names of the parts.
+    assert shuffles(groups) - groups._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange ") == 1
+    merged = []
+    monkeypatch.setattr(compaction, "change_tables", lambda spark, folder, changes: merged.append(changes["views"].rows))
+    assert compaction.merge_closed_days(spark, str(tmp_path), TODAY) > 0
+    assert shuffles(merged[0]) == 0
