@@ -7,6 +7,7 @@ is completed or dropped by the next one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -25,21 +26,32 @@ class StoredRun:
     counters: DataFrame | None = None
 
 
+def _touched(marked: DataFrame, leaves: Column, clears: Column) -> DataFrame:
+    """The parts of the log that hold rows to change, with the number of rows to clear in each.  ``marked`` is the log with
+    columns for ``leaves``, which marks rows that go, and ``clears``, which marks rows whose raw fields go."""
+    return settled(
+        marked.filter(leaves | clears).groupBy("day", "batch").agg(F.count_if(clears & ~leaves).alias("cleared"))
+    )
+
+
 def _write_back(
-    spark: SparkSession, folder: str, shares: DataFrame, slugs: DataFrame, marked: DataFrame, leaves: Column, clears: Column
+    spark: SparkSession, folder: str, shares: DataFrame, slugs: DataFrame, touched: DataFrame,
+    mark: Callable[[DataFrame], DataFrame], leaves: Column, clears: Column,
 ) -> None:
     """Store ``shares``, of which those named in ``slugs`` changed or went, and the log without the rows that ``leaves``
-    marks and without the raw fields of those that ``clears`` marks.  ``marked`` is the log with columns for these."""
+    marks and without the raw fields of those that ``clears`` marks.  ``mark`` gives rows of the log the columns for these;
+    of the log only the ``touched`` parts are read."""
     log = [*[f.name for f in tables.VIEWS.fields], "day", "batch"]
-    touched = settled(marked.filter(leaves | clears).select("day", "batch").distinct())
-    # The touched parts prune the scan of the log.
-    views = retention.cleared(marked.join(touched, ["day", "batch"], "left_semi").filter(~leaves), clears).select(*log)
+    changes = {}
+    # One name a part, as many as the log has folders.
+    names = [(row.day, row.batch) for row in touched.collect()]
+    if names:
+        views = mark(tables.read_parts(spark, f"{folder}/views", names))
+        changes["views"] = tables.Change(retention.cleared(views.filter(~leaves), clears).select(*log), touched)
     part = tables.share_part(F.col("slug")).alias("part")
     parts = settled(slugs.select(part).distinct())
-    rows = shares.withColumn("part", part).join(parts, "part", "left_semi")
-    tables.change_tables(
-        spark, folder, {"views": tables.Change(views, touched), "shares": tables.Change(rows, parts)}
-    )
+    changes["shares"] = tables.Change(shares.withColumn("part", part).join(parts, "part", "left_semi"), parts)
+    tables.change_tables(spark, folder, changes)
 
 
 def _open(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +71,12 @@ def purge(spark: SparkSession, folder: str, now: int) -> StoredRun:
     stale = settled(retention.stale_pending(shares, now).select("slug"))
     kept, _, keys = retention.purge_stale_pending(shares, log, now)
     keys = settled(keys)
-    _write_back(spark, folder, kept, stale, _flagged(log, stale, "_stale"), F.col("_stale"), F.lit(False))
+    marks = F.col("_stale"), F.lit(False)
+
+    def mark(rows: DataFrame) -> DataFrame:
+        return _flagged(rows, stale, "_stale")
+
+    _write_back(spark, folder, kept, stale, _touched(mark(log), *marks), mark, *marks)
     return StoredRun(keys)
 
 
@@ -71,8 +88,12 @@ def delete_shares(spark: SparkSession, folder: str, deletes: DataFrame) -> Store
     keys = settled(keys)
     # A delete that hits always names the share's first object.
     hit = settled(keys.select("slug").distinct())
-    marked = _flagged(log, hit, "_hit")
-    _write_back(spark, folder, after, hit, marked, F.lit(False), F.col("_hit") & retention.raw_fields_set())
+    marks = F.lit(False), F.col("_hit") & retention.raw_fields_set()
+
+    def mark(rows: DataFrame) -> DataFrame:
+        return _flagged(rows, hit, "_hit")
+
+    _write_back(spark, folder, after, hit, _touched(mark(log), *marks), mark, *marks)
     return StoredRun(keys)
 
 
@@ -80,14 +101,25 @@ def maintain(spark: SparkSession, folder: str, flags: DataFrame, now: int) -> St
     """The maintenance run on the stored tables; ``flags`` as in ``maintenance_run``."""
     shares, log = _open(spark, folder)
     objects = tables.load_table(spark, folder, "objects")
-    run = maintenance.maintenance_run(shares, log, objects, flags, now)
-    # What the run returns is worked out before the files that it reads go.
-    keys, counters = settled(run.doomed_keys), settled(run.counters)
+    kept, _, pending_keys = retention.purge_stale_pending(shares, log, now)
     stale = settled(retention.stale_pending(shares, now).select("slug"))
+    sweep = maintenance.sweep_shares(kept, objects, flags, now)
+    marks = F.col("_stale"), F.col("changed")
+
+    def mark(rows: DataFrame) -> DataFrame:
+        return retention.with_due(_flagged(rows, stale, "_stale"), kept, now)
+
+    touched = _touched(mark(log), *marks)
+    # What the run returns is worked out before the files that it reads go.
+    keys = settled(sweep.doomed_keys.unionByName(pending_keys))
+    cleared = touched.agg(F.coalesce(F.sum("cleared"), F.lit(0)).alias("n"))
+    counters = settled(
+        maintenance.counter("pending_cleaned", stale.agg(F.count("*").alias("n")))
+        .unionByName(maintenance.counter("anonymised", cleared))
+        .unionByName(sweep.counters)
+    )
     before = shares.select("slug", F.col("versions_pruned_below").alias("was_below"), F.col("orphan_since").alias("was_orphan"))
     same = F.col("was_below").eqNullSafe(F.col("versions_pruned_below")) & F.col("was_orphan").eqNullSafe(F.col("orphan_since"))
-    moved = run.shares.join(before, "slug").filter(~same).select("slug")
-    kept = shares.join(stale, "slug", "left_anti")
-    marked = retention.with_due(_flagged(log, stale, "_stale"), kept, now)
-    _write_back(spark, folder, run.shares, settled(moved.unionByName(stale)), marked, F.col("_stale"), F.col("changed"))
+    moved = sweep.shares.join(before, "slug").filter(~same).select("slug")
+    _write_back(spark, folder, sweep.shares, settled(moved.unionByName(stale)), touched, mark, *marks)
     return StoredRun(keys, counters)

@@ -2,6 +2,7 @@ import shutil
 
 import pytest
 from helpers import NOW, objects, rows, shares, views
+from pyspark.sql import functions as F
 
 from leafmeter.limits import LIMITS
 from leafmeter.operators import retention
@@ -138,3 +139,51 @@ def test_streams_under_the_default_name_keep_their_rows(spark, tmp_path):
     assert tables.read_views(spark, path).count() == 130
     with pytest.raises(ValueError):
         tables.append_views(v, path, "a/b")
+
+
+def test_the_listing_of_objects_is_read_for_the_plan_alone(spark, tmp_path):
+    s, v, _ = store(spark, str(tmp_path))
+    flags = spark.createDataFrame([("stuck", True, False)], FLAGS)
+    listing = tables.load_table(spark, str(tmp_path), "objects")
+    assert any("/objects/" in f for f in listing.inputFiles())
+    run = maintenance.maintenance_run(s, v, listing, flags, NOW)
+    for out in (run.shares, run.doomed_keys, run.counters):
+        assert not any("/objects/" in f for f in out.inputFiles())
+
+
+def test_a_run_reads_touched_parts_again_and_no_others(spark, tmp_path, monkeypatch):
+    store(spark, str(tmp_path))
+    none = spark.createDataFrame([], FLAGS)
+    read, change = [], tables.change_tables
+
+    def seen(spark, folder, changes):
+        read.append({t: sorted(c.rows.inputFiles()) for t, c in changes.items()})
+        change(spark, folder, changes)
+
+    monkeypatch.setattr(tables, "change_tables", seen)
+    stored_runs.maintain(spark, str(tmp_path), none, NOW)
+    days = {int(f.split("/day=")[1].split("/")[0]) for f in read[0]["views"] if "/day=" in f}
+    assert days == {(OLD - 1) // 86_400, *((NOW - k * 86_400) // 86_400 for k in (0, 2, 3))}
+    assert not any(f"day={NOW // 86_400}/batch=one" in f for f in read[0]["views"])
+
+    # The second run finds nothing to change and writes nothing.
+    def refuse(views):
+        raise AssertionError("the log is written again")
+
+    before = files(tmp_path)
+    monkeypatch.setattr(tables, "_laid_out", refuse)
+    stored_runs.maintain(spark, str(tmp_path), none, NOW)
+    assert not read[1].get("views") and files(tmp_path) == before
+
+
+def test_rewritten_parts_keep_the_order_of_slugs(spark, tmp_path):
+    store(spark, str(tmp_path))
+    v = views(spark, *[{**RAW, "id": 100 + i, "slug": f"s{i * 7919 % 1000:03}", "viewed_at": OLD - 1} for i in range(300)])
+    # A part of several files, as a large one is.
+    part = tables.with_day(v).withColumn("batch", F.lit("three")).repartition(3)
+    part.write.mode("append").partitionBy("day", "batch").parquet(f"{tmp_path}/views")
+    run = stored_runs.maintain(spark, str(tmp_path), spark.createDataFrame([], FLAGS), NOW)
+    assert dict(rows(run.counters))["anonymised"] == 302
+    for f in (tmp_path / "views").glob("day=*/batch=three/*.parquet"):
+        slugs = [r.slug for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+        assert slugs == sorted(slugs)
