@@ -158,20 +158,30 @@ class Fixtures:
     def _hits_base(self) -> DataFrame:
         i, u = F.col("i"), F.col("u")
         viewed = F.lit(self.n * 9 // 10)
-        links = self.pages.select(F.col("page_id").alias("link"), F.col("url"))
+        # What depends on the page or the agent alone is worked out before the join, not for every event.
+        url, other = F.col("url"), F.lit("not a url at all")
+        links = self.pages.select(F.col("page_id").alias("link"), url, C.referrer_written(url).alias("host"))
         nations = self.table("nation").select(F.col("n_nationkey").cast("bigint").alias("nk"), "n_name")
+        ua = _pick(USER_AGENTS, F.col("id"))
+        agents = self.spark.range(0, len(USER_AGENTS), 1, 1).select(
+            F.col("id").alias("agent"), ua.alias("ua"), C.is_bot(ua).cast("bigint").alias("is_bot")
+        )
         return (
             self.events.withColumn("link", (i * 17) % self.n)
             .withColumn("nk", u % 25)
+            .withColumn("agent", i % len(USER_AGENTS))
             .join(links, "link")
             .join(nations, "nk")
+            .join(F.broadcast(agents), "agent")
             .select(
                 "i",
                 "u",
                 "at",
                 slug_of((i * 31 + _div(i, 7)) % viewed).alias("slug"),
-                _pick(USER_AGENTS, i % 12).alias("ua"),
-                F.when(i % 7 == 1, "not a url at all").when(i % 7 != 0, F.col("url")).alias("referer"),
+                "ua",
+                "is_bot",
+                F.when(i % 7 == 1, other).when(i % 7 != 0, url).alias("referer"),
+                F.when(i % 7 == 1, C.referrer_written(other)).when(i % 7 != 0, F.col("host")).alias("written"),
                 F.when(i % 13 == 0, None).when(i % 29 == 0, "").otherwise(F.col("n_name")).alias("country"),
                 F.when(i % 3 == 0, None).when(i % 11 == 0, "")
                 .otherwise(F.concat(F.lit("City"), (i % 23).cast("string"))).alias("city"),
@@ -185,9 +195,9 @@ class Fixtures:
             "slug",
             (F.col("at") - (i % 5) * 2_592_000).alias("viewed_at"),
             _salted("203.0.113.", F.col("u") % 256).alias("ip_hash"),
-            C.is_bot(F.col("ua")).cast("bigint").alias("is_bot"),
+            "is_bot",
             "ua",
-            F.when(i % 5 <= 2, C.referrer_written(F.col("referer"))).otherwise(F.col("referer")).alias("referrer"),
+            F.when(i % 5 <= 2, F.col("written")).otherwise(F.col("referer")).alias("referrer"),
             "country",
             "city",
         )

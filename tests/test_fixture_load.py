@@ -4,6 +4,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from leafmeter import queries
+from leafmeter.functions import columns as C
 from leafmeter.sources.fixtures import Fixtures
 
 FOLDER = "/root/testdata/sf0.001"
@@ -49,3 +50,13 @@ def test_batches_are_dealt_without_a_shuffle(spark, tmp_path):
     seen = _seen(spark, tmp_path, lambda f, df, start: queries._in_batches(f, df, start))
     assert len(seen) == 3 and sorted(i for ids, _ in seen for i in ids) == list(range(1000))
     assert all(len(ids) > 200 and n == 6 for ids, n in seen)
+
+
+def test_agents_and_referrers_are_judged_before_the_events_meet_them(spark):
+    f = Fixtures(spark, FOLDER)
+    v = f._derive_views()
+    # Above the joins no row is searched for patterns.
+    above = v._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "RLIKE" not in above and "Contains" not in above and "bot" not in above.replace("is_bot", "")
+    again = v.select("id", C.is_bot(F.col("ua")).cast("bigint").alias("is_bot"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, v.select("id", "is_bot").collect()))
