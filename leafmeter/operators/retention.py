@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from leafmeter.functions import columns as C
 from leafmeter.limits import LIMITS
-from leafmeter.session import settled
-from leafmeter.sources.tables import RAW_VIEW_FIELDS, read_log, replace_parts
+from leafmeter.sources.tables import RAW_VIEW_FIELDS, read_log, read_parts, replace_parts
 
 
 def raw_fields_set() -> Column:
@@ -40,14 +39,14 @@ def anonymize_views(views: DataFrame, shares: DataFrame, now: int) -> DataFrame:
 
 def anonymize_log(shares: DataFrame, now: int, path: str) -> int:
     """Rewrite only the parts of the view log at ``path`` that hold rows to clear; their number."""
-    marked = with_due(read_log(shares.sparkSession, path), shares, now)
-    found = settled(marked.filter("changed").groupBy("day", "batch").agg(F.count("*").alias("n")))
-    rows = found.agg(F.sum("n")).first()[0] or 0
-    if rows:
-        # Dynamic partition pruning keeps the scan to the parts found.
-        part = marked.join(found.select("day", "batch"), ["day", "batch"], "left_semi")
+    spark = shares.sparkSession
+    due = with_due(read_log(spark, path), shares, now).filter("changed")
+    # One row a part, as many as the log has folders.
+    found = due.groupBy("day", "batch").agg(F.count("*").alias("n")).collect()
+    if found:
+        part = with_due(read_parts(spark, path, [(row.day, row.batch) for row in found]), shares, now)
         replace_parts(cleared(part, F.col("changed")).drop("changed"), path)
-    return rows
+    return sum(row.n for row in found)
 
 
 def stale_pending(shares: DataFrame, now: int) -> DataFrame:

@@ -59,6 +59,24 @@ def test_log_with_stream_append_and_rewrite(spark, tmp_path):
     assert sorted(map(str, rows(got))) == sorted(map(str, rows(want)))
 
 
+def test_a_rewrite_reads_touched_parts_alone(spark, tmp_path, monkeypatch):
+    s, v = log(spark)
+    v = v.unionByName(views(spark, {**RAW, "id": 9, "slug": "nowhere", "viewed_at": NOW - 5 * 86_400}))
+    path = str(tmp_path / "views")
+    tables.append_views(v, path)
+    due = {r.day for r in tables.with_day(retention.anonymize_views(v, s, NOW)).filter("changed").collect()}
+    read, replace = [], retention.replace_parts
+
+    def seen(rows, path):
+        read.extend(rows.inputFiles())
+        replace(rows, path)
+
+    monkeypatch.setattr(retention, "replace_parts", seen)
+    assert retention.anonymize_log(s, NOW, path) == 3
+    days = {int(p.name.removeprefix("day=")) for p in (tmp_path / "views").glob("day=*")}
+    assert {int(f.split("/day=")[1].split("/")[0]) for f in read} == due < days
+
+
 def test_broken_rewrite_is_finished_later(spark, tmp_path):
     _, v = log(spark)
     path = str(tmp_path / "views")
